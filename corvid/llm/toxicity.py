@@ -25,6 +25,7 @@ from .textops import ALNUM_ANY_CASE, buffer_of, prefix_sums, range_hashes, slice
 
 BITS = 20
 PREFIXES = (4, 5)
+CHI = 10.8  # chi-square under which a term is taken as noise: one in a thousand by chance
 
 
 def term_buckets(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +72,7 @@ def _pairs(doc: np.ndarray, item: np.ndarray, width: int) -> tuple[np.ndarray, n
 
 
 def fit(
-    doc: np.ndarray, bucket: np.ndarray, y: np.ndarray, terms: int = 4096, factors: int = 4, steps: int = 150, decay: float = 2e-4
+    doc: np.ndarray, bucket: np.ndarray, y: np.ndarray, terms: int = 1024, factors: int = 4, steps: int = 150, decay: float = 1e-4
 ) -> FactorizationMachine:
     """From distinct (doc, bucket) pairs and labels 0 or 1. Without both labels
     the model is a constant: their mean, drawn towards 0.5."""
@@ -85,8 +86,9 @@ def fit(
     dp = np.bincount(bucket[y[doc] == 1], minlength=1 << BITS)
     expect = df * (positive / n)
     chi = np.where(df >= 3, (dp - expect) ** 2 / np.maximum(expect * (1 - positive / n) * (1 - df / (n + 1)), 1e-9), -1)
+    chi[dp <= expect] = -1  # terms that speak against label 1 are the bias's part: few rows would fit noise
     kept = np.sort(np.argsort(-chi, kind="stable")[:terms])
-    kept = kept[chi[kept] > 0]
+    kept = kept[chi[kept] > CHI]
     if not len(kept):
         return none
     at = np.full(1 << BITS, -1, np.int64)
@@ -99,7 +101,7 @@ def fit(
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for t in range(1, steps + 1):
         model = FactorizationMachine(kept, params[0], params[1], float(params[2][0]))
-        err = 1 / (1 + np.exp(-model.logits(doc, slot, n))) - y
+        err = 1 / (1 + np.exp(-np.clip(model.logits(doc, slot, n), -500, 500))) - y
         err /= n
         e = err[doc]
         grads = [np.bincount(slot, e, len(kept)) + decay * params[0] / len(kept), np.empty_like(params[1]), np.array([err.sum()])]
