@@ -471,3 +471,17 @@ def jaccard_groups(
         F.when(none, F.col("id")).when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"),
         F.when(none, F.col("id")).when(F.col("id").isNotNull(), F.col("rep")).alias("class_id"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs, all columns, with one row of each group of linked rows: that with
+    the smallest id. Rows that repeat an id are one row if their texts are
+    equal; rows without an id stay."""
+    groups = materialize(jaccard_groups(docs, id_col, text_col, **how).select(id_col, "component_id"), "groups")
+    gone = groups.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
+    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    size = groups.agg(F.count(id_col).alias("rows"), F.countDistinct(id_col).alias("ids")).first()
+    if size.rows > size.ids:
+        named = kept.where(F.col(id_col).isNotNull()).withColumn("__h", F.xxhash64(text_col)).dropDuplicates([id_col, "__h"])
+        kept = named.drop("__h").unionByName(kept.where(F.col(id_col).isNull()))
+    return kept

@@ -135,18 +135,53 @@ def train(sample: DataFrame, **how) -> FactorizationMachine:
     return fit(doc, lists.flatten().to_numpy().astype(np.int64), y, **how)
 
 
+def _logits(text: pa.Array, model: FactorizationMachine, at: np.ndarray) -> np.ndarray:
+    k = max(1, len(model.buckets))
+    buf, offs = buffer_of(text)
+    out = np.empty(len(text))
+    for a, z, b, o in slices(buf, offs):
+        doc, bucket = term_buckets(b, o)
+        slot = at[bucket]
+        use = slot >= 0
+        doc, slot = _pairs(doc[use], slot[use].astype(np.int64), k)
+        out[a:z] = model.logits(doc, slot, z - a)
+    return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
+
+
 def _score(rows: Iterator[pa.RecordBatch], model: FactorizationMachine) -> Iterator[pa.RecordBatch]:
-    at, k = model.slots(), max(1, len(model.buckets))
+    at = model.slots()
     for batch in batches(rows):
-        buf, offs = buffer_of(batch.column(1))
-        out = np.empty(batch.num_rows)
-        for a, z, b, o in slices(buf, offs):
-            doc, bucket = term_buckets(b, o)
-            slot = at[bucket]
-            use = slot >= 0
-            doc, slot = _pairs(doc[use], slot[use].astype(np.int64), k)
-            out[a:z] = model.logits(doc, slot, z - a)
-        yield pa.record_batch({"id": batch.column(0), "score": pa.array(1 / (1 + np.exp(-np.clip(out, -500, 500))))})
+        yield pa.record_batch({"id": batch.column(0), "score": pa.array(_logits(batch.column(1), model, at))})
+
+
+def _keep(rows: Iterator[pa.RecordBatch], model: FactorizationMachine, text_at: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    at = model.slots()
+    for batch in batches(rows):
+        yield batch.filter(pa.array(_logits(batch.column(text_at), model, at) < threshold))
+
+
+def _model(docs, labels, id_col, text_col, label_col, sample, folds, held, how) -> FactorizationMachine:
+    sampled = labelled_sample(docs, labels, id_col, text_col, label_col, sample, id_remainder("id", folds) != held)
+    return train(sampled, **how)
+
+
+def drop_toxic(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    threshold: float = 0.7,
+    sample: int = 20_000,
+    folds: int = 3,
+    held: int = 1,
+    **how,
+) -> DataFrame:
+    """docs, all columns, without the rows that score_toxicity predicts as 1: one
+    scan, nothing shuffled or joined."""
+    model = _model(docs, labels, id_col, text_col, label_col, sample, folds, held, how)
+    text_at = docs.columns.index(text_col)
+    return docs.mapInArrow(lambda it: _keep(it, model, text_at, threshold), docs.schema)
 
 
 def score_toxicity(
@@ -170,7 +205,7 @@ def score_toxicity(
     scores are equal. An empty table gives an empty table.
     """
     rest = id_remainder("id", folds)
-    model = train(labelled_sample(docs, labels, id_col, text_col, label_col, sample, rest != held), **how)
+    model = _model(docs, labels, id_col, text_col, label_col, sample, folds, held, how)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(lambda it: _score(it, model), "id long, score double").select(
         F.col("id").alias(id_col),
