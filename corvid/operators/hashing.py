@@ -77,7 +77,7 @@ class HashingOptions:
         if k := self.char_ngrams:
             for w in words:
                 padded = f"#{w}#"
-                out += [padded[i : i + k] for i in range(max(1, len(padded) - k + 1))]
+                out += [padded] if len(w) <= k else [padded[i : i + k] for i in range(len(padded) - k + 1)]
         return out
 
 

@@ -106,7 +106,7 @@ words as (select doc_id, {sql_terms("text", False)} as w from documents),
 grams as (
   select doc_id, unnest(w) as f from words
   union all select doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])) from words
-  union all select doc_id, unnest(case when length(p) <= 4 then [p] else list_transform(range(1, length(p) - 2), lambda i: substr(p, i, 4)) end)
+  union all select doc_id, unnest(case when length(p) <= 6 then [p] else list_transform(range(1, length(p) - 2), lambda i: substr(p, i, 4)) end)
     from (select doc_id, '#' || unnest(w) || '#' as p from words)
 ),
 kinds as (select distinct f from grams),
