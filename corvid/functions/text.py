@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,12 +54,13 @@ def stem(t: Column) -> Column:
     n = F.length(t)
     cut = lambda k: F.substring(t, F.lit(1), n - k)
     long = n > 4
+    ends = lambda *tails: reduce(Column.__or__, (t.endswith(x) for x in tails))
     return (
         F.when(long & t.endswith("ies"), F.concat(cut(3), F.lit("y")))
-        .when(long & t.rlike("(sses|ches|shes|xes)$"), cut(2))
+        .when(long & ends("sses", "ches", "shes", "xes"), cut(2))
         .when((n > 5) & t.endswith("ing"), cut(3))
         .when(long & t.endswith("ed"), cut(2))
-        .when((n > 3) & t.rlike("s$") & ~t.rlike("(ss|us|is)$"), cut(1))
+        .when((n > 3) & t.endswith("s") & ~ends("ss", "us", "is"), cut(1))
         .otherwise(t)
     )
 

@@ -43,17 +43,22 @@ class BM25Index:
     def build(chunks: DataFrame, options: BM25Options | None = None) -> BM25Index:
         o = options or BM25Options()
         toks = chunks.select("chunk_id", o.terms(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
-        # length and mean cover every chunk, those without terms included
-        stats = toks.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-        postings = toks.select("chunk_id", "dl", F.explode("terms").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").cast("int").alias("tf"))
-        df = postings.groupBy("term").agg(F.count("*").alias("df"))
-        term_stats = df.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
+        # the outer form keeps Spark from tokenizing once more to filter out empty arrays
+        found = toks.select("chunk_id", "dl", F.explode_outer("terms").alias("term")).where("term is not null")
+        postings = found.groupBy("term", "chunk_id", "dl").agg(F.count("*").cast("int").alias("tf"))
+        # both statistics read tf too, so that they share the postings' shuffle: texts are tokenized once.
+        # Counts and the mean length cover every chunk, those without terms included
+        n = chunks.agg(F.count("*").alias("n"))
+        total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+        stats = n.crossJoin(F.broadcast(total)).select("n", F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(0.0).alias("avgdl"))
+        df = postings.groupBy("term").agg(F.sum(F.least("tf", F.lit(1))).alias("df"))
+        term_stats = df.crossJoin(F.broadcast(n)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
         return BM25Index(postings, term_stats, stats, o)
 
     def query_terms(self, queries: DataFrame) -> DataFrame:
         """(query_id, term, times); blank queries have none. A term counts as
         often as the query repeats it."""
-        q = queries.select("query_id", F.explode(self.options.terms(F.col("text"))).alias("term"))
+        q = queries.select("query_id", F.explode_outer(self.options.terms(F.col("text"))).alias("term")).where("term is not null")
         return q.groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
     def score(self, queries: DataFrame) -> DataFrame:

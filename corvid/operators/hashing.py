@@ -20,20 +20,29 @@ _TERM = re.compile(T.TERMS)
 _BASIS, _PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
 
 
-def fnv1a(words: list[str]) -> np.ndarray:
-    """64-bit FNV-1a of each word's UTF-8 bytes, all words a byte at a time."""
+LONG = 64  # bytes from which a word is hashed by itself, not as a row of a grid
+
+
+def fnv1a(words: list[str], state: np.ndarray | None = None) -> np.ndarray:
+    """64-bit FNV-1a of each word's UTF-8 bytes, all words a byte at a time;
+    state: what the hashes so far are, to go on from there."""
     raw = [w.encode() for w in words]
+    h = np.full(len(raw), _BASIS, np.uint64) if state is None else state.copy()
     size = np.array([len(r) for r in raw], np.int64)
-    h = np.full(len(raw), _BASIS, np.uint64)
-    if not len(raw):
+    for i in np.flatnonzero(size > LONG):
+        x = int(h[i])
+        for c in raw[i]:
+            x = (x ^ c) * int(_PRIME) & 0xFFFFFFFFFFFFFFFF
+        h[i] = x
+    short = np.flatnonzero(size <= LONG)
+    order = short[np.argsort(-size[short], kind="stable")]
+    if not len(order):
         return h
-    order = np.argsort(-size, kind="stable")
-    grid = np.zeros((len(raw), max(1, int(size.max()))), np.uint8)
-    for row, i in enumerate(order):
-        grid[row, : size[i]] = np.frombuffer(raw[i], np.uint8)
-    part, left = h.copy(), size[order]
-    for k in range(grid.shape[1]):
-        n = int(np.searchsorted(-left, -k, "left"))  # words longer than k
+    width = max(1, int(size[order[0]]))
+    grid = np.frombuffer(b"".join(raw[i].ljust(width, b"\0") for i in order), np.uint8).reshape(-1, width)
+    part, left = h[order], -size[order]
+    for k in range(width):
+        n = int(np.searchsorted(left, -k, "left"))  # words longer than k
         part[:n] = (part[:n] ^ grid[:n, k]) * _PRIME
     h[order] = part
     return h
@@ -82,27 +91,62 @@ class HashingOptions:
 
 
 def _counts(texts: list[str], o: HashingOptions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, bucket) pairs, sorted, with net signed counts."""
+    """Distinct (text, bucket) pairs, sorted, with net signed counts.
+
+    Each distinct word's own hash and character grams, and each distinct pair of
+    neighbours, are hashed once; texts then gather them by word number."""
     number: dict[str, int] = {}
-    at, owner = [], []
-    for i, t in enumerate(texts):
-        found = o.features(t or "")
-        at += [number.setdefault(f, len(number)) for f in found]
-        owner.append(len(found))
-    h = fnv1a(list(number))
-    bucket = (h % np.uint64(o.dim)).astype(np.int64)
-    sign = np.where(h >> np.uint64(63), 1, -1)
-    at = np.array(at, np.int64)
-    doc = np.repeat(np.arange(len(texts)), owner)
-    pairs, back = np.unique(doc * o.dim + bucket[at], return_inverse=True)
-    net = np.bincount(back, sign[at], len(pairs)).astype(np.int64)
-    return pairs // o.dim, pairs % o.dim, net
+    flat: list[int] = []
+    size = []
+    for t in texts:
+        found = _TERM.findall((t or "").lower())
+        flat += [number.setdefault(w, len(number)) for w in found]
+        size.append(len(found))
+    words, ids = list(number), np.array(flat, np.int64)
+    doc = np.repeat(np.arange(len(texts)), size)
+    own = fnv1a(words)
+    hashes, owner = [], []
+    for n in o.word_ngrams:
+        run, state, at = ids, own, np.arange(len(ids))
+        for k in range(1, n):
+            # runs of k words, numbered, and the word after each that lies in the same text
+            ok = at + k < len(ids)
+            ok[ok] = doc[at[ok]] == doc[at[ok] + k]
+            at = at[ok]
+            pair, run = np.unique(run[ok] * len(words) + ids[at + k], return_inverse=True)
+            state = fnv1a(["_" + words[w] for w in (pair % len(words)).tolist()], state[pair // len(words)]) if len(pair) else state[:0]
+        hashes.append(state[run])
+        owner.append(doc[at])
+    if k := o.char_ngrams:
+        grams: dict[str, int] = {}
+        of_word, per = [], []
+        for w in words:
+            padded = f"#{w}#"
+            found = [padded] if len(w) <= k else [padded[i : i + k] for i in range(len(padded) - k + 1)]
+            of_word += [grams.setdefault(g, len(grams)) for g in found]
+            per.append(len(found))
+        g, per = fnv1a(list(grams))[np.array(of_word, np.int64)], np.array(per, np.int64)
+        first = np.cumsum(per) - per
+        count = per[ids]
+        hashes.append(g[np.repeat(first[ids] - (np.cumsum(count) - count), count) + np.arange(count.sum())])
+        owner.append(np.repeat(doc, count))
+    h, doc = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, owner))
+    sign = np.where(h.astype(np.uint64) >> np.uint64(63), 1, -1)
+    at = doc * o.dim + (h.astype(np.uint64) % np.uint64(o.dim)).astype(np.int64)
+    if len(texts) * o.dim <= 1 << 22:
+        pairs = np.flatnonzero(np.bincount(at, minlength=1))
+        net = np.bincount(at, sign)[pairs] if len(pairs) else np.zeros(0)
+    else:
+        pairs, back = np.unique(at, return_inverse=True)
+        net = np.bincount(back, sign, len(pairs))
+    return pairs // o.dim, pairs % o.dim, net.astype(np.int64)
 
 
 def _features(rows: Iterator[pa.RecordBatch], o: HashingOptions) -> Iterator[pa.RecordBatch]:
     for batch in rows:
-        doc, bucket, net = _counts(batch.column(1).to_pylist(), o)
-        yield pa.record_batch({"chunk_id": batch.column(0).take(pa.array(doc)), "bucket": pa.array(bucket.astype(np.int32)), "net": pa.array(net)})
+        for part in (batch.slice(a, 1024) for a in range(0, batch.num_rows, 1024)):
+            doc, bucket, net = _counts(part.column(1).to_pylist(), o)
+            yield pa.record_batch({"chunk_id": part.column(0).take(pa.array(doc)), "bucket": pa.array(bucket.astype(np.int32)), "net": pa.array(net)})
 
 
 def hash_features(chunks: DataFrame, options: HashingOptions = HashingOptions()) -> DataFrame:
@@ -159,8 +203,8 @@ class HashingEmbedder:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for a in range(0, batch.num_rows, 2048):
-                    part = batch.slice(a, 2048)
+                for a in range(0, batch.num_rows, 1024):
+                    part = batch.slice(a, 1024)
                     v = me.vectors(part.column(1).to_pylist()).astype(np.float32)
                     vec = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * dim), pa.array(v.ravel()))
                     yield pa.record_batch({id_col: part.column(0), "vec": vec})

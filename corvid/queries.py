@@ -101,20 +101,43 @@ def sql_dense(k: int, where: str = "true") -> str:
   from unit a, unit b where {where.replace("label", "b.label")}) where rank <= {k})"""
 
 
-_FEATURES = f"""
-words as (select doc_id, {sql_terms("text", False)} as w from documents),
-grams as (
-  select doc_id, unnest(w) as f from words
-  union all select doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])) from words
-  union all select doc_id, unnest(case when length(p) <= 6 then [p] else list_transform(range(1, length(p) - 2), lambda i: substr(p, i, 4)) end)
-    from (select doc_id, '#' || unnest(w) || '#' as p from words)
+def sql_features(table: str, key: str, out: str) -> str:
+    """CTEs up to {out}: (key, bucket, net)."""
+    return f"""
+{out}_w as (select {key}, {sql_terms("text", False)} as w from {table}),
+{out}_g as (
+  select {key}, unnest(w) as f from {out}_w
+  union all select {key}, unnest(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])) from {out}_w
+  union all select {key}, unnest(case when length(p) <= 6 then [p] else list_transform(range(1, length(p) - 2), lambda i: substr(p, i, 4)) end)
+    from (select {key}, '#' || unnest(w) || '#' as p from {out}_w)
 ),
-kinds as (select distinct f from grams),
-hashed as (select f, list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(range(1, length(f) + 1), lambda i: ord(substr(f, i, 1))::hugeint)),
-  lambda h, b: (xor(h, b) * 1099511628211::hugeint) % 18446744073709551616::hugeint) as h from kinds),
-feat as (select doc_id, (h % 512)::int as bucket, sum(case when h >= 9223372036854775808::hugeint then 1 else -1 end)::bigint as net
-  from grams join hashed using (f) group by all)
+{out}_k as (select distinct f from {out}_g),
+{out}_h as (select f, list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(range(1, length(f) + 1), lambda i: ord(substr(f, i, 1))::hugeint)),
+  lambda h, b: (xor(h, b) * 1099511628211::hugeint) % 18446744073709551616::hugeint) as h from {out}_k),
+{out} as (select {key}, (h % 512)::int as bucket, sum(case when h >= 9223372036854775808::hugeint then 1 else -1 end)::bigint as net
+  from {out}_g join {out}_h using (f) group by all)
 """
+
+
+_FEATURES = sql_features("documents", "doc_id", "feat")
+
+
+def _unit_sql(feat: str, key: str) -> str:
+    """Unit vectors as (key, bucket, x), kept in single precision as the engine keeps them."""
+    return f"""(select {key}, bucket, x / sqrt(sum(x * x) over (partition by {key})) as x from (
+  select {key}, bucket, (w / sqrt(sum(w * w) over (partition by {key})))::float::double as x from (
+    select {key}, bucket, sign(net) * ln(1 + abs(net)) * idf as w from {feat} join idf using (bucket))))"""
+
+
+_HASHED = f"""{_FEATURES}, {sql_features("benchmark", "item_id", "qfeat")},
+idf as (select b.bucket, ln((max(n) + 1) / (count(doc_id) + 1)) + 1 as idf from (select unnest(range(0, 512))::int as bucket) b left join feat using (bucket), (select count(*) as n from documents) group by b.bucket),
+hashed_scores as (select item_id as query_id, doc_id, sum(a.x * b.x) as score from {_unit_sql("qfeat", "item_id")} a join {_unit_sql("feat", "doc_id")} b using (bucket) group by all)"""
+
+
+def sql_hashed(k: int) -> str:
+    return f"(select query_id, doc_id, score, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from hashed_scores) where rank <= {k})"
+
+
 # terms are ASCII, so a character is a byte
 
 # ---- scans, text ----------------------------------------------------------------------------------
@@ -189,7 +212,28 @@ def chunk_fixed(s, d):
     return _chunked(Fixed(), _t(s, d, "documents").select("doc_id", "text"))
 
 
-@query()
+_CLEAN = _SENT.partition("select doc_id, len(w) as n, md5")[0].replace("with marked", "with recursive marked", 1)
+# windows by prefix sums of the sentences' words: the longest run within 180, then back over at most 40 words
+_SENTENCE_CHUNKS = _CLEAN + f""", units as (
+  select doc_id, w, list_transform(range(0, len(w) + 1), lambda i: coalesce(list_sum(l[1:i]), 0)::bigint) as p
+  from (select doc_id, w, list_transform(w, lambda x: len(regexp_extract_all(x, '{_W}'))) as l from clean where len(w) > 0)
+), win as (
+  select doc_id, 0::bigint as k, 0::bigint as s, greatest(1, len(list_filter(p, lambda x: x <= 180)) - 1)::bigint as e from units
+  union all
+  select doc_id, k + 1, nxt, greatest(nxt + 1, len(list_filter(p, lambda x: x <= p[nxt + 1] + 180)) - 1)::bigint from (
+    select doc_id, k, p, case when c > s then c else e end as nxt from (
+      select win.*, u.p, greatest(s, len(list_filter(p, lambda x: x < p[e + 1] - 40)))::bigint as c from win join units u using (doc_id) where e < len(w)))
+), texts as (
+  select doc_id, k, array_to_string(w[s + 1 : e], ' ') as text, k > 0 and e = len(w) and p[e + 1] - p[s + 1] < 30 as short from win join units using (doc_id)
+), joined as (
+  select a.doc_id, a.k as position, case when b.short then a.text || ' ' || b.text else a.text end as text
+  from texts a left join texts b on b.doc_id = a.doc_id and b.k = a.k + 1 where not a.short
+)
+select substr(sha1(doc_id::varchar || chr(31) || position::varchar || chr(31) || text), 1, 16) as chunk_id, doc_id, position, length(text) as chars from joined
+"""
+
+
+@query(_SENTENCE_CHUNKS)
 def chunk_sentence(s, d):
     return _chunked(Sentence(), _t(s, d, "documents").select("doc_id", "text"))
 
@@ -362,7 +406,7 @@ def _hashed(s, d, k: int) -> tuple[HashingEmbedder, DataFrame]:
     return e, dense_search(e.encode(chunks), e.encode(_asked(s, d), "query_id"), k)
 
 
-@query()
+@query(f"with {_HASHED} {_SHOW}{sql_hashed(10)}")
 def hash_dense_topk(s, d):
     return _shown(_hashed(s, d, 10)[1])
 
@@ -596,7 +640,7 @@ def context_block(s, d):
     return as_context(hits, 3).select("query_id", F.md5("context").alias("context"))
 
 
-@query()
+@query(f"with {_INDEX}, {_HASHED}, one as {sql_hashed(40)}, two as {sql_bm25(k=40)}, both_ as (select *, 0 as list, 1.0 as weight from one union all select *, 1, 1.0 from two)" + _fused_sql("weight / (60 + rank)"))
 def hybrid_topk(s, d):
     """Words and hashed features, fused by reciprocal rank."""
     chunks = _chunks(s, d)
