@@ -129,5 +129,27 @@ def build(df: DataFrame, rows: int, name: str) -> tuple[HashStore, int]:
 
 
 def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Those that hold a row."""
-    return (b for b in rows if b.num_rows)
+    """Those that hold a row. Between them, and at the end of a task, memory that
+    was freed goes back to the system: Spark keeps workers for later tasks."""
+    try:
+        for b in rows:
+            if b.num_rows:
+                yield b
+                del b
+                release_memory()
+    finally:
+        release_memory()
+
+
+def release_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+try:
+    import ctypes
+
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None

@@ -29,7 +29,9 @@ from .textops import U, buffer_of, lists, slices, span_hashes
 
 MARK = "▁"
 GAP = 0x10FFFF  # stands between units; no character
-CACHE_TOKENS = 3_000_000
+CACHE_TOKENS = 1_500_000
+CACHE_PAIRS = 500_000
+INDEXED = 400_000  # characters that are indexed at a time, unless one unit has more
 
 
 def default_model() -> str:
@@ -163,18 +165,26 @@ def encode_units(p: Pieces, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
     keys = [k[order] for k in keys]
     lo, hi = _ranges(p, keys, p.low, False), _ranges(p, keys, p.high, True)
     count = hi - lo
-    piece = np.repeat(np.arange(len(count)), count)
-    pos = order[np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(piece))]
+    del keys
+    # 32 bits from here on: there are several edges for each character
+    small = np.int32 if n < 2**30 and count.sum() < 2**31 else np.int64
+    piece = np.repeat(np.arange(len(count), dtype=np.int32), count)
+    shift = lo - np.concatenate([[0], np.cumsum(count)[:-1]])
+    pos = order.astype(small)[np.repeat(shift.astype(small), count) + np.arange(len(piece), dtype=small)]
+    del order
     # where no piece holds both neighbours, what lies left and right is independent
     start = np.ones(n, bool)
     if len(p.joint):
         start[1:] = ~p.joint[(code[:-1] << p.bits) + code[1:]]
     else:
         start[1:] = (code[:-1] == 0) | (code[1:] == 0)
-    segment = np.maximum.accumulate(np.where(start, np.arange(n), 0))
-    rel = pos + p.lengths[piece] - segment[pos]
-    by = np.argsort(rel.astype(np.uint16) if not len(rel) or rel.max() < 65536 else rel, kind="stable")
-    pos, tok, rel, size = pos[by], p.ids[piece[by]], rel[by], p.lengths[piece[by]]
+    segment = np.maximum.accumulate(np.where(start, np.arange(n, dtype=small), 0))
+    rel = pos + p.lengths.astype(small)[piece] - segment[pos]
+    if not len(rel) or rel.max() < 65536:
+        rel = rel.astype(np.uint16)
+    by = np.argsort(rel, kind="stable").astype(small)
+    rel, pos, piece = rel[by], pos[by], piece[by]
+    del by
     last, back = np.full(n + 1, -1, np.int64), np.zeros(n + 1, np.int64)
     lone = np.flatnonzero(code == 0)
     last[lone + 1], back[lone + 1] = -2, lone
@@ -184,7 +194,8 @@ def encode_units(p: Pieces, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for a, b in zip(cuts[:-1], cuts[1:]):
         if a == b:
             continue
-        s, t, e = pos[a:b], tok[a:b], pos[a:b] + size[a:b]
+        s, t = pos[a:b].astype(np.int64), p.ids[piece[a:b]]
+        e = s + p.lengths[piece[a:b]]
         if p.bpe:
             ok = start[s]
             rest = np.flatnonzero(~ok)
@@ -232,7 +243,7 @@ def _fitting(p: Pieces, pairs: np.ndarray) -> np.ndarray:
     for i, key in enumerate(pairs.tolist()):
         ok = known.get(key)
         if ok is None:
-            if len(known) > 4_000_000:
+            if len(known) > CACHE_PAIRS:
                 known.clear()
             ok = known[key] = p.pair_fits(key >> 20, key & 0xFFFFF) if key >= 0 else False
         out[i] = ok
@@ -279,7 +290,10 @@ class Encoder:
         new = np.flatnonzero(~have)
         if len(new):
             units = [whole[a:b].decode("utf-8", "replace").replace(" ", MARK) for a, b in zip(starts[one[new]], ends[one[new]])]
-            ids, size = encode_units(self.pieces, units)
+            total = np.cumsum([len(u) + 1 for u in units])
+            cuts = np.searchsorted(total, np.arange(INDEXED, int(total[-1]), INDEXED)).tolist()
+            parts = [encode_units(self.pieces, units[a:b]) for a, b in zip([0, *cuts], [*cuts, len(units)]) if a < b]
+            ids, size = (np.concatenate(x) for x in zip(*parts))
             begin = len(self.pool) + np.cumsum(size) - size
             self.pool = np.concatenate([self.pool, ids])
             keys = np.concatenate([self.keys, uniq[new]])
@@ -290,7 +304,9 @@ class Encoder:
         at = np.searchsorted(self.keys, uniq)[inv]
         size = self.size[at]
         total = np.cumsum(size)
-        index = np.repeat(self.at[at] - (total - size), size) + np.arange(total[-1])
+        small = np.int32 if total[-1] < 2**30 else np.int64
+        index = np.repeat((self.at[at] - (total - size)).astype(small), size)
+        index += np.arange(total[-1], dtype=small)
         cut = np.searchsorted(starts, offs)
         total = np.concatenate([[0], total])
         return self.pool[index], np.diff(total[cut])
@@ -300,7 +316,9 @@ def decode_bytes(p: Pieces, ids: np.ndarray, counts: np.ndarray) -> tuple[np.nda
     """Bytes of the texts that the ids stand for, and their offsets."""
     size = p.raw_len[ids]
     total = np.concatenate([[0], np.cumsum(size)])
-    index = np.repeat(p.raw_at[ids] - total[:-1], size) + np.arange(total[-1])
+    small = np.int32 if total[-1] < 2**30 else np.int64
+    index = np.repeat((p.raw_at[ids] - total[:-1]).astype(small), size)
+    index += np.arange(total[-1], dtype=small)
     buf = p.raw[index]
     offs = total[np.concatenate([[0], np.cumsum(counts)])]
     if p.prefix:  # the first piece's space is the dummy prefix

@@ -1,6 +1,6 @@
 """Vectorised kernels over batches of UTF-8 text.
 
-A batch is one byte buffer plus offsets, cut into slices of a few MB so that
+A batch is one byte buffer plus offsets, cut into slices of about a MB so that
 the 8-byte working arrays stay small whatever the batch holds; a text that is
 longer than a slice is a slice of its own and is never shortened. Words and
 lines get 64-bit hashes from one prefix sum of keyed bytes times powers of an
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
 _BACK = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
