@@ -8,8 +8,9 @@
    for contexts with many tokens, of the bigram, so that no context ends up in
    one task whole. Shards merge what they get into sorted arrays on the shared
    folder and pass on what contexts and words need to know.
-3. Per word: its count, how many contexts precede it, and, as a context, tokens
-   and numbers of followers seen once, twice, more often: arrays by word number.
+3. Per word: how many contexts precede it, and, as a context, its tokens and
+   numbers of followers seen once, twice, more often: arrays by word number, in
+   as many files as there are shards.
 4. Workers map these arrays into memory and score texts slice by slice.
 
 Discounts come from the counts of counts of each level; the unigram level is
@@ -32,13 +33,13 @@ from . import hashstore
 from .hashstore import HashStore, batches
 from .labelled import id_remainder
 from .shared import fresh_path, materialize
-from .textops import NOT_SPACE, U, buffer_of, mix, owners, prefix_sums, range_hashes, signed, slices, spans
+from .textops import NOT_SPACE, SLICE, U, buffer_of, mix, owners, prefix_sums, range_hashes, signed, slices, spans
 
 END = mix(np.array([0xE0D], np.uint64))[0]
 UNK, START, STOP, WORDS_FROM = 0, 1, 2, 3
-PER_FILE = 1 << 20  # words in a file of step 3
+LEAST_PER_FILE = 4096  # words in a file of step 3
 HOT = 200_000  # tokens from which a context is spread over shards
-FLUSH = 1_500_000  # distinct keys that a task gathers before it sends them
+FLUSH = 1_000_000  # distinct keys that a task gathers before it sends them
 
 
 def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +106,7 @@ def _count_words(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches(rows):
         buf, offs = buffer_of(batch.column(0))
-        for _, _, b, o in slices(buf, offs):
+        for _, _, b, o in slices(buf, offs, 2 * SLICE):
             tally.add(tokens(b, o)[0])
             if tally.full():
                 yield flush()
@@ -195,7 +196,7 @@ def _count_bigrams(rows: Iterator[pa.RecordBatch], vocab: Vocabulary, shards: in
 
     for batch in batches(rows):
         buf, offs = buffer_of(batch.column(0))
-        for _, _, b, o in slices(buf, offs):
+        for _, _, b, o in slices(buf, offs, 2 * SLICE):
             hashes, ptr = tokens(b, o)
             keys, tokens_of, _ = _bigrams(hashes, ptr, vocab)
             keys, one, counts = np.unique(keys, return_index=True, return_counts=True)
@@ -221,16 +222,16 @@ class ShardOf:
         return _shard(keys, np.where(hot, HOT, 0), self.shards)
 
 
-def _pieces(kind: int, ids: np.ndarray, *values: np.ndarray) -> Iterator[dict]:
+def _pieces(per_file: int, kind: int, ids: np.ndarray, *values: np.ndarray) -> Iterator[dict]:
     """Rows (file of step 3, kind, packed ids and values)."""
-    cuts = np.searchsorted(ids, np.arange(0, (int(ids[-1]) // PER_FILE + 2) * PER_FILE, PER_FILE)) if len(ids) else [0]
+    cuts = np.searchsorted(ids, np.arange(0, (int(ids[-1]) // per_file + 2) * per_file, per_file)) if len(ids) else [0]
     for f, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
         if a < b:
             data = np.concatenate([ids[a:b].astype(np.int64), *(v[a:b].astype(np.int64) for v in values)])
             yield {"file": f, "kind": kind, "blob": zstandard.ZstdCompressor(level=1).compress(data.tobytes())}
 
 
-def _merge_shard(table: pa.Table, path: str) -> pa.Table:
+def _merge_shard(table: pa.Table, path: str, per_file: int) -> pa.Table:
     shard = table["shard"][0].as_py()
     tally = Tally()
     for blob in table["blob"]:
@@ -245,7 +246,7 @@ def _merge_shard(table: pa.Table, path: str) -> pa.Table:
     first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
     sums = [np.add.reduceat(v.astype(np.int64), first) for v in (counts, counts == 1, counts == 2, counts > 2)]
     followed, n_before = np.unique(word, return_counts=True)
-    rows = [*_pieces(0, context[first], *sums), *_pieces(1, followed, n_before)]
+    rows = [*_pieces(per_file, 0, context[first], *sums), *_pieces(per_file, 1, followed, n_before)]
     spread = np.bincount(np.minimum(counts, 5), minlength=6)[1:5]
     rows.append({"file": -1, "kind": 2, "blob": np.append(spread, len(keys)).astype(np.int64).tobytes()})
     return pa.Table.from_pylist(rows, pa.schema([("file", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())]))
@@ -254,14 +255,14 @@ def _merge_shard(table: pa.Table, path: str) -> pa.Table:
 COLUMNS = ("total", "one", "two", "more", "before")
 
 
-def _merge_file(table: pa.Table, path: str) -> pa.Table:
+def _merge_file(table: pa.Table, path: str, per_file: int) -> pa.Table:
     f = table["file"][0].as_py()
-    out = {c: np.zeros(PER_FILE, np.int64) for c in COLUMNS}
+    out = {c: np.zeros(per_file, np.int64) for c in COLUMNS}
     for kind, blob in zip(table["kind"].to_pylist(), table["blob"].to_pylist()):
         data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64)
         ids, *values = data.reshape(5 if kind == 0 else 2, -1)
         for c, v in zip(COLUMNS[:4] if kind == 0 else COLUMNS[4:], values):
-            np.add.at(out[c], ids - f * PER_FILE, v)
+            np.add.at(out[c], ids - f * per_file, v)
     used = int(np.flatnonzero(out["before"] + out["total"]).max()) + 1
     hashstore._write(f"{path}/by-{f:06d}.arrow", {c: v[:used] for c, v in out.items()})
     spread = np.bincount(np.minimum(out["before"], 5), minlength=6)
@@ -279,8 +280,8 @@ def discounts(c1: int, c2: int, c3: int, c4: int) -> np.ndarray:
 class BigramModel:
     """The arrays of a fitted model; opens them where it is used."""
 
-    def __init__(self, path: str, shards: int, vocab: Vocabulary, high: np.ndarray, low: np.ndarray, low_n: tuple, types: int):
-        self.path, self.shards, self.vocab = path, shards, vocab
+    def __init__(self, path: str, shards: int, per_file: int, vocab: Vocabulary, high: np.ndarray, low: np.ndarray, low_n: tuple, types: int):
+        self.path, self.shards, self.per_file, self.vocab = path, shards, per_file, vocab
         self.high, self.low, self.low_n, self.types = high, low, low_n, types
         self._open: dict = {}
 
@@ -294,11 +295,11 @@ class BigramModel:
 
     def word_values(self, ids: np.ndarray, columns: tuple) -> dict[str, np.ndarray]:
         out = {c: np.zeros(len(ids), np.int64) for c in columns}
-        file = ids // PER_FILE
+        file = ids // self.per_file
         for f in np.unique(file):
             at = np.flatnonzero(file == f)
             rows = self._file(f"by-{f:06d}")
-            place = ids[at] - f * PER_FILE
+            place = ids[at] - f * self.per_file
             ok = place < len(rows.get("total", ()))
             for c in columns:
                 if ok.any():
@@ -347,20 +348,22 @@ def fit(training: DataFrame, shard_tokens: int = 2_000_000) -> BigramModel:
     spark = training.sparkSession
     path = fresh_path(spark, "bigrams")
     shards = max(1, -(-vocab.n_tokens // shard_tokens))
+    # as many files as shards: what words are told by the shards stays bounded per file
+    per_file = max(LEAST_PER_FILE, -(-(vocab.n_often + WORDS_FROM) // shards))
     packed = training.mapInArrow(lambda it: _count_bigrams(it, vocab, shards), "shard int, blob binary")
     merged = materialize(
-        packed.groupBy("shard").applyInArrow(lambda t: _merge_shard(t, path), "file int, kind int, blob binary"), "shards"
+        packed.groupBy("shard").applyInArrow(lambda t: _merge_shard(t, path, per_file), "file int, kind int, blob binary"), "shards"
     )
     spread = np.zeros(5, np.int64)
     for r in merged.where("kind = 2").collect():  # a row of five numbers per shard
         spread += np.frombuffer(r.blob, np.int64)
     low = (
         merged.where("kind < 2").groupBy("file")
-        .applyInArrow(lambda t: _merge_file(t, path), "c1 long, c2 long, c3 long, c4 long, more long, types long")
+        .applyInArrow(lambda t: _merge_file(t, path, per_file), "c1 long, c2 long, c3 long, c4 long, more long, types long")
         .agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("c1", "c2", "c3", "c4", "more", "types"))).first()
     )
     return BigramModel(
-        path, shards, vocab, discounts(*spread[:4]), discounts(low.c1, low.c2, low.c3, low.c4), (low.c1, low.c2, low.more), low.types
+        path, shards, per_file, vocab, discounts(*spread[:4]), discounts(low.c1, low.c2, low.c3, low.c4), (low.c1, low.c2, low.more), low.types
     )
 
 
@@ -370,7 +373,7 @@ def _score(rows: Iterator[pa.RecordBatch], model: BigramModel) -> Iterator[pa.Re
     floor = np.log10(vocab.n_tokens + kinds + 1)
     for batch in batches(rows):
         buf, offs = buffer_of(batch.column(1))
-        for a, z, b, o in slices(buf, offs):
+        for a, z, b, o in slices(buf, offs, 2 * SLICE):
             hashes, ptr = tokens(b, o)
             keys, tokens_of, n = _bigrams(hashes, ptr, vocab)
             known = np.add.reduceat((n > 0).astype(np.int64), ptr[:-1])
