@@ -14,7 +14,7 @@ from typing import Any
 
 from .functions import metrics as M
 from .plans import report as R
-from .plans.config import PipelineConfig, ablation_grid, expand_grid, load_grid
+from .plans.config import RETRIEVERS, PipelineConfig, ablation_grid, expand_grid, load_grid
 from .plans.evaluate import EvalResult, evaluate, run_sweep
 from .plans.pipeline import RetrievalPipeline
 from .session import local_session
@@ -141,7 +141,7 @@ def compare(spark, a) -> int:
 def serve(spark, a) -> int:
     from .plans.service import serve as make
 
-    make(RetrievalPipeline.load(spark, a.index), a.host, a.port).serve_forever()
+    make(RetrievalPipeline.load(spark, a.index), a.port, a.host).serve_forever()
     return DONE
 
 
@@ -156,7 +156,7 @@ def parser() -> argparse.ArgumentParser:
         s.set_defaults(run=run)
 
     positional = {"text", "baseline", "candidate"}
-    need, stack = {"required": True}, {"config": {}, "chunker": {}, "retriever": {"choices": ["dense", "bm25", "hybrid"]}}
+    need, stack = {"required": True}, {"config": {}, "chunker": {}, "retriever": {"choices": RETRIEVERS}}
     scored = {"ks": {"type": parse_ks, "default": list(M.KS)}, "granularity": {"choices": ["doc", "chunk"], "default": "doc"}, "html": {}, "json": {}}
     at = {"index": {"default": INDEX}}
     command("index", index, corpus=need, out={"default": INDEX}, embedder={}, store={}, **stack)

@@ -104,7 +104,7 @@ def percentiles(values: DataFrame, column: str, points: Sequence[float]) -> Data
     return values.agg(*(F.coalesce(F.percentile(column, p / 100), F.lit(0.0)).alias(f"p{p:g}") for p in points))
 
 
-def failures(long: DataFrame, metric: str = "mrr", threshold: float = 0.0) -> DataFrame:
+def failures(long: DataFrame, metric="mrr", threshold=0.0) -> DataFrame:
     return long.where((F.col("metric") == metric) & (F.col("value") <= threshold))
 
 

@@ -8,19 +8,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words with inner hyphens and apostrophes, or one character of punctuation.
-WORDS = r"(?U)\w+(?:[-'’]\w+)*|[^\w\s]"
-TERMS = r"[a-z0-9]+(?:[-'][a-z0-9]+)*"
+WORDS = r"(?U)\w+(?:['’-]\w+)*|[^\s\w]"
+_TERM = "[0-9a-z]+"
+TERMS = f"{_TERM}(?:['-]{_TERM})*"
 STOPWORDS = tuple(
     "the of and to in a is that it for on as with at by from be are was or an were has have its how into who will what which when where".split()
 )
 _UNIT = "\x1f"
-_ABBREVIATIONS = ("e\\.g", "i\\.e", "etc", "vs", "No", "Fig")
+_ABBREVIATIONS = (r"e\.g", r"i\.e", "etc", "vs", "No", "Fig")
 #: White space after a sentence's end, with closers before it, unless an abbreviation ends there.
-SENTENCE_END = (
-    "(?U)(?<![A-Z][a-z]\\.)(?<!\\b[A-Z]\\.)"
-    + "".join(f"(?<!\\b{a}\\.)" for a in _ABBREVIATIONS)
-    + "(?<=[.!?])[\"')\\]]*\\s+(?=[A-Z0-9\"'(\\[])"
-)
+_NEVER = (r"[A-Z][a-z]\.", r"\b[A-Z]\.", *(rf"\b{a}\." for a in _ABBREVIATIONS))
+_CLOSERS, _OPENERS = r"""[\])'"]*""", r"""[\[("'0-9A-Z]"""
+SENTENCE_END = "(?U)" + "".join(f"(?<!{x})" for x in _NEVER) + rf"(?<=[!?.]){_CLOSERS}\s+(?={_OPENERS})"
 
 
 def strip(c: Column) -> Column:
@@ -57,7 +56,7 @@ def stem(t: Column) -> Column:
     ends = lambda *tails: reduce(Column.__or__, (t.endswith(x) for x in tails))
     return (
         F.when(long & t.endswith("ies"), F.concat(cut(3), F.lit("y")))
-        .when(long & ends("sses", "ches", "shes", "xes"), cut(2))
+        .when(long & ends("xes", "sses", "shes", "ches"), cut(2))
         .when((n > 5) & t.endswith("ing"), cut(3))
         .when(long & t.endswith("ed"), cut(2))
         .when((n > 3) & t.endswith("s") & ~ends("ss", "us", "is"), cut(1))

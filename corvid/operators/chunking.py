@@ -10,8 +10,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
-from itertools import accumulate
+from dataclasses import dataclass, field, fields
+from itertools import accumulate, batched
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -111,7 +111,8 @@ class Chunker:
         return run(text)
 
     def describe(self) -> str:
-        return self.name
+        shown = [f"{f.name}={getattr(self, f.name)}" for f in fields(self) if f.type == "int"]
+        return f"{self.name}({', '.join(shown)})"
 
     def split(self, docs: DataFrame) -> DataFrame:
         """Chunks: chunk_id, doc_id, position, text, metadata (the document's and
@@ -144,9 +145,6 @@ class Fixed(Chunker):
         cut = lambda s: F.array_join(F.slice(words, s + 1, F.lit(self.size)), " ")
         return F.when(n > 0, F.transform(F.sequence(F.lit(0), last, F.lit(step)), cut)).otherwise(F.array().cast("array<string>"))
 
-    def describe(self) -> str:
-        return f"fixed(size={self.size}, overlap={self.overlap})"
-
 
 @dataclass(frozen=True)
 class Sentence(Chunker):
@@ -163,9 +161,6 @@ class Sentence(Chunker):
     def pieces_of(self, text: str) -> list[str]:
         return pack_text(sentence_list(text), self.size, self.overlap, self.length, " ", max(1, self.size // 6))
 
-    def describe(self) -> str:
-        return f"sentence(size={self.size}, overlap={self.overlap})"
-
 
 @dataclass(frozen=True)
 class Recursive(Chunker):
@@ -174,7 +169,7 @@ class Recursive(Chunker):
 
     size: int = 800
     overlap: int = 120
-    separators: tuple[str, ...] = ("\n## ", "\n### ", "\n\n", "\n", ". ", " ", "")
+    separators: tuple[str, ...] = (*("\n" + x for x in ("## ", "### ", "\n", "")), ". ", " ", "")
     length: Callable[[str], int] = field(default=len, compare=False)
     name = "recursive"
 
@@ -191,7 +186,7 @@ class Recursive(Chunker):
             if self.length(piece) <= self.size or level == len(self.separators):
                 out.append(piece)
             elif not (sep := self.separators[level]):
-                out += [piece[i : i + self.size] for i in range(0, len(piece), self.size)]
+                out += map("".join, batched(piece, self.size))
             else:
                 head, *tail = piece.split(sep)
                 stack += reversed([(p, level + 1) for p in (head, *(sep + t for t in tail))])
@@ -201,9 +196,6 @@ class Recursive(Chunker):
         units = [p for p in self._cut(text.strip()) if p.strip()]
         return pack_text(units, self.size, self.overlap, self.length, "", max(1, self.size // 8))
 
-    def describe(self) -> str:
-        return f"recursive(size={self.size}, overlap={self.overlap})"
-
 
 @dataclass(frozen=True)
 class Markdown(Chunker):
@@ -238,9 +230,6 @@ class Markdown(Chunker):
             out += [body] if len(body) <= self.max_size else Recursive(self.max_size, self.overlap).pieces_of(body)
         return out
 
-    def describe(self) -> str:
-        return f"markdown(max_size={self.max_size})"
-
 
 CHUNKERS: dict[str, type[Chunker]] = {c.name: c for c in (Fixed, Sentence, Recursive, Markdown)}
 

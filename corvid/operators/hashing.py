@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha1
 
 import numpy as np
 import pandas as pd
@@ -72,11 +72,10 @@ class HashingOptions:
             raise ValueError(f"dim must be above 0, not {self.dim}")
 
     def describe(self) -> str:
-        return f"hashing(dim={self.dim})"
+        return "hashing to %d" % self.dim
 
     def fingerprint(self, idf_tag: str = "none") -> str:
-        grams = "-".join(map(str, self.word_ngrams))
-        return f"hashing:{self.dim}:w{grams}:c{self.char_ngrams}:tf{int(self.sublinear_tf)}:{idf_tag}"
+        return ":".join(map(str, ("hashing", self.dim, *self.word_ngrams, f"chars{self.char_ngrams}", self.sublinear_tf, idf_tag)))
 
     def features(self, text: str) -> list[str]:
         words = _TERM.findall(text.lower())
@@ -181,7 +180,7 @@ class HashingEmbedder:
         for r in fit_idf(chunks, o).collect():  # dim rows at most
             weights[r.bucket] = r.idf
         key = chunks.agg(F.bit_xor(F.xxhash64("chunk_id", "text")).alias("x")).first().x
-        return HashingEmbedder(o, weights, f"{n}-{hashlib.sha1(str(key).encode()).hexdigest()[:8]}")
+        return HashingEmbedder(o, weights, f"{n}-{sha1(str(key).encode()).hexdigest()[:8]}")
 
     @property
     def fingerprint(self) -> str:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+RULE = "---".join(("\n\n", "\n\n"))  # a line between texts
+
+
 def top_k(scored: DataFrame, k: int, *ties: Column | str, by: str = "query_id") -> DataFrame:
     """The k best rows per query, ranked from 1. Scores equal to 9 digits are
     ties, settled by `ties` ascending, so results don't hang on float noise.
@@ -19,7 +22,7 @@ def rank_and_tag(scored: DataFrame, source: str, k: int) -> DataFrame:
     return top_k(scored, k).withColumn("source", F.lit(source))
 
 
-def as_context(hits: DataFrame, k: int | None = None, separator: str = "\n\n---\n\n") -> DataFrame:
+def as_context(hits: DataFrame, k=None, separator=RULE) -> DataFrame:
     """Per query the texts of its best hits, in order, as one string."""
     best = hits if k is None else hits.where(F.col("rank") <= k)
     rows = F.array_sort(F.collect_list(F.struct("rank", "text")))

@@ -12,22 +12,32 @@ RETRIEVERS = ("bm25", "dense", "hybrid")
 RERANKERS = (None, "mmr", "cross-encoder")
 
 
+Options = dict[str, Any]
+Grid = dict[str, list[Any]]
+
+
+def _none() -> Any:
+    return field(default_factory=dict)
+
+
 @dataclass
 class PipelineConfig:
-    name: str = "default"
+    """Parts by name, each with its options."""
+
+    retriever: str = "hybrid"
     chunker: str = "sentence"
-    chunker_args: dict[str, Any] = field(default_factory=dict)
     embedder: str = "hashing"
-    embedder_args: dict[str, Any] = field(default_factory=dict)
-    embedder_cache: str | None = None
-    fit_embedder: bool = True
     store: str = "memory"
-    store_args: dict[str, Any] = field(default_factory=dict)
-    retriever: str = "hybrid"
-    bm25_args: dict[str, Any] = field(default_factory=dict)
-    hybrid_args: dict[str, Any] = field(default_factory=dict)
     rerank: str | None = None
-    rerank_args: dict[str, Any] = field(default_factory=dict)
+    fit_embedder: bool = True
+    embedder_cache: str | None = None
+    hybrid_args: Options = _none()
+    bm25_args: Options = _none()
+    chunker_args: Options = _none()
+    embedder_args: Options = _none()
+    rerank_args: Options = _none()
+    store_args: Options = _none()
+    name: str = "default"
 
     def __post_init__(self) -> None:
         for what, value, known in (("retriever", self.retriever, RETRIEVERS), ("rerank", self.rerank, RERANKERS)):
@@ -36,16 +46,16 @@ class PipelineConfig:
 
     @property
     def label(self) -> str:
-        size = self.chunker_args.get("size") or self.chunker_args.get("max_size")
+        size = next((v for k in ("size", "max_size") if (v := self.chunker_args.get(k))), None)
         fusion = f"[{self.hybrid_args.get('fusion', 'rrf')}]" if self.retriever == "hybrid" else ""
         stack = [self.chunker + (f"@{size}" if size else ""), self.embedder, self.retriever + fusion]
         return " / ".join(stack + ([f"+{self.rerank}"] if self.rerank else []))
 
-    def to_dict(self) -> dict[str, Any]:
+    def to_dict(self) -> Options:
         return asdict(self)
 
-    def to_json(self, path: str) -> None:
-        target = Path(path)
+    def to_json(self, file: str) -> None:
+        target = Path(file)
         target.parent.mkdir(parents=True, exist_ok=True)
         target.write_text(json.dumps(self.to_dict(), indent=2), "utf-8")
 
@@ -53,7 +63,7 @@ class PipelineConfig:
     def from_dict(given: dict[str, Any]) -> PipelineConfig:
         known = [f.name for f in fields(PipelineConfig)]
         if wrong := sorted(given.keys() - set(known)):
-            raise ValueError(f"no such settings: {', '.join(wrong)}; there are {', '.join(sorted(known))}")
+            raise ValueError(f"no such settings: {wrong}; there are {sorted(known)}")
         return PipelineConfig(**given)
 
     @staticmethod
@@ -67,14 +77,14 @@ class PipelineConfig:
 def read_structured(path: str) -> Any:
     """JSON, or YAML where PyYAML is installed and the name says so."""
     raw = Path(path).read_text("utf-8")
-    if path.endswith((".yaml", ".yml")):
-        import yaml
+    if Path(path).suffix in (".yml", ".yaml"):
+        from yaml import safe_load
 
-        return yaml.safe_load(raw)
+        return safe_load(raw)
     return json.loads(raw)
 
 
-def expand_grid(base: PipelineConfig, grid: dict[str, list[Any]]) -> list[PipelineConfig]:
+def expand_grid(base: PipelineConfig, grid: Grid) -> list[PipelineConfig]:
     """base with every combination of the grid's values, named by its label."""
     if not grid:
         return [base]
@@ -84,13 +94,13 @@ def expand_grid(base: PipelineConfig, grid: dict[str, list[Any]]) -> list[Pipeli
     return out
 
 
-def load_grid(path: str) -> list[PipelineConfig]:
-    """A list of configurations, or {"base": ..., "grid": {field: values}}."""
-    spec = read_structured(path)
+def load_grid(file: str) -> list[PipelineConfig]:
+    """From a file that lists configurations or gives a base and a grid."""
+    spec = read_structured(file)
     if isinstance(spec, list):
         return [PipelineConfig.from_dict(x) for x in spec]
     return expand_grid(PipelineConfig.from_dict(spec.get("base", {})), spec.get("grid", {}))
 
 
-def ablation_grid() -> dict[str, list[Any]]:
-    return {"chunker": ["fixed", "recursive", "sentence", "markdown"], "retriever": ["bm25", "dense", "hybrid"]}
+def ablation_grid() -> Grid:
+    return {"chunker": "sentence fixed markdown recursive".split(), "retriever": list(RETRIEVERS)}

@@ -16,6 +16,9 @@ from ..functions import metrics as M
 from .config import PipelineConfig
 from .pipeline import RetrievalPipeline
 
+#: Told the number of a configuration, how many there are, and its label.
+Progress = Callable[[int, int, str], None]
+
 
 @dataclass
 class EvalResult:
@@ -23,28 +26,31 @@ class EvalResult:
     metrics: dict[str, float]
     per_query: list[dict[str, Any]]
     latency_ms: dict[str, float] = field(default_factory=dict)
-    index_seconds: float = 0.0
     n_queries: int = 0
     n_chunks: int = 0
-    config: dict[str, Any] = field(default_factory=dict)
+    index_seconds: float = 0.0
+    config: dict[str, Any] | None = None
 
-    def primary(self, metric: str = "recall@5") -> float:
+    def primary(self, metric="recall@5"):
         return self.metrics.get(metric, 0.0)
 
-    def failures(self, metric: str = "mrr", threshold: float = 0.0) -> list[dict[str, Any]]:
-        return [q for q in self.per_query if q["metrics"].get(metric, 0.0) <= threshold]
+    def values(self, metric: str) -> list[float]:
+        return [q["metrics"].get(metric, 0.0) for q in self.per_query]
+
+    def failures(self, metric="mrr", threshold=0.0) -> list[dict[str, Any]]:
+        return [q for q, v in zip(self.per_query, self.values(metric)) if v <= threshold]
 
-    def confidence_interval(self, metric: str = "recall@5", z: float = 1.96) -> tuple[float, float]:
+    def confidence_interval(self, metric="recall@5", z=1.96) -> tuple[float, float]:
         from statistics import fmean, stdev
 
-        values = [q["metrics"].get(metric, 0.0) for q in self.per_query]
+        values = self.values(metric)
         if len(values) < 2:
             return 0.0, 0.0
         half = z * stdev(values) / len(values) ** 0.5
         return max(0.0, fmean(values) - half), min(1.0, fmean(values) + half)
 
-    def to_dict(self) -> dict[str, Any]:
-        return dict(self.__dict__)
+    def to_dict(self) -> dict:
+        return dict(vars(self))
 
     def save(self, path: str) -> None:
         Path(path).parent.mkdir(parents=True, exist_ok=True)
@@ -57,7 +63,7 @@ class EvalResult:
 
 
 def evaluate(
-    pipeline: RetrievalPipeline, queries: DataFrame, ks: Sequence[int] = M.KS, granularity: str = "doc", label: str | None = None, index_seconds: float = 0.0
+    pipeline: RetrievalPipeline, queries: DataFrame, ks: Sequence[int] = M.KS, granularity="doc", label=None, index_seconds=0.0
 ) -> EvalResult:
     """Every query in one job. Latency is the batch's time per query."""
     if queries.isEmpty():
@@ -82,7 +88,7 @@ def evaluate(
     means = {n: sum(q["metrics"][n] for q in per_query) / len(per_query) for n in names}
     latency = {"mean": each, "p50": each, "p95": each, "max": each}
     del n_hits
-    return EvalResult(label or pipeline.config.label, means, per_query, latency, index_seconds, len(rows), pipeline.chunks.count(), pipeline.config.to_dict())
+    return EvalResult(label or pipeline.config.label, means, per_query, latency, len(rows), pipeline.chunks.count(), index_seconds, pipeline.config.to_dict())
 
 
 @dataclass
@@ -107,13 +113,13 @@ class SweepReport:
         values = [r["metrics"].get(self.primary, 0.0) for r in self.rows if r["error"] is None]
         return max(values) - min(values) if values else 0.0
 
-    def to_dict(self) -> dict[str, Any]:
-        return {"primary": self.primary, "n_queries": self.n_queries, "rows": self.ranked()}
+    def to_dict(self) -> dict:
+        return {"rows": self.ranked(), "primary": self.primary, "n_queries": self.n_queries}
 
 
 def run_sweep(
-    configs: Sequence[PipelineConfig], docs: DataFrame, queries: DataFrame, ks: Sequence[int] = M.KS, primary: str = "recall@5",
-    granularity: str = "doc", on_progress: Callable[[int, int, str], None] | None = None,
+    configs: Sequence[PipelineConfig], docs: DataFrame, queries: DataFrame, ks: Sequence[int] = M.KS, primary="recall@5", granularity="doc",
+    on_progress: Progress | None = None,
 ) -> SweepReport:
     """Each configuration indexed and evaluated; one that fails is a row with its error."""
     rows = []

@@ -129,7 +129,7 @@ class RetrievalPipeline:
             "query_id", "rank", "score", "source", "components", "chunk_id", "doc_id", "text", "metadata"
         )
 
-    def search(self, query: str, k: int = 5, where: dict[str, Any] | None = None) -> DataFrame:
+    def search(self, query: str, k=5, where=None) -> DataFrame:
         """One query's hits in order."""
         one = self.chunks.sparkSession.createDataFrame([("q", query)], "query_id string, text string")
         return self.retrieve(one, k, where).orderBy("rank").limit(max(k, 0))
@@ -148,7 +148,7 @@ class RetrievalPipeline:
     def describe(self) -> str:
         return f"{self.chunker.describe()} -> {self.config.embedder} -> {self.config.label}"
 
-    def save(self, path: str) -> None:
+    def save(self, path) -> None:
         """Tables and a manifest below path, over what was there."""
         self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
         if self.vectors is not None:

@@ -6,8 +6,8 @@ import html
 import os
 import re
 import sys
-import time
 from collections.abc import Sequence
+from datetime import datetime
 from pathlib import Path
 from typing import Any
 
@@ -19,7 +19,7 @@ _ANSI = re.compile(r"\x1b\[[0-9;]*m")
 def use_utf8() -> None:
     for s in (sys.stdout, sys.stderr):
         if hasattr(s, "reconfigure"):
-            s.reconfigure(encoding="utf-8", errors="replace")
+            s.reconfigure(errors="replace", encoding="utf-8")
 
 
 def colours() -> bool:
@@ -30,13 +30,11 @@ def colours() -> bool:
 
 def band(value: float) -> str:
     """Three digits, green from 0.8, yellow from 0.5, else red."""
-    text = f"{value:.3f}"
-    if not colours():
-        return text
-    return f"\x1b[{32 if value >= 0.8 else 33 if value >= 0.5 else 31}m{text}\x1b[0m"
+    code = 32 if value >= 0.8 else 33 if value >= 0.5 else 31
+    return f"\x1b[{code}m{value:.3f}\x1b[0m" if colours() else format(value, ".3f")
 
 
-def table(head: Sequence[str], rows: Sequence[Sequence[str]], right: Sequence[int] = ()) -> str:
+def table(head, rows, right=()) -> str:
     if not rows:
         return "(no rows)"
     seen = lambda s: len(_ANSI.sub("", s))
@@ -52,7 +50,7 @@ def eval_text(result: EvalResult, ks: Sequence[int]) -> str:
     rows = [[kind, *(band(result.metrics.get(f"{kind}@{k}", 0.0)) for k in ks)] for kind in kinds]
     low, high = result.confidence_interval(f"recall@{ks[-1]}")
     out = [f"{result.label}: {result.n_queries} queries, {result.n_chunks} chunks", "", table(["", *(f"@{k}" for k in ks)], rows, range(1, len(ks) + 1)), ""]
-    out.append(f"mrr {band(result.metrics.get('mrr', 0.0))}  map {band(result.metrics.get('map', 0.0))}  recall@{ks[-1]} in [{low:.3f}, {high:.3f}]")
+    out.append(f"mrr {band(result.metrics.get('mrr', 0.0))}  map {band(result.metrics.get('map', 0.0))}  recall@{ks[-1]} between {low:.3f} and {high:.3f}")
     if missed := result.failures():
         out += ["", f"{len(missed)} queries found nothing:", *(f"  {q['query_id']}: {q['query']}" for q in missed[:5])]
     return "\n".join(out)
@@ -64,7 +62,7 @@ def sweep_text(report: SweepReport) -> str:
         m = r["metrics"]
         values = [r["error"]] + [""] * 2 if r["error"] else [band(m.get(report.primary, 0.0)), band(m.get("mrr", 0.0)), str(r["n_chunks"])]
         rows.append([str(i), r["label"], *values])
-    return table(["#", "configuration", report.primary, "mrr", "chunks"], rows, (0, 2, 3, 4))
+    return table(["", "configuration", report.primary, "mrr", "chunks"], rows, (0, 2, 3, 4))
 
 
 def hits_text(query: str, hits: Sequence[dict[str, Any]], width: int = 240) -> str:
@@ -86,7 +84,7 @@ _STYLE = (
 
 
 def _page(title: str, body: str) -> str:
-    made = time.strftime("%Y-%m-%d %H:%M")
+    made = datetime.now().isoformat(" ", "minutes")
     return f'<!doctype html><html lang="en"><meta charset="utf-8"><title>{html.escape(title)}</title><style>{_STYLE}</style><h1>{html.escape(title)}</h1>{body}<footer><p><small>{made}</small></p></footer></html>'
 
 
@@ -101,7 +99,8 @@ def _rows(head: Sequence[str], rows: Sequence[tuple[str, Sequence[str]]]) -> str
 
 def eval_html(result: EvalResult, path: str, ks: Sequence[int]) -> None:
     m = result.metrics
-    cards = _cards([(f"recall@{ks[-1]}", f"{m.get(f'recall@{ks[-1]}', 0):.3f}"), ("MRR", f"{m.get('mrr', 0):.3f}"), ("queries", str(result.n_queries)), ("chunks", str(result.n_chunks))])
+    shown = [(n, format(m.get(n, 0.0), ".3f")) for n in (f"recall@{ks[-1]}", "mrr")]
+    cards = _cards([*shown, *((n, str(getattr(result, f"n_{n}"))) for n in ("chunks", "queries"))])
     grid = _rows(["metric", *(f"@{k}" for k in ks)], [("", [kind, *(f"{m.get(f'{kind}@{k}', 0):.3f}" for k in ks)]) for kind in ("recall", "precision", "hit", "ndcg")])
     missed = result.failures()[:15]
     rest = "<h2>Nothing found</h2>" + _rows(["query", "text", "expected"], [("", [html.escape(str(q["query_id"])), html.escape(q["query"]), html.escape(", ".join(q["relevant"]))]) for q in missed]) if missed else ""

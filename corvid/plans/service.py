@@ -42,7 +42,7 @@ def search_batch(pipeline: RetrievalPipeline, queries: DataFrame, k: int = 5, wh
     return pipeline.retrieve(queries, k, where).withColumn("score", F.round("score", 6))
 
 
-def serve(pipeline: RetrievalPipeline, host: str = "127.0.0.1", port: int = 8000) -> HTTPServer:
+def serve(pipeline: RetrievalPipeline, port: int = 8000, host: str = "127.0.0.1") -> HTTPServer:
     """An HTTP server (not started): GET /health, GET /search?q=&k=, POST /search."""
 
     class Handler(BaseHTTPRequestHandler):

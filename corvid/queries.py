@@ -58,8 +58,9 @@ def r6(c: str):
     return F.round(c, 6).alias(c)
 
 
-# ---- SQL that several oracles share -------------------------------------------------------------
+# SQL that several oracles share
 
+_TERM = T.TERMS.replace("'", "''")
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 _STEM = (
     "case when length(t) > 4 and ends_with(t, 'ies') then t[:-4] || 'y' when length(t) > 4 and regexp_matches(t, '(sses|ches|shes|xes)$') then t[:-3]"
@@ -69,7 +70,7 @@ _STEM = (
 
 
 def sql_terms(x: str, full: bool = True) -> str:
-    found = f"regexp_extract_all(lower({x}), '[a-z0-9]+(?:[-''][a-z0-9]+)*')"
+    found = f"regexp_extract_all(lower({x}), '{_TERM}')"
     return f"list_transform(list_filter({found}, lambda t: t not in ({_STOP})), lambda t: {_STEM})" if full else found
 
 
@@ -83,7 +84,7 @@ asked as (select item_id as query_id, unnest({sql_terms("text")}) as term from b
 """
 
 
-def sql_bm25(k1: float = 1.5, b: float = 0.75, where: str = "true", k: int = 10) -> str:
+def sql_bm25(k1=1.5, b=0.75, where="true", k=10) -> str:
     """query_id, doc_id, score, rank."""
     return f"""(select query_id, doc_id, score, rank from (
   select query_id, doc_id, score, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from (
@@ -140,7 +141,7 @@ def sql_hashed(k: int) -> str:
 
 # terms are ASCII, so a character is a byte
 
-# ---- scans, text ----------------------------------------------------------------------------------
+# scans, text
 
 
 @query("select lang, count(*) as documents, round(avg(length(text)), 1) as mean_chars, max(length(text)) as max_chars, count(distinct source) as sources from documents group by lang")
@@ -195,7 +196,7 @@ def sentences(s, d):
     return _t(s, d, "documents").select("doc_id", T.sentences(F.col("text")).alias("w")).select("doc_id", *_listed(F.col("w")))
 
 
-# ---- chunkers -------------------------------------------------------------------------------------
+# chunkers
 
 
 def _chunked(chunker, docs: DataFrame) -> DataFrame:
@@ -249,7 +250,7 @@ def chunk_markdown(s, d):
     return _chunked(Markdown(), _t(s, d, "documents").select("doc_id", doc.alias("text")))
 
 
-# ---- filters --------------------------------------------------------------------------------------
+# filters
 
 
 def _filtered(s, d, where: dict) -> DataFrame:
@@ -296,7 +297,7 @@ def filter_dynamic(s, d):
     return events.where(compile_filter({"k": {"$gt": 50}, "absent": None})).select("event_id", "event_type")
 
 
-# ---- BM25 -----------------------------------------------------------------------------------------
+# BM25
 
 
 @query(f"with {_INDEX} select term, df, round(idf, 6) as idf from term_stats")
@@ -341,7 +342,7 @@ def bm25_params(s, d):
     return _shown(_bm25(s, d, k1=0.9, b=0.4))
 
 
-# ---- vectors --------------------------------------------------------------------------------------
+# vectors
 
 
 def _vectors(s, d) -> DataFrame:
@@ -381,7 +382,7 @@ def vector_get(s, d):
     return get(_vectors(s, d), ids).select("position", F.col("chunk_id").alias("vec_id"), "label")
 
 
-@query("""with words as (select distinct unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:[-''][a-z0-9]+)*')) as word from documents),
+@query("""with words as (select distinct unnest(regexp_extract_all(lower(text), '""" + _TERM + """')) as word from documents),
 h as (select word, list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(range(1, length(word) + 1), lambda i: ord(substr(word, i, 1))::hugeint)),
   lambda h, b: (xor(h, b) * 1099511628211::hugeint) % 18446744073709551616::hugeint) as h from words)
 select word, (case when h >= 9223372036854775808::hugeint then h - 18446744073709551616::hugeint else h end)::bigint as hash from h""")
@@ -411,7 +412,7 @@ def hash_dense_topk(s, d):
     return _shown(_hashed(s, d, 10)[1])
 
 
-# ---- fusion, re-ranking -----------------------------------------------------------------------------
+# fusion, re-ranking
 
 _TWO = f"""
 with {_INDEX}, one as {sql_bm25(k=20)}, two as {sql_bm25(0.9, 0.4, "lang = 'en'", 20)},
@@ -473,7 +474,7 @@ def mmr_rerank(s, d):
     return _shown_v(fusion.mmr(pool, 5))
 
 
-# ---- metrics --------------------------------------------------------------------------------------
+# metrics
 
 _JUDGED = """
 shared as (select query_id, doc_id, count(distinct term) as n from asked join postings using (term) join term_stats using (term) where idf >= 4 group by all),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-EXTENSIONS = (".md", ".markdown", ".txt", ".rst")
+EXTENSIONS = tuple(f".{e}" for e in "md markdown rst txt".split())
 QUERY_SCHEMA = "id string, query string, text string, relevant_doc_ids array<string>, grades map<string,double>, metadata map<string,string>"
 
 
@@ -53,7 +53,7 @@ def read_directory(spark: SparkSession, path: str, extensions: Sequence[str] = E
     return docs.select(F.coalesce(named, F.regexp_replace("rel", r"\.[^./]+$", "")).alias("doc_id"), "text", source.alias("metadata"))
 
 
-def read_jsonl(spark: SparkSession, path: str, id_field: str = "id", text_field: str = "text") -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, id_field="id", text_field="text") -> DataFrame:
     """Lines of JSON as documents. Blank lines are skipped; a line that isn't an
     object or lacks the text raises an error with its number; without an id a
     line is named by its number in the file. What else it holds is metadata.
@@ -76,7 +76,7 @@ def read_jsonl(spark: SparkSession, path: str, id_field: str = "id", text_field:
     )
 
 
-def load_documents(spark: SparkSession, path: str, extensions: Sequence[str] = EXTENSIONS, id_field: str = "id", text_field: str = "text") -> DataFrame:
+def load_documents(spark: SparkSession, path: str, extensions: Sequence[str] = EXTENSIONS, id_field="id", text_field="text") -> DataFrame:
     """A directory of text files, or a file of JSON lines. ValueError if nothing is there."""
     docs = read_jsonl(spark, path, id_field, text_field) if os.path.isfile(path) else read_directory(spark, path, extensions)
     if docs.isEmpty():

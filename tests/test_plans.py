@@ -45,7 +45,7 @@ def folder(tmp_path_factory):
         (root / "docs" / name).write_text(text, "utf-8")
     (root / "q.jsonl").write_text("\n".join(map(json.dumps, QUERIES)) + "\n\n", "utf-8")
     (root / "q.json").write_text(json.dumps(QUERIES, indent=1), "utf-8")
-    (root / "docs.jsonl").write_text('{"id": "a", "text": " one ", "team": "x"}\n\n{"text": "two", "n": 3}\n', "utf-8")
+    (root / "docs.jsonl").write_text('{"team": "x", "id": "a", "text": " one "}\n\n{"text": "two", "n": 3}\n', "utf-8")
     return root
 
 
@@ -91,7 +91,7 @@ def test_queries(spark, folder, tmp_path):
 
 
 def test_configuration(tmp_path):
-    c = PipelineConfig(chunker="fixed", chunker_args={"size": 64}, rerank="mmr")
+    c = PipelineConfig(rerank="mmr", chunker_args={"size": 64}, chunker="fixed")
     assert c.label == "fixed@64 / hashing / hybrid[rrf] / +mmr"
     c.to_json(str(tmp_path / "a" / "c.json"))
     assert PipelineConfig.from_file(str(tmp_path / "a" / "c.json")) == c
@@ -129,7 +129,7 @@ def test_stacks(spark, folder, retriever, rerank, fusion):
 
 def test_embedding_cache(spark, folder, tmp_path):
     docs = S.load_documents(spark, str(folder / "docs"))
-    c = PipelineConfig(retriever="dense", embedder_args={"dim": 32}, embedder_cache=str(tmp_path / "cache"))
+    c = PipelineConfig(embedder_cache=str(tmp_path / "cache"), embedder_args={"dim": 32}, retriever="dense")
     one, two = (RetrievalPipeline(c).index(docs).search("days", 3).collect() for _ in range(2))
     assert [r.chunk_id for r in one] == [r.chunk_id for r in two] and spark.read.parquet(str(tmp_path / "cache")).count() == 4
 
@@ -156,10 +156,10 @@ def test_command_line(spark, folder, tmp_path, capsys):
     assert cli.main(["query", "ERR_4029", "--index", ix, "--json", "-k", "1"]) == 0
     out = capsys.readouterr().out
     assert json.loads(out[out.index("{") :])["hits"][0]["doc_id"] == "auth"
-    assert cli.main(["query", "x", "--index", ix, "--where", "{bad"]) == 2
+    assert cli.main(["query", "--where", "{bad", "--index", ix, "x"]) == 2
     one, two = str(tmp_path / "1.json"), str(tmp_path / "2.json")
     assert cli.main(["eval", "--queries", q, "--index", ix, "--json", one, "--min-recall", "0.8"]) == 0
-    assert cli.main(["eval", "--queries", q, "--corpus", docs, "--retriever", "bm25", "--json", two, "--min-recall", "0.5", "--gate-k", "7"]) == 1
+    assert cli.main(["eval", "--queries", q, "--corpus", docs, "--retriever", "bm25", "--json", two, "--gate-k", "7", "--min-recall", "0.5"]) == 1
     assert cli.main(["compare", one, two]) == 0 and "the same" in capsys.readouterr().out
     (tmp_path / "u.jsonl").write_text('{"id": "u", "query": "a", "relevant_doc_ids": ["absent"]}')
     assert cli.main(["eval", "--queries", str(tmp_path / "u.jsonl"), "--corpus", docs]) == 2
@@ -210,5 +210,5 @@ def test_published_quality_is_met(spark):
         p = RetrievalPipeline(PipelineConfig(chunker="sentence", retriever=retriever, embedder_args={"dim": 1024})).index(docs)
         assert p.chunks.count() == 62
         m = evaluate(p, q).metrics
-        got = [m[k] for k in ("recall@1", "recall@3", "recall@5", "mrr", "ndcg@10")]
+        got = [m[k] for k in (*(f"recall@{k}" for k in (1, 3, 5)), "mrr", "ndcg@10")]
         assert got == pytest.approx(figures, abs=0.012), (retriever, got)
