@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import hashstore
 from .hashstore import HashStore, batches
 from .labelled import id_remainder
-from .shared import fresh_path, materialize
+from .shared import discard, fresh_path, materialize
 from .textops import NOT_SPACE, SLICE, U, buffer_of, mix, owners, prefix_sums, range_hashes, signed, slices, spans
 
 END = mix(np.array([0xE0D], np.uint64))[0]
@@ -164,6 +164,7 @@ def build_vocabulary(training: DataFrame) -> Vocabulary:
     numbered = often.withColumn("__s", hashstore.shard_column("key", bits)).groupBy("__s").applyInArrow(number, "key long, n long, number long")
     store, _ = hashstore.build(numbered, size.often, "often")
     once, _ = hashstore.build(words.where("n = 1").select("key"), size.once, "once")
+    discard(counts)
     return Vocabulary(store, once, total - WORDS_FROM, size.once, size.texts or 0, size.tokens or 0)
 
 
@@ -362,6 +363,7 @@ def fit(training: DataFrame, shard_tokens: int = 2_000_000) -> BigramModel:
         .applyInArrow(lambda t: _merge_file(t, path, per_file), "c1 long, c2 long, c3 long, c4 long, more long, types long")
         .agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("c1", "c2", "c3", "c4", "more", "types"))).first()
     )
+    discard(merged)
     return BigramModel(
         path, shards, per_file, vocab, discounts(*spread[:4]), discounts(low.c1, low.c2, low.c3, low.c4), (low.c1, low.c2, low.more), low.types
     )

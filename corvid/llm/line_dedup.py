@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashstore
-from .shared import materialize, remove
+from .shared import discard, materialize
 from .textops import U, buffer_of, line_spans, mix, prefix_sums, range_hashes, signed, slices
 
 
@@ -168,6 +168,7 @@ def dedup_lines(
     )
     counts = materialize(counts, "repeated")
     repeated, _ = hashstore.build(counts, counts.count(), "repeated")
+    discard(counts)
     found = narrow.mapInArrow(lambda it: _repeated(it, repeated, how), "key long, bytes binary, id long, line int")
     same = (
         found.groupBy("key")
@@ -177,6 +178,7 @@ def dedup_lines(
     )
     same = materialize(same, "chunks")
     store, _ = hashstore.build(same, same.count(), "chunks")
+    discard(same)
     added = "n_lines long, n_removed_lines long, removed array<struct<first:int,last:int>>"
     docs = docs.drop("n_lines", "n_removed_lines", "removed")
     schema = StructType(docs.schema.fields + StructType.fromDDL(added).fields)

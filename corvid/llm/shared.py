@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 def _remove(spark: SparkSession, path: str) -> None:
     import shutil
 
-    if path.startswith("file:"):
+    if path.startswith(("file:", "/")):
         shutil.rmtree(local_path(path), ignore_errors=True)
         return
     try:
@@ -55,18 +55,20 @@ def local_path(uri: str) -> str:
     return uri
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a table that no later step reads."""
-    _remove(spark, path)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: computed once, kept
     when executors are lost, and its lineage ends here."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that materialize() wrote, once nothing will read it again."""
+    _remove(df.sparkSession, df._table_path)
 
 
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -95,7 +97,8 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         low = star.groupBy("a").agg(F.min("b").alias("m"))
         own = low.select("a", F.col("m").alias("b"))
         others = star.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        cur = materialize(own.unionByName(others).distinct(), "cc")
+        old, cur = cur, materialize(own.unionByName(others).distinct(), "cc")
+        discard(old)
         now = marked(cur)
         if mark == now:
             return cur.select(F.col("a").alias("id"), F.col("b").alias("component"))
