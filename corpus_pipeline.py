@@ -14,7 +14,7 @@ from corvid.llm.decontaminate import drop_leaks
 from corvid.llm.jaccard_join import drop_near_duplicates
 from corvid.llm.line_dedup import dedup_lines
 from corvid.llm.sentencepiece_sa import encode_texts
-from corvid.llm.shared import materialize
+from corvid.llm.shared import discard, materialize
 from corvid.llm.toxicity import drop_toxic
 
 
@@ -67,8 +67,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs, "stage")
-    return docs
+    for i, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if i + 1 == len(STAGES):
+            return out
+        out = materialize(out, "stage")
+        if i:
+            discard(docs)
+        docs = out
