@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import fresh_path, local_path
+from .textops import mix, signed
 
 ROWS_PER_SHARD = 2_000_000
 
@@ -128,6 +129,34 @@ def build(df: DataFrame, rows: int, name: str) -> tuple[HashStore, int]:
     return HashStore(path, bits), done or 0
 
 
+def _keys_of(ids: pa.Array) -> np.ndarray:
+    return mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+
+
+def id_store(ids: DataFrame, name: str) -> HashStore:
+    """A store of the distinct ids in the one long column of a table."""
+
+    def keyed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (pa.record_batch({"key": pa.array(signed(_keys_of(b.column(0))))}) for b in batches(rows))
+
+    keys = ids.dropna().distinct().mapInArrow(keyed, "key long")
+    return build(keys, ids.count(), name)[0]
+
+
+def filter_ids(df: DataFrame, column: str, store: HashStore, present: bool) -> DataFrame:
+    """Rows of df whose id the store holds, or doesn't (so null ids): a semi or
+    anti join in which df isn't shuffled, whatever the store's size."""
+    at = df.columns.index(column)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(rows):
+            ids = b.column(at)
+            found = store.get(_keys_of(ids))["found"] & ~np.asarray(ids.is_null())
+            yield b.filter(pa.array(found == present))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Those that hold a row. Between them, and at the end of a task, memory that
     was freed goes back to the system: Spark keeps workers for later tasks."""

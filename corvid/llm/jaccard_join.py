@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashstore import batches
+from .hashstore import batches, filter_ids, id_store
 from .shared import connected_components, materialize
 from .textops import (
     NOT_SPACE, U, buffer_of, lists, mix, mix1, owners, prefix_sums, range_hashes, signed, slices, spans, windows,
@@ -453,7 +453,9 @@ def jaccard_groups(
         ["comp", "band", "part"],
     ).where(F.lit(s == 0) | ~(F.col("sb") & F.col("sp"))).select("task", F.lit(s).alias("side"), "comp", "cid", "rep", "size", "d1", "d2")
     work = small.unionByName(side(0, "band", "part")).unionByName(side(1, "b2", "p2"))
-    texts = work.join(rows, work.rep == rows.id).select("task", "side", "comp", "cid", "size", "d1", "d2", "text")
+    # only candidates' texts are shuffled: the others fail a look-up in sorted arrays on the shared folder
+    wanted = filter_ids(rows, "id", id_store(member.select("rep"), "wanted"), present=True)
+    texts = work.join(wanted, work.rep == wanted.id).select("task", "side", "comp", "cid", "size", "d1", "d2", "text")
     found = texts.groupBy("task").applyInArrow(lambda t: _task(t, n, bands), "cid long, gain long, to long")
     found = materialize(found, "links")
     gains = found.where("gain > 0").groupBy("cid").agg(F.sum("gain").alias("gain"))
@@ -478,8 +480,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     the smallest id. Rows that repeat an id are one row if their texts are
     equal; rows without an id stay."""
     groups = materialize(jaccard_groups(docs, id_col, text_col, **how).select(id_col, "component_id"), "groups")
-    gone = groups.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    gone = groups.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).cast("long").alias("id"))
+    kept = filter_ids(docs, id_col, id_store(gone, "gone"), present=False)
     size = groups.agg(F.count(id_col).alias("rows"), F.countDistinct(id_col).alias("ids")).first()
     if size.rows > size.ids:
         named = kept.where(F.col(id_col).isNotNull()).withColumn("__h", F.xxhash64(text_col)).dropDuplicates([id_col, "__h"])
