@@ -525,3 +525,42 @@ def test_leaks_in_edited_copies(spark):
     assert sorted((r.doc_id for r in clean), key=lambda x: (x is None, x)) == sorted(i for i, _ in rows if i is not None and i not in {a for a, _ in want})
     assert find_leaks(docs_of(spark, []), bench).count() == 0
     assert find_leaks(docs_of(spark, rows), bench.where("item_id < 0")).count() == 0
+
+
+def test_leaks_equal_full_alignment_of_hot_edited_copies(spark):
+    """One edited copy of an item in many texts, so that what it kept is common and what it lost is rare."""
+    rng = random.Random(21)
+    vocab = [f"h{k}" for k in range(60)]
+    items = {k: [f"i{k}x{j}" for j in range(rng.choice([12, 20, 31]))] for k in range(10)} | {20: ["lone"], 21: ["two", "words"]}
+    copies = {}
+    for k, w in items.items():
+        if k == 0:  # every third word changed: similarity 0.5
+            copy = ["edit" if j % 3 == 2 else x for j, x in enumerate(w)]
+        elif k == 1:  # a word between any two: no bigram is left
+            copy = [y for x in w for y in (x, "between")]
+        else:
+            copy = list(w)
+            for j in rng.sample(range(len(w)), min(len(w) // 3, 1 + k)):
+                copy[j] = rng.choice(vocab)
+        copies[k] = copy
+    rows = []
+    for i in range(120):
+        w = [rng.choice(vocab) for _ in range(rng.choice([3, 40, 90]))]
+        if i % 5:
+            at = rng.randrange(len(w))
+            w[at:at] = copies[rng.choice(list(items))]
+        rows.append((i, " ".join(w)))
+    number = {x: k for k, x in enumerate(sorted({x for _, t in rows for x in t.split()} | {x for w in items.values() for x in w}))}
+    want = {}
+    for i, t in rows:
+        for k, w in items.items():
+            score = ref.smith_waterman([number[x] for x in w], [number[x] for x in t.split()])
+            if score >= len(w):
+                want[i, k] = score
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    for block in (500_000, 50):
+        got = find_leaks(docs_of(spark, rows), bench, block_words=block).collect()
+        assert {(r.doc_id, r.item_id): r.score for r in got} == want and len(got) == len(want)
+    assert {k for _, k in want} == set(items)
+    clean = drop_leaks(docs_of(spark, rows), bench).select("doc_id").collect()
+    assert {r.doc_id for r in clean} == {i for i, _ in rows} - {i for i, _ in want}
