@@ -28,9 +28,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated chunks of lines, n_chars following the text;
+    """Texts without repeated runs of lines, n_chars following the text;
     documents of which nothing is left go."""
-    out = dedup_lines(docs).where((F.col("n_removed_lines") == 0) | (F.col("text") != ""))
+    out = dedup_lines(docs, runs=True).where((F.col("n_removed_lines") == 0) | (F.col("text") != ""))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         changed = F.when(F.col("n_removed_lines") > 0, F.length("text").cast(kind))

@@ -1,16 +1,24 @@
-"""Line deduplication by content-defined chunks of lines.
+"""Line deduplication by runs of lines, or by content-defined chunks of lines.
 
-Each line gets a 64-bit hash. A rolling hash over the last `window` line hashes
+Runs (runs=True) leave nothing out: from each line on, and up to each line, the
+shortest run of two lines or more with min_bytes bytes is a unit. A passage of
+that size that stands twice, whatever surrounds it, is covered by such units,
+so all its lines go where it stands again. Lines of a repeated run that stands
+here first stay, even if a run that stood before overlaps it.
+
+Chunks are fewer units, cut apart. Each line gets a 64-bit hash. A rolling hash over the last `window` line hashes
 ends a chunk after a line when it is 0 modulo `divisor` and the chunk has two
 lines or more, so that the same run of lines is cut alike wherever it stands.
-Chunks whose hash occurs more than once are gathered with their bytes and
+A passage shorter than a few chunks is mostly missed by them.
+
+Units whose hash occurs more than once are gathered with their bytes and
 compared; where all bytes agree, the first occurrence (smallest id, then line)
 stays and the others go.
 
 Nothing is joined to the texts: repeated hashes go into sorted arrays on the
-shared folder, which the scans map into memory. Only repeated chunks are
+shared folder, which the scans map into memory. Only repeated units are
 shuffled, pre-aggregated in each batch and again by Spark's partial aggregates,
-so a chunk that a third of all rows share costs a task a few rows.
+so a unit that a third of all rows share costs a task a few rows.
 """
 
 from __future__ import annotations
@@ -63,10 +71,37 @@ def chunk_lines(
     }
 
 
+def run_lines(buf: np.ndarray, offs: np.ndarray, min_bytes: int = 32) -> dict[str, np.ndarray]:
+    """As chunk_lines, but the shortest runs of two lines or more and min_bytes
+    bytes from each line on and up to each line, in the order of their lines."""
+    start, end, doc = line_spans(buf, offs)
+    i = np.arange(len(doc))
+    last = np.maximum(np.searchsorted(end, start + min_bytes, "left"), i + 1)
+    first = np.minimum(np.searchsorted(start, end - min_bytes, "right") - 1, i - 1)
+    on, up = last < len(doc), first >= 0
+    on[on], up[up] = doc[last[on]] == doc[on], doc[first[up]] == doc[up]
+    both = np.unique(np.concatenate([i[on] * len(doc) + last[on], first[up] * len(doc) + i[up]]))
+    first, last = both // max(1, len(doc)), both % max(1, len(doc))
+    return {
+        "start": start, "end": end, "doc": doc, "number": i - np.searchsorted(doc, doc),
+        "first": first, "last": last, "hash": range_hashes(prefix_sums(buf), start[first], end[last]),
+    }
+
+
+def _units(buf: np.ndarray, offs: np.ndarray, how: dict) -> dict[str, np.ndarray]:
+    return run_lines(buf, offs, how["min_bytes"]) if how["runs"] else chunk_lines(buf, offs, how["window"], how["divisor"], how["min_bytes"])
+
+
+def _covered(c: dict[str, np.ndarray], units: np.ndarray) -> np.ndarray:
+    """Which lines lie in one of the units."""
+    n = len(c["doc"]) + 1
+    return np.cumsum(np.bincount(c["first"][units], minlength=n) - np.bincount(c["last"][units] + 1, minlength=n))[:-1] > 0
+
+
 def _hash_counts(rows: Iterator[pa.RecordBatch], how: dict) -> Iterator[pa.RecordBatch]:
     for batch in hashstore.batches(rows):
         buf, offs = buffer_of(batch.column(0))
-        found = [chunk_lines(b, o, **how)["hash"] for _, _, b, o in slices(buf, offs)]
+        found = [_units(b, o, how)["hash"] for _, _, b, o in slices(buf, offs)]
         h, n = np.unique(np.concatenate(found), return_counts=True)
         yield pa.record_batch({"key": pa.array(signed(h)), "n": pa.array(n, pa.int64())})
 
@@ -77,7 +112,7 @@ def _repeated(rows: Iterator[pa.RecordBatch], store: hashstore.HashStore, how: d
         buf, offs = buffer_of(batch.column(1))
         best: dict[tuple[int, bytes], tuple[int, int]] = {}
         for a, _, b, o in slices(buf, offs):
-            c = chunk_lines(b, o, **how)
+            c = _units(b, o, how)
             for i in np.flatnonzero(store.get(c["hash"])["found"]):
                 f, t = c["first"][i], c["last"][i]
                 key = int(signed(c["hash"])[i]), b[c["start"][f] : c["end"][t]].tobytes()
@@ -108,24 +143,22 @@ def _rewrite(
         cuts: list[list[dict]] = [[] for _ in range(len(ids))]
         new: dict[int, bytes] = {}
         for a, z, b, o in slices(buf, offs):
-            c = chunk_lines(b, o, **how)
+            c = _units(b, o, how)
             lines_n[a:z] = np.bincount(c["doc"], minlength=z - a)
             v = store.get(c["hash"], id=np.int64(0), line=np.int32(0))
             at = c["doc"][c["first"]] + a
             own = (v["id"] == ids[at]) & (v["line"] == c["number"][c["first"]])
-            drop = np.flatnonzero(v["found"] & ~own & ~null_id[at])
-            if not len(drop):
+            there = v["found"] & ~null_id[at]
+            gone = _covered(c, np.flatnonzero(there & ~own)) & ~_covered(c, np.flatnonzero(there & own))
+            if not gone.any():
                 continue
-            keep = np.ones(len(c["doc"]), bool)
-            for i in drop:
-                f, t = c["first"][i], c["last"][i]
-                keep[f : t + 1] = False
-                cuts[at[i]].append({"first": int(c["number"][f]), "last": int(c["number"][t])})
-                gone_n[at[i]] += t + 1 - f
-            for d in np.unique(at[drop]):
-                lo, hi = np.searchsorted(c["doc"], [d - a, d - a + 1])
-                left = np.flatnonzero(keep[lo:hi]) + lo
-                new[int(d)] = b"\n".join(b[c["start"][i] : c["end"][i]].tobytes() for i in left)
+            gone_n[a:z] = np.bincount(c["doc"][gone], minlength=z - a)
+            for d in np.unique(c["doc"][gone]):
+                lo, hi = np.searchsorted(c["doc"], [d, d + 1])
+                edge = np.flatnonzero(np.diff(gone[lo:hi].astype(np.int8), prepend=0, append=0))
+                cuts[a + d] = [{"first": int(x), "last": int(y) - 1} for x, y in zip(edge[::2], edge[1::2])]
+                left = np.flatnonzero(~gone[lo:hi]) + lo
+                new[int(a + d)] = b"\n".join(b[c["start"][i] : c["end"][i]].tobytes() for i in left)
         if new:
             values = text.to_pylist()
             for d, x in new.items():
@@ -144,11 +177,13 @@ def dedup_lines(
     window: int = 2,
     divisor: int = 2,
     min_bytes: int = 32,
+    runs: bool = False,
 ) -> DataFrame:
-    """docs with repeated multi-line chunks removed from text_col.
+    """docs with repeated multi-line chunks removed from text_col; with runs, all
+    repeated passages of two lines or more and min_bytes bytes.
 
     Adds n_lines (lines before; null and empty texts count as one empty line),
-    n_removed_lines and removed (first and last line of each chunk that went,
+    n_removed_lines and removed (first and last line of each part that went,
     from 0). Defined cases: a null text stays null; a text of which every chunk
     goes becomes ""; a row with a null id is left alone and counts as no
     occurrence's owner; rows that repeat an id and text are alike, and none
@@ -160,7 +195,7 @@ def dedup_lines(
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    how = {"window": window, "divisor": divisor, "min_bytes": min_bytes}
+    how = {"window": window, "divisor": divisor, "min_bytes": min_bytes, "runs": runs}
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     counts = (
         narrow.select("text").mapInArrow(lambda it: _hash_counts(it, how), "key long, n long")

@@ -32,7 +32,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs)
+    return dedup_lines(docs, runs=True)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,6 +136,52 @@ def test_line_dedup_boundaries_resist_shifts():
     assert len(chunks[0] & chunks[1] & chunks[2]) >= len(chunks[0]) - 2
 
 
+def test_line_dedup_removes_short_passages_whole(spark):
+    """Passages of 2 to 8 lines in different surroundings, of long and of short lines, against all runs compared."""
+    from corpus_pipeline import line_dedup as stage
+
+    rng = random.Random(31)
+    line = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    passages = [[line(rng.choice([1, 1, 8])) for _ in range(k)] for k in (2, 3, 4, 5, 6, 8) for _ in range(6)]
+    passages = [p for p in passages if len("\n".join(p)) >= 32]
+    rows, want = [], {}
+    for i in range(len(passages) * 2):
+        p = passages[i % len(passages)]
+        head, tail = ([line(rng.choice([1, 9])) for _ in range(rng.randrange(1, 7))] for _ in "ab")
+        rows.append((i, "\n".join(head + p + tail)))
+        want[i] = "\n".join(head + (p if i < len(passages) else []) + tail)
+    got = dict(stage(spark, docs_of(spark, rows), "").select("doc_id", "text").collect())
+    assert got == want
+
+
+def test_line_dedup_by_runs_equals_brute_force(spark):
+    rng = random.Random(32)
+    some = [f"line {k} " + "x" * rng.choice([0, 3, 30]) for k in range(12)]
+    rows = [(i, "\n".join(rng.choice([*some, "", f"own {i}"]) for _ in range(rng.randrange(1, 12)))) for i in range(40)]
+    rows += [(100, None), (101, ""), (None, rows[0][1]), (103, "x\n" * 2_000)]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs_of(spark, rows), runs=True).collect()}
+    size = lambda x: len(x.encode())
+    owner, units = {}, {}
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        text = lambda a, b: "\n".join(lines[a : b + 1])
+        found = set()
+        for k in range(len(lines)):
+            on = next((b for b in range(k + 1, len(lines)) if size(text(k, b)) >= 32), None)
+            up = next((a for a in range(k - 1, -1, -1) if size(text(a, k)) >= 32), None)
+            found |= ({(k, on)} if on is not None else set()) | ({(up, k)} if up is not None else set())
+        units[i] = [(a, b, text(a, b)) for a, b in found] if i is not None else []
+        for a, _, x in units[i]:
+            owner.setdefault(x, []).append((i, a))
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        again = {k for a, b, x in units[i] if min(owner[x]) != (i, a) for k in range(a, b + 1)}
+        own = {k for a, b, x in units[i] if len(owner[x]) > 1 and min(owner[x]) == (i, a) for k in range(a, b + 1)}
+        want = None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in again - own)
+        assert got[i].text == want and got[i].n_removed_lines == len(again - own), i
+        assert sum(r.last - r.first + 1 for r in got[i].removed) == len(again - own)
+
+
 # ---- 2 n-gram Jaccard join
 
 
