@@ -1,8 +1,9 @@
 """Interpolated modified Kneser-Ney bigram model, counted in Spark.
 
 1. Words of the training texts are counted (distinct hashes of a task's texts
-   first, then Spark's aggregate) and stored as sorted hash arrays. Words seen
-   once stand for <unk>; the others get numbers, their place in the arrays.
+   first, then Spark's aggregate) and stored as sorted hash arrays. All get
+   numbers, their place in the arrays; with merge_once words seen once stand
+   for <unk> instead.
 2. Bigrams are counted as numbers (context << 32 | word). A task merges its own
    and sends each shard one packed array; a shard is a hash of the context, or,
    for contexts with many tokens, of the bigram, so that no context ends up in
@@ -14,8 +15,8 @@
 4. Workers map these arrays into memory and score texts slice by slice.
 
 Discounts come from the counts of counts of each level; the unigram level is
-interpolated with a uniform one, and <unk>'s share is divided among the words
-seen once and one unseen, so that probabilities of words sum to one.
+interpolated with a uniform one, and <unk> is one unseen word (with merge_once
+its share is divided among the words seen once and one unseen), so that probabilities of words sum to one.
 """
 
 from __future__ import annotations
@@ -115,7 +116,7 @@ def _count_words(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Vocabulary:
-    """Words seen twice or more (n and number by hash) and words seen once."""
+    """Words with numbers (n and number by hash) and those seen once that have none."""
 
     often: HashStore
     once: HashStore
@@ -136,19 +137,20 @@ class Vocabulary:
         return n[back], number[back]
 
 
-def build_vocabulary(training: DataFrame) -> Vocabulary:
+def build_vocabulary(training: DataFrame, merge_once: bool = True) -> Vocabulary:
     """From a table with one column, the texts."""
+    least = 2 if merge_once else 1
     counts = training.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "words")
     end = int(signed(np.array([END]))[0])
     size = counts.agg(
-        F.sum("n").alias("tokens"), F.count_if(F.col("n") > 1).alias("often"), F.count_if((F.col("n") == 1) & (F.col("key") != end)).alias("once"),
+        F.sum("n").alias("tokens"), F.count_if(F.col("n") >= least).alias("often"), F.count_if((F.col("n") < least) & (F.col("key") != end)).alias("once"),
         F.max(F.when(F.col("key") == end, F.col("n"))).alias("texts"),
     ).first()
     if size.often >= 2**32 - WORDS_FROM:
         raise ValueError("more words than 32 bits number")
     words = counts.where(F.col("key") != end)
-    often = words.where("n > 1")
+    often = words.where(F.col("n") >= least)
     bits = hashstore.shard_bits(size.often)
     # a word's number: the words of the shards before its own, and its place in its shard
     sizes = often.groupBy(hashstore.shard_column("key", bits).alias("s")).count().collect()  # a row per 2 million words
@@ -163,7 +165,7 @@ def build_vocabulary(training: DataFrame) -> Vocabulary:
 
     numbered = often.withColumn("__s", hashstore.shard_column("key", bits)).groupBy("__s").applyInArrow(number, "key long, n long, number long")
     store, _ = hashstore.build(numbered, size.often, "often")
-    once, _ = hashstore.build(words.where("n = 1").select("key"), size.once, "once")
+    once, _ = hashstore.build(words.where(F.col("n") < least).select("key"), size.once, "once")
     discard(counts)
     return Vocabulary(store, once, total - WORDS_FROM, size.once, size.texts or 0, size.tokens or 0)
 
@@ -343,9 +345,9 @@ class BigramModel:
         return np.log10(own + gamma * low[w_back])[back]
 
 
-def fit(training: DataFrame, shard_tokens: int = 2_000_000) -> BigramModel:
+def fit(training: DataFrame, shard_tokens: int = 2_000_000, merge_once: bool = True) -> BigramModel:
     """A model of the texts in a table with one column."""
-    vocab = build_vocabulary(training)
+    vocab = build_vocabulary(training, merge_once)
     spark = training.sparkSession
     path = fresh_path(spark, "bigrams")
     shards = max(1, -(-vocab.n_tokens // shard_tokens))
@@ -393,7 +395,13 @@ def _score(rows: Iterator[pa.RecordBatch], model: BigramModel) -> Iterator[pa.Re
 
 
 def score_texts(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, shard_tokens: int = 2_000_000
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    folds: int = 7,
+    held: int = 2,
+    shard_tokens: int = 2_000_000,
+    merge_once: bool = True,
 ) -> DataFrame:
     """Per row of docs: the id, held_out, n_tokens, n_known, train_tokens,
     base_score, score and perplexity.
@@ -401,14 +409,15 @@ def score_texts(
     The models learn from rows whose crc32(id as text) modulo folds isn't held
     (rows without an id are learned from). A text's tokens are its words, A-Z
     folded, and one end. base_score is the add-one unigram log10 probability,
-    score that of the Kneser-Ney model, perplexity 10^(-score / n_tokens). Null
+    score that of the Kneser-Ney model, perplexity 10^(-score / n_tokens). Words
+    seen once are counted as <unk> with merge_once, else as themselves. Null
     and empty texts have the end alone. Rows that repeat an id count and score
     as rows of their own. With no training row all probabilities are uniform.
     An empty table gives an empty table.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     held_out = F.coalesce(id_remainder("id", folds) == held, F.lit(False))
-    model = fit(rows.where(~held_out).select("text"), shard_tokens)
+    model = fit(rows.where(~held_out).select("text"), shard_tokens, merge_once)
     scored = rows.mapInArrow(lambda it: _score(it, model), "id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select(
         F.col("id").alias(id_col), held_out.alias("held_out"), "n_tokens", "n_known",

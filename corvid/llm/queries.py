@@ -180,7 +180,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(_table(spark, sf_dir, "documents"))
+    return score_texts(_table(spark, sf_dir, "documents"), merge_once=False)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -512,6 +512,39 @@ def test_language_model_equals_brute_force(spark, shard_tokens, hot, monkeypatch
         assert abs(r.base_score - w[4]) < 1e-6 * max(1, abs(w[4])) and abs(r.score - w[5]) < 1e-6 * max(1, abs(w[5]))
 
 
+@pytest.mark.parametrize("shard_tokens", [2_000_000, 500])
+def test_language_model_counts_words_seen_once(spark, shard_tokens, tmp_path):
+    """The query's scores, all training words being themselves."""
+    from corvid.llm import queries
+
+    rows = ugly(9, 80)
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    train = [[*ref.words(t), "\n"] for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for x in train for w in x)
+    pairs = Counter(p for x in train for p in zip(["<s>", *x], x))
+    before = Counter(w for _, w in pairs)
+    high, low = ([*kneser_ney.discounts(*(list(x.values()).count(k) for k in (1, 2, 3, 4)))] for x in (pairs, before))
+    total, follow = Counter(), defaultdict(list)
+    for (u, w), k in pairs.items():
+        total[u] += k
+        follow[u].append(high[min(k, 3)])
+    mass = sum(low[min(k, 3)] for k in before.values()) / len(pairs)
+
+    def p(u, w):
+        base = max(before[w] - low[min(before[w], 3)], 0) / len(pairs) + mass / (len(c) + 1)
+        return (max(pairs[u, w] - high[min(pairs[u, w], 3)], 0) + sum(follow[u]) * base) / total[u] if total[u] else base
+
+    assert abs(sum(p("w1", w) for w in [*c, "unseen"]) - 1) < 1e-9 and min(c.values()) == 1
+    want = []
+    for i, t in rows:
+        x = [*ref.words(t), "\n"]
+        want.append((i, len(x), sum(math.log10(p(a, b)) for a, b in zip(["<s>", *x], x))))
+    got = queries.op9(spark, str(tmp_path)) if shard_tokens > 500 else kneser_ney.score_texts(docs_of(spark, rows), shard_tokens=500, merge_once=False)
+    order = lambda r: key(r)
+    for r, w in zip(sorted(((r.doc_id, r.n_tokens, r.score) for r in got.collect()), key=order), sorted(want, key=order), strict=True):
+        assert r[:2] == w[:2] and abs(r[2] - w[2]) < 1e-6 * max(1, abs(w[2]))
+
+
 def test_hot_contexts_spread_over_shards():
     keys = (np.uint64(5) << np.uint64(32)) | np.arange(1000, dtype=np.uint64)
     cold = kneser_ney._shard(keys, np.full(1000, kneser_ney.HOT - 1), 8)
