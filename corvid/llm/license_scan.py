@@ -54,7 +54,7 @@ def _searcher(notices: tuple):
     for seed, where in found.items():
         automaton.add_word(seed, (len(seed), where))
     automaton.make_automaton()
-    patterns = [regex.compile(f"(?:{regex.escape(n)}){{e<={e}}}", regex.BESTMATCH) for _, n, e in notices]
+    patterns = [[regex.compile(f"(?:{regex.escape(n)}){{e<={e}}}", flag) for flag in (0, regex.BESTMATCH)] for _, n, e in notices]
     return automaton, patterns
 
 
@@ -78,13 +78,17 @@ def find_notices(text: str, notices: tuple = NOTICES) -> list[dict]:
     for i, runs in spots.items():
         label, notice, e = notices[i]
         for a, b in runs:
-            at = a
-            # a merged window holds several copies or none
-            while b - at >= len(notice) - e and (m := patterns[i].search(text, at, b)):
+            # a merged window holds several copies or none: the best match that the first one
+            # overlaps or that is close by, then what lies on both sides of it
+            parts = [(a, b)]
+            while parts:
+                x, y = parts.pop()
+                if y - x < len(notice) - e or not (m := patterns[i][0].search(text, x, y)):
+                    continue
+                x = m.start()
+                m = patterns[i][1].search(text, x, min(y, x + 2 * len(notice) + 3 * e)) or m
                 hits.append({"label": label, "start": m.start(), "end": m.end(), "edits": sum(m.fuzzy_counts), "size": len(notice)})
-                if b - a <= len(notice) + 2 * e:
-                    break
-                at = max(m.end(), at + 1)
+                parts += [(x, m.start()), (m.end(), y)]
     hits.sort(key=lambda h: (h["label"], h["edits"], h["start"], h["end"]))
     best: list[dict] = []
     for h in hits:

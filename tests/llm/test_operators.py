@@ -382,6 +382,17 @@ def test_notices_with_errors_equal_plain_search():
     assert found > 50
 
 
+def test_every_copy_of_a_notice_in_a_run_is_found():
+    exact, edited = "licensed under cc by-sa 4.0", "licensd under cc by-sa 4.0"
+    notices = (("cc-by-sa", exact, 2),)
+    for lines in ([edited] * 6 + [exact], [exact] + [edited] * 6, [edited] * 3 + [exact] + [edited] * 3, [edited] * 8):
+        got = find_notices("\n".join(lines), notices)
+        at = np.cumsum([0] + [len(x) + 1 for x in lines])
+        assert len(got) == len(lines)
+        assert all(abs(h["start"] - a) <= 2 and h["edits"] == (x == edited) for h, a, x in zip(got, at, lines))
+    assert len(find_notices("\n".join([edited] * 300), notices)) == 300
+
+
 # ---- 7 quality
 
 
