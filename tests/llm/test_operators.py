@@ -654,3 +654,9 @@ def test_leaks_equal_full_alignment_of_hot_edited_copies(spark):
     assert {k for _, k in want} == set(items)
     clean = drop_leaks(docs_of(spark, rows), bench).select("doc_id").collect()
     assert {r.doc_id for r in clean} == {i for i, _ in rows} - {i for i, _ in want}
+
+
+def test_leaks_of_one_word_items(spark):
+    bench = spark.createDataFrame([(1, "lone"), (2, "absent")], "item_id long, text string")
+    got = find_leaks(docs_of(spark, [(1, "a Lone word"), (2, "alone"), (3, None)]), bench).collect()
+    assert [(r.doc_id, r.item_id, r.similarity, r.doc_start, r.doc_end) for r in got] == [(1, 1, 1.0, 1, 2)]
