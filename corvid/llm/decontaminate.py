@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashstore import batches
+from .shared import bounded_batches
 from .textops import ALNUM_ANY_CASE, U, buffer_of, mix, owners, prefix_sums, range_hashes, slices, spans
 
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -288,6 +289,7 @@ def _rare_items(
     texts: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, seeds: int, threshold: float, block_words: int
 ) -> Iterator[Items]:
     """Each block's items with their seeds."""
+    bounded_batches(texts.sparkSession)
     for ids, words in _blocks(benchmark, item_col, item_text_col, block_words):
         items = Items.of(ids, words, seeds, threshold)
         counted = texts.mapInArrow(lambda it, items=items: _word_counts(it, items), "word long, n long")

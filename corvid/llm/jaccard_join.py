@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashstore import batches, filter_ids, id_store
-from .shared import connected_components, materialize
+from .shared import bounded_batches, connected_components, materialize
 from .textops import (
     NOT_SPACE, U, buffer_of, lists, mix, mix1, owners, prefix_sums, range_hashes, signed, slices, spans, windows,
 )
@@ -412,6 +412,7 @@ def jaccard_groups(
     task_items bounds the n-grams that a task holds (per block of a component
     larger than that).
     """
+    bounded_batches(docs.sparkSession)
     bands = Bands(num, den)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     profile = materialize(

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashstore
-from .shared import discard, materialize
+from .shared import bounded_batches, discard, materialize
 from .textops import U, buffer_of, line_spans, mix, prefix_sums, range_hashes, signed, slices
 
 
@@ -195,6 +195,7 @@ def dedup_lines(
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    bounded_batches(docs.sparkSession)
     how = {"window": window, "divisor": divisor, "min_bytes": min_bytes, "runs": runs}
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     counts = (

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .hashstore import batches
 from .labelled import labelled_sample
+from .shared import bounded_batches
 from .textops import (
     NOT_SPACE, U, buffer_of, line_spans, mix, owners, per_text, prefix_sums, range_hashes, slices, spans, windows,
 )
@@ -216,6 +217,7 @@ def judge_quality(
     each. Without labels of both kinds, the score is the same for all rows. An
     empty table gives an empty table.
     """
+    bounded_batches(docs.sparkSession)
     model = train(labelled_sample(docs, labels, id_col, text_col, label_col, sample), **how)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, quality double"

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashstore import batches
+from .shared import bounded_batches
 from .textops import U, buffer_of, lists, slices, span_hashes
 
 MARK = "▁"
@@ -368,6 +369,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     readable on the workers.
     """
     path = model or default_model()
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, n_tokens long, ids array<int>, round_trip boolean"
     return rows.mapInArrow(lambda it: _encode(it, path), schema).withColumnRenamed("id", id_col)
@@ -388,5 +390,6 @@ def decode_ids(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids",
     """Per row: the id and the text its ids stand for; null ids give null. Byte
     pieces that are no UTF-8 become U+FFFD."""
     path = model or default_model()
+    bounded_batches(encoded.sparkSession)
     rows = encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids"))
     return rows.mapInArrow(lambda it: _decode(it, path), "id long, text string").withColumnRenamed("id", id_col)

@@ -4,6 +4,7 @@ there to cut lineage, and connected components."""
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -13,12 +14,26 @@ from pyspark.sql import functions as F
 _own: dict[str, str] = {}
 
 
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Has Spark cut the batches that Python workers get by bytes too: by rows
+    alone, a batch of long texts takes gigabytes. Holds for the session, unless
+    it has a setting of its own."""
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only where that is unset, as
-    in tests on one machine, a folder of our own is made."""
+    """The folder named by spark.checkpoint.dir. Only where that is unset and
+    all runs on one machine, as in tests, a folder of our own is made."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
     key = spark.sparkContext.applicationId
     if key not in _own:
         _own[key] = "file://" + tempfile.mkdtemp(prefix="corvid-")
