@@ -2,12 +2,15 @@
 
 A notice of k allowed errors is cut into k + 1 seeds: any text within k edits
 of it holds one of them whole (pigeonhole). One pass with an automaton over all
-notices' seeds finds candidates; the regex library then matches the notice
-with {e<=k} in the window a seed implies, and reports its span and edits.
+notices' seeds finds candidates; the regex library then matches the notice with
+bounded errors in the window that seeds of one start imply, and reports its span
+and edits. What tells one licence from another (names, version numbers) stands
+in braces and allows no error: edits are made in the rest.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,24 +20,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashstore import batches
+from .shared import bounded_batches
 from .textops import ALNUM_ANY_CASE, buffer_of, hash_words, owners, prefix_sums, range_hashes, slices, spans
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: (label, notice, edits allowed): about one edit in ten characters.
+#: (label, notice, edits allowed): about one edit in ten characters, none in braces.
 NOTICES = (
-    ("apache-2.0", "licensed under the apache license, version 2.0", 4),
-    ("mit", "released under the mit license", 3),
-    ("mit", "permission is hereby granted, free of charge, to any person", 5),
-    ("cc-by-nc", "licensed under cc by-nc 4.0", 2),
-    ("cc-by-sa", "licensed under cc by-sa 4.0", 2),
-    ("gpl-3.0", "licensed under the gnu general public license, version 3", 5),
+    ("apache-2.0", "licensed under the {apache} license, version {2.0}", 4),
+    ("mit", "released under the {mit} license", 3),
+    ("mit", "permission is hereby granted, free of charge, to any person {obtaining}", 5),
+    ("cc-by-nc", "licensed under cc {by-nc 4.0}", 2),
+    ("cc-by-sa", "licensed under cc {by-sa 4.0}", 2),
+    ("gpl-3.0", "licensed under the {gnu} general public license, version {3}", 5),
     ("bsd", "redistribution and use in source and binary forms, with or without modification", 7),
-    ("mpl-2.0", "subject to the terms of the mozilla public license, v. 2.0", 5),
-    ("isc", "permission to use, copy, modify, and/or distribute this software", 6),
+    ("mpl-2.0", "subject to the terms of the {mozilla} public license, v. {2.0}", 5),
+    ("isc", "permission to use, copy, modify, {and/or} distribute this software", 6),
     ("unlicense", "this is free and unencumbered software released into the public domain", 6),
 )
 
 
+def parts_of(notice: str) -> list[tuple[str, bool]]:
+    """(text, whether it must stand as it is) of a notice with braces."""
+    out = [(x, i % 2 == 1) for i, x in enumerate(notice.replace("}", "{").split("{"))]
+    return [x for x in out if x[0]]
+
+
 def seeds_of(notice: str, errors: int) -> list[tuple[int, str]]:
     """errors + 1 parts that cover the notice: (offset, part)."""
     cut = [round(i * len(notice) / (errors + 1)) for i in range(errors + 2)]
@@ -47,54 +57,65 @@ def _searcher(notices: tuple):
     import regex
 
     found: dict[str, list[tuple[int, int]]] = {}
+    patterns, sizes = [], []
     for i, (_, notice, errors) in enumerate(notices):
-        for at, seed in seeds_of(notice, errors):
+        parts = parts_of(notice)
+        plain = "".join(x for x, _ in parts)
+        for at, seed in seeds_of(plain, errors):
             found.setdefault(seed, []).append((i, at))
+        exact = lambda x: "(?<![a-z0-9])" * x[0].isalnum() + regex.escape(x) + "(?![a-z0-9])" * x[-1].isalnum()
+        patterns.append(regex.compile("".join(exact(x) if fixed else f"(?:{regex.escape(x)}){{e<={errors}}}" for x, fixed in parts), regex.BESTMATCH))
+        sizes.append(len(plain))
     automaton = ahocorasick.Automaton()
     for seed, where in found.items():
         automaton.add_word(seed, (len(seed), where))
     automaton.make_automaton()
-    patterns = [[regex.compile(f"(?:{regex.escape(n)}){{e<={e}}}", flag) for flag in (0, regex.BESTMATCH)] for _, n, e in notices]
-    return automaton, patterns
+    return automaton, patterns, sizes
 
 
-def find_notices(text: str, notices: tuple = NOTICES) -> list[dict]:
-    """Matches in a text whose A-Z is folded: label, span, edits; the best one
-    where spans of the same label overlap."""
-    automaton, patterns = _searcher(notices)
-    spots: dict[int, list[list[int]]] = {}
+def _windows(text: str, automaton, sizes: list[int], notices: tuple) -> dict[int, list[tuple[int, int]]]:
+    """Where each notice may stand. Seeds that put its start within its errors
+    share a window, so that a window has at most three errors more than it."""
+    starts: dict[int, set[int]] = {}
     for end, (size, where) in automaton.iter(text):
         for i, at in where:
-            n, e = len(notices[i][1]), notices[i][2]
-            a = max(0, end + 1 - size - at - e)
-            b = min(len(text), end + 1 - size - at + n + e)
-            runs = spots.setdefault(i, [])
-            if runs and a <= runs[-1][1]:
-                runs[-1][0] = min(runs[-1][0], a)
-                runs[-1][1] = max(runs[-1][1], b)
+            starts.setdefault(i, set()).add(end + 1 - size - at)
+    out = {}
+    for i, found in starts.items():
+        e, runs = notices[i][2], []
+        for x in sorted(found):
+            if runs and x - runs[-1][0] <= e:
+                runs[-1][1] = x
             else:
-                runs.append([a, b])
+                runs.append([x, x])
+        out[i] = [(max(0, x - e), min(len(text), y + sizes[i] + e)) for x, y in runs]
+    return out
+
+
+def find_notices(text: str, notices: tuple = NOTICES) -> list[dict]:
+    """Matches in a text whose A-Z is folded: label, span, edits. Of spans that
+    overlap, the one with fewer edits stays, of equals that of the longer
+    notice, then the first. Takes time in proportion to the text."""
+    automaton, patterns, sizes = _searcher(notices)
     hits = []
-    for i, runs in spots.items():
-        label, notice, e = notices[i]
-        for a, b in runs:
-            # a merged window holds several copies or none: the best match that the first one
-            # overlaps or that is close by, then what lies on both sides of it
-            parts = [(a, b)]
+    for i, windows in _windows(text, automaton, sizes, notices).items():
+        label, _, e = notices[i]
+        for parts in ([w] for w in windows):
             while parts:
                 x, y = parts.pop()
-                if y - x < len(notice) - e or not (m := patterns[i][0].search(text, x, y)):
-                    continue
-                x = m.start()
-                m = patterns[i][1].search(text, x, min(y, x + 2 * len(notice) + 3 * e)) or m
-                hits.append({"label": label, "start": m.start(), "end": m.end(), "edits": sum(m.fuzzy_counts), "size": len(notice)})
-                parts += [(x, m.start()), (m.end(), y)]
-    hits.sort(key=lambda h: (h["label"], h["edits"], h["start"], h["end"]))
+                m = patterns[i].search(text, x, y) if y - x >= sizes[i] - e else None
+                if m and sum(m.fuzzy_counts) <= e:
+                    hits.append({"label": label, "start": m.start(), "end": m.end(), "edits": sum(m.fuzzy_counts), "size": sizes[i]})
+                    parts += [(x, m.start()), (m.end(), y)]
+    hits.sort(key=lambda h: (h["edits"], -h["size"], h["start"], h["end"], h["label"]))
+    begins: list[int] = []
     best: list[dict] = []
     for h in hits:
-        if not any(x["label"] == h["label"] and x["start"] < h["end"] and h["start"] < x["end"] for x in best):
-            best.append(h)
-    return sorted(best, key=lambda h: (h["start"], h["end"], h["label"]))
+        at = bisect_right(begins, h["start"])
+        if (not at or best[at - 1]["end"] <= h["start"]) and (at == len(best) or h["end"] <= begins[at]):
+            begins.insert(at, h["start"])
+            best.insert(at, h)
+    return best
 
 
 def phrase_places(buf: np.ndarray, offs: np.ndarray, phrases: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -159,9 +180,11 @@ def scan_licenses(
     n_base counts the places where a phrase's words stand in a row. Each list of
     labels is distinct, sorted and comma-joined. score is 1 with a base label,
     else 1 - edits / length of the best notice, else 0. Null and empty texts
-    have 0 words, "" for labels and score 0. Rows that repeat an id, or have
+    have 0 words, "" for labels and score 0; very long texts are searched whole,
+    in time that grows with their length. Rows that repeat an id, or have
     none, get a row each. An empty table gives an empty table.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = (
         "id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double,"
