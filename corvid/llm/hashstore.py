@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,8 @@ ROWS_PER_SHARD = 2_000_000
 
 def _write(path: str, arrays: dict[str, np.ndarray]) -> None:
     sink = pa.BufferOutputStream()
-    batch = pa.record_batch({k: pa.array(v) for k, v in arrays.items()})
+    # a row of lists: the arrays may differ in length
+    batch = pa.record_batch({k: pa.LargeListArray.from_arrays(pa.array([0, len(v)], pa.int64()), pa.array(v)) for k, v in arrays.items()})
     with pa.ipc.new_file(sink, batch.schema) as w:
         w.write_batch(batch)
     data = sink.getvalue()
@@ -57,29 +59,49 @@ def _read(path: str) -> dict[str, np.ndarray] | None:
             return None
         source = fs.open_input_file(p)
     batch = pa.ipc.open_file(source).get_batch(0)
-    return {k: batch.column(k).to_numpy(zero_copy_only=True) for k in batch.schema.names}
+    return {k: batch.column(k).values.to_numpy(zero_copy_only=True) for k in batch.schema.names}
 
 
-class HashStore:
-    """Read side. Pickles as its path; shards open in the worker that asks."""
+class Files:
+    """A folder's files, opened in the worker that asks. Those used last stay
+    open: `most` where they are mapped, `most_bytes` where they are read into
+    memory. Pickles as its path."""
+
+    def __init__(self, path: str, most: int = 1024, most_bytes: int = 128 << 20):
+        self.path, self.most, self.most_bytes, self.held = path, most, most_bytes, 0
+        self._open: OrderedDict[str, tuple[dict | None, int]] = OrderedDict()
 
-    def __init__(self, path: str, bits: int):
-        self.path, self.bits, self._open = path, bits, {}
+    def __reduce__(self):
+        return Files, (self.path, self.most, self.most_bytes)
 
-    def __getstate__(self):
-        return {"path": self.path, "bits": self.bits, "_open": {}}
+    def get(self, name: str) -> dict[str, np.ndarray] | None:
+        if name in self._open:
+            self._open.move_to_end(name)
+            return self._open[name][0]
+        rows = _read(path := f"{self.path}/{name}.arrow")
+        size = 0 if path.startswith(("/", "file:")) else sum(v.nbytes for v in (rows or {}).values())
+        self._open[name] = rows, size
+        self.held += size
+        while len(self._open) > 1 and (len(self._open) > self.most or self.held > self.most_bytes):
+            self.held -= self._open.popitem(last=False)[1][1]
+        return rows
+
+
+class HashStore:
+    """Read side. starts: how many rows the shards before each hold, if known."""
+
+    def __init__(self, path: str, bits: int, prefix: str = "", starts: np.ndarray | None = None):
+        self.files, self.bits, self.prefix, self.starts = Files(path), bits, prefix, starts
 
     def shard(self, i: int) -> dict[str, np.ndarray] | None:
-        if i not in self._open:
-            self._open[i] = _read(f"{self.path}/{i:06d}.arrow")
-        return self._open[i]
+        return self.files.get(f"{self.prefix}{i:06d}")
 
     def get(self, keys: np.ndarray, **missing) -> dict[str, np.ndarray]:
         """Values for each key (uint64, any order), the given ones where it is
-        absent; "found" tells which are there."""
+        absent; "found" tells which are there, "row" where, by all keys' order."""
         keys, back = np.unique(keys, return_inverse=True)
         out = {k: np.full(len(keys), v, np.asarray(v).dtype) for k, v in missing.items()}
-        found = np.zeros(len(keys), bool)
+        found, row = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
         shard = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
         cuts = np.searchsorted(shard, np.arange((1 << self.bits) + 1))
         for i in np.flatnonzero(np.diff(cuts)):
@@ -90,9 +112,10 @@ class HashStore:
             at = np.minimum(np.searchsorted(rows["key"], keys[a:b]), len(rows["key"]) - 1)
             hit = rows["key"][at] == keys[a:b]
             found[a:b] = hit
+            row[a:b] = at + (self.starts[i] if self.starts is not None else 0)
             for k in out:
                 out[k][a:b][hit] = rows[k][at[hit]]
-        return {k: v[back] for k, v in out.items()} | {"found": found[back]}
+        return {k: v[back] for k, v in out.items()} | {"found": found[back], "row": row[back]}
 
 
 def shard_bits(rows: int) -> int:
@@ -117,16 +140,13 @@ def build(df: DataFrame, rows: int, name: str) -> tuple[HashStore, int]:
         k = table["key"].to_numpy().view(np.uint64)
         order = np.argsort(k)
         _write(f"{path}/{key[0].as_py():06d}.arrow", {"key": k[order]} | {c: table[c].to_numpy()[order] for c in names})
-        return pa.table({"n": pa.array([len(k)], pa.int64())})
-
-    done = (
-        df.withColumn("__shard", shard_column("key", bits))
-        .groupBy("__shard")
-        .applyInArrow(write, "n long")
-        .agg(F.sum("n"))
-        .first()[0]
-    )
-    return HashStore(path, bits), done or 0
+        return pa.table({"s": [key[0]], "n": pa.array([len(k)], pa.int64())})
+
+    done = df.withColumn("__shard", shard_column("key", bits)).groupBy("__shard").applyInArrow(write, "s int, n long")
+    held = np.zeros(1 << bits, np.int64)
+    for r in done.collect():  # a row per 2 million keys
+        held[r.s] = r.n
+    return HashStore(path, bits, starts=np.cumsum(held) - held), int(held.sum())
 
 
 def _keys_of(ids: pa.Array) -> np.ndarray:

@@ -1,22 +1,24 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark.
+"""Interpolated modified Kneser-Ney n-gram model, counted in Spark.
 
 1. Words of the training texts are counted (distinct hashes of a task's texts
-   first, then Spark's aggregate) and stored as sorted hash arrays. All get
-   numbers, their place in the arrays; with merge_once words seen once stand
-   for <unk> instead.
-2. Bigrams are counted as numbers (context << 32 | word). A task merges its own
-   and sends each shard one packed array; a shard is a hash of the context, or,
-   for contexts with many tokens, of the bigram, so that no context ends up in
-   one task whole. Shards merge what they get into sorted arrays on the shared
-   folder and pass on what contexts and words need to know.
-3. Per word: how many contexts precede it, and, as a context, its tokens and
-   numbers of followers seen once, twice, more often: arrays by word number, in
-   as many files as there are shards.
+   first, then Spark's aggregate) and stored as sorted hash arrays; a word's
+   number is its place in them.
+2. n-grams are counted as word numbers. A task merges its own and sends each
+   shard one packed array. A shard is a hash of the word before the last, or,
+   if that word has `hot` tokens or more, of the last two, so that no context
+   ends up in one task whole. All n-grams that end in the same two words meet in
+   a shard, so it counts there too how many words precede each shorter n-gram,
+   and writes, for each order, sorted 64-bit keys with counts on the shared
+   folder. 36 bits of a key are a hash of the context, 28 of the word, so that
+   what follows a context lies side by side and running sums give its totals.
+3. Contexts spread over shards have their totals added up by a second, small
+   shuffle, and words the number of words that precede them by a third.
 4. Workers map these arrays into memory and score texts slice by slice.
 
-Discounts come from the counts of counts of each level; the unigram level is
-interpolated with a uniform one, and <unk> is one unseen word (with merge_once
-its share is divided among the words seen once and one unseen), so that probabilities of words sum to one.
+Texts begin with order - 1 start symbols. The highest order discounts counts,
+the lower ones numbers of preceding words; discounts come from the counts of
+counts of each order. The lowest is interpolated with a uniform one over all
+training words and one unseen, so that probabilities sum to one.
 """
 
 from __future__ import annotations
@@ -33,14 +35,16 @@ from pyspark.sql import functions as F
 from . import hashstore
 from .hashstore import HashStore, batches
 from .labelled import id_remainder
-from .shared import discard, fresh_path, materialize
+from .shared import bounded_batches, discard, free_shuffles, fresh_path, materialize
 from .textops import NOT_SPACE, SLICE, U, buffer_of, mix, owners, prefix_sums, range_hashes, signed, slices, spans
 
 END = mix(np.array([0xE0D], np.uint64))[0]
 UNK, START, STOP, WORDS_FROM = 0, 1, 2, 3
+ORDERS = (2, 3, 4)
 LEAST_PER_FILE = 4096  # words in a file of step 3
-HOT = 200_000  # tokens from which a context is spread over shards
-FLUSH = 1_000_000  # distinct keys that a task gathers before it sends them
+FLUSH = 1_000_000  # distinct n-grams that a task gathers before it sends them
+WORD_BITS = U(28)
+TOTALS = ("total", "one", "two", "more")
 
 
 def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,224 +57,296 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, ptr + np.arange(n + 1)
 
 
-def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Ascending keys and counts: differences and counts as planes of bytes, compressed."""
-    d = keys.copy()
-    d[1:] -= keys[:-1]
-    planes = np.concatenate([d.view(np.uint8).reshape(-1, 8).T.ravel(), counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.ravel()])
-    return len(keys).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(planes)
-
-
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(blob[:8], "little")
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:], max_output_size=12 * n), np.uint8)
-    keys = np.ascontiguousarray(planes[: 8 * n].reshape(8, n).T).view(np.uint64).ravel()
-    return np.cumsum(keys, dtype=np.uint64), np.ascontiguousarray(planes[8 * n :].reshape(4, n).T).view(np.uint32).ravel()
-
-
-class Tally:
-    """Distinct keys and counts of many arrays, merged now and then."""
-
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.held = 0
-
-    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
-        if counts is None:
-            keys, counts = np.unique(keys, return_counts=True)
-        self.parts.append((keys, counts))
-        self.held += len(keys)
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        keys = np.concatenate([k for k, _ in self.parts])
-        counts = np.concatenate([c for _, c in self.parts]).astype(np.int64)
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        keys, counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
-        self.parts, self.held = [(keys, counts)], len(keys)
-        return keys, counts
-
-    def full(self) -> bool:
-        return self.held > 2 * FLUSH and (self.merged() and self.held > FLUSH)
+# ---- words
 
 
 def _count_words(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tally = Tally()
+    parts: list[np.ndarray] = []
+    tally: list[np.ndarray] = []
+
+    def merge() -> None:
+        keys = np.concatenate([k for k in parts])
+        n = np.concatenate([k for k in tally])
+        keys, back = np.unique(keys, return_inverse=True)
+        parts[:], tally[:] = [keys], [np.bincount(back, n, len(keys)).astype(np.int64)]
 
     def flush() -> pa.RecordBatch:
-        keys, counts = tally.merged()
-        tally.__init__()
-        return pa.record_batch({"key": pa.array(signed(keys)), "n": pa.array(counts)})
+        merge()
+        return pa.record_batch({"key": pa.array(signed(parts.pop())), "n": pa.array(tally.pop())})
 
     for batch in batches(rows):
         buf, offs = buffer_of(batch.column(0))
         for _, _, b, o in slices(buf, offs, 2 * SLICE):
-            tally.add(tokens(b, o)[0])
-            if tally.full():
-                yield flush()
-    yield flush()
+            keys, n = np.unique(tokens(b, o)[0], return_counts=True)
+            parts.append(keys)
+            tally.append(n)
+            if sum(map(len, parts)) > 2 * FLUSH:
+                merge()
+                if len(parts[0]) > FLUSH:
+                    yield flush()
+    if parts:
+        yield flush()
 
 
 @dataclass
 class Vocabulary:
-    """Words with numbers (n and number by hash) and those seen once that have none."""
+    """Training words with their counts and numbers, by hash."""
 
-    often: HashStore
-    once: HashStore
-    n_often: int
-    n_once: int
+    store: HashStore
+    n_words: int
     n_texts: int
     n_tokens: int
 
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts and numbers of tokens; unseen words have count 0 and number UNK."""
         uniq, back = np.unique(hashes, return_inverse=True)
-        got = self.often.get(uniq, n=np.int64(0), number=np.int64(UNK))
-        n, number = got["n"], got["number"]
-        rest = np.flatnonzero(~got["found"])
-        n[rest] = self.once.get(uniq[rest])["found"]
+        got = self.store.get(uniq, n=np.int64(0))
+        n, number = got["n"], np.where(got["found"], got["row"] + WORDS_FROM, UNK)
         if self.n_texts:
             n[uniq == END], number[uniq == END] = self.n_texts, STOP
         return n[back], number[back]
 
 
-def build_vocabulary(training: DataFrame, merge_once: bool = True) -> Vocabulary:
+def build_vocabulary(training: DataFrame) -> Vocabulary:
     """From a table with one column, the texts."""
-    least = 2 if merge_once else 1
     counts = training.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "words")
     end = int(signed(np.array([END]))[0])
     size = counts.agg(
-        F.sum("n").alias("tokens"), F.count_if(F.col("n") >= least).alias("often"), F.count_if((F.col("n") < least) & (F.col("key") != end)).alias("once"),
-        F.max(F.when(F.col("key") == end, F.col("n"))).alias("texts"),
-    ).first()
-    if size.often >= 2**32 - WORDS_FROM:
+        F.sum("n").alias("tokens"), F.count_if(F.col("key") != end).alias("words"), F.max(F.when(F.col("key") == end, F.col("n"))).alias("texts")
+    ).first()
+    if size.words >= 2**32 - WORDS_FROM:
         raise ValueError("more words than 32 bits number")
-    words = counts.where(F.col("key") != end)
-    often = words.where(F.col("n") >= least)
-    bits = hashstore.shard_bits(size.often)
-    # a word's number: the words of the shards before its own, and its place in its shard
-    sizes = often.groupBy(hashstore.shard_column("key", bits).alias("s")).count().collect()  # a row per 2 million words
-    before, total = {}, WORDS_FROM
-    for r in sorted(sizes, key=lambda r: r.s):
-        before[r.s], total = total, total + r["count"]
-
-    def number(key: tuple, t: pa.Table) -> pa.Table:
-        k, n = t["key"].to_numpy().view(np.uint64), t["n"].to_numpy()
-        order = np.argsort(k)
-        return pa.table({"key": signed(k[order]), "n": n[order], "number": np.arange(len(k)) + before[key[0].as_py()]})
-
-    numbered = often.withColumn("__s", hashstore.shard_column("key", bits)).groupBy("__s").applyInArrow(number, "key long, n long, number long")
-    store, _ = hashstore.build(numbered, size.often, "often")
-    once, _ = hashstore.build(words.where(F.col("n") < least).select("key"), size.once, "once")
+    store, _ = hashstore.build(counts.where(F.col("key") != end), size.words, "often")
     discard(counts)
-    return Vocabulary(store, once, total - WORDS_FROM, size.once, size.texts or 0, size.tokens or 0)
+    return Vocabulary(store, size.words, size.texts or 0, size.tokens or 0)
+
+
+# ---- n-grams as columns: ends = word before the last << 32 | last word, rest = the words before those
+
+
+@dataclass
+class Grams:
+    """n-grams; rest holds the third last word, with order 4 the fourth last above it."""
+
+    ends: np.ndarray
+    rest: np.ndarray
+    hot: np.ndarray  # whether the word before the last is
+
+    def take(self, at: np.ndarray) -> Grams:
+        return Grams(self.ends[at], self.rest[at], self.hot[at])
+
+    def shorter(self, order: int) -> Grams:
+        """The last `order` words of each."""
+        return Grams(self.ends, self.rest & U((1 << 32 * (order - 2)) - 1), self.hot)
+
+    def identity(self) -> np.ndarray:
+        return mix(self.ends * U(0x9E3779B97F4A7C15) + mix(self.rest))
+
+    def contexts(self, order: int) -> np.ndarray:
+        return mix(mix(self.rest + U(order << 56)) + (self.ends >> U(32)) * U(0xC6A4A7935BD1E995))
 
+    def keys(self, contexts: np.ndarray) -> np.ndarray:
+        return (contexts >> WORD_BITS << WORD_BITS) | (mix(self.ends << U(32)) >> U(36))
 
-def _bigrams(hashes: np.ndarray, ptr: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per token: context << 32 | word, the context's tokens, the word's count."""
+    def shard(self, shards: int) -> np.ndarray:
+        return (mix(np.where(self.hot, self.ends, self.ends >> U(32)) + U(0x5BD1E995)) % U(shards)).astype(np.int64)
+
+
+def ngrams(hashes: np.ndarray, ptr: np.ndarray, vocab: Vocabulary, order: int, hot: int) -> tuple[Grams, np.ndarray]:
+    """The n-gram that ends at each token, and the tokens' counts."""
     n, number = vocab.numbers(hashes)
-    context, tokens_of = np.empty_like(number), np.empty_like(n)
-    context[1:], tokens_of[1:] = number[:-1], np.where(number[:-1] == UNK, max(vocab.n_once, 1), n[:-1])
-    context[ptr[:-1]], tokens_of[ptr[:-1]] = START, vocab.n_texts
-    return (context.astype(np.uint64) << U(32)) | number.astype(np.uint64), tokens_of, n
+    number = number.astype(np.uint64)
+
+    def back(values: np.ndarray, first) -> np.ndarray:
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[ptr[:-1]] = first
+        return out
+
+    before = back(number, U(START))
+    ends, heavy = before << U(32) | number, back(n, vocab.n_texts) >= hot
+    rest = np.zeros(len(number), np.uint64)
+    for k in range(order - 2):
+        before = back(before, U(START))
+        rest |= before << U(32 * k)
+    return Grams(ends, rest, heavy), n
+
+
+def merged(g: Grams, counts: np.ndarray) -> tuple[Grams, np.ndarray]:
+    """Distinct n-grams with their counts added up."""
+    if not len(counts):
+        return g, counts
+    h = g.identity()
+    order = np.argsort(h)
+    h = h[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return g.take(order[first]), np.add.reduceat(counts[order], first)
+
+
+def pack(g: Grams, counts: np.ndarray, order: int) -> bytes:
+    """n-grams, by their last two words: differences, words and counts as planes of bytes, compressed."""
+    by = np.argsort(g.ends)
+    ends = g.ends[by]
+    ends[1:] -= ends[:-1].copy()
+    planes = [ends.view(np.uint8).reshape(-1, 8).T.ravel(), counts[by].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.ravel(), g.hot[by].view(np.uint8)]
+    if order > 2:
+        rest = g.rest[by].view(np.uint8).reshape(-1, 8)[:, : 4 * (order - 2)]
+        planes.append(rest.T.ravel())
+    return len(counts).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(np.concatenate(planes))
+
+
+def unpack(blob: bytes, order: int) -> tuple[Grams, np.ndarray]:
+    n, wide = int.from_bytes(blob[:8], "little"), 4 * (order - 2)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:], max_output_size=(13 + wide) * n), np.uint8)
+    ends = np.cumsum(np.ascontiguousarray(planes[: 8 * n].reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
+    counts = np.ascontiguousarray(planes[8 * n : 12 * n].reshape(4, n).T).view(np.uint32).ravel().astype(np.int64)
+    rest = np.zeros((n, 8), np.uint8)
+    rest[:, :wide] = planes[13 * n :].reshape(wide, n).T
+    return Grams(ends, rest.view(np.uint64).ravel(), planes[12 * n : 13 * n].astype(bool)), counts
+
 
+class Tally:
+    """Distinct n-grams and counts of many arrays, merged now and then."""
+
+    def __init__(self):
+        self.parts: list[tuple[Grams, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, g: Grams, counts: np.ndarray) -> None:
+        self.parts.append(merged(g, counts))
+        self.held += len(self.parts[-1][1])
 
-def _shard(keys: np.ndarray, tokens_of: np.ndarray, shards: int) -> np.ndarray:
-    by = np.where(tokens_of < HOT, keys >> U(32), keys)
-    return (mix(by + U(0x5bd1e995)) % U(shards)).astype(np.int64)
+    def merge(self) -> tuple[Grams, np.ndarray]:
+        if len(self.parts) != 1:
+            columns = [np.concatenate(x) for x in zip(*((g.ends, g.rest, g.hot, c) for g, c in self.parts))]
+            self.parts = []
+            if not columns:
+                return Grams(*(np.zeros(0, t) for t in (np.uint64, np.uint64, bool))), np.zeros(0, np.int64)
+            self.parts = [merged(Grams(*columns[:3]), columns[3])]
+            self.held = len(self.parts[0][1])
+        return self.parts[0]
 
 
-def _count_bigrams(rows: Iterator[pa.RecordBatch], vocab: Vocabulary, shards: int) -> Iterator[pa.RecordBatch]:
-    tally, owner = Tally(), ShardOf(shards)
+def _count_ngrams(rows: Iterator[pa.RecordBatch], vocab: Vocabulary, order: int, shards: int, hot: int) -> Iterator[pa.RecordBatch]:
+    tally = Tally()
 
     def flush() -> pa.RecordBatch:
-        keys, counts = tally.merged()
-        shard = owner.of(keys)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        some = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
-        blobs = [pack(keys[order[cuts[s] : cuts[s + 1]]], counts[order[cuts[s] : cuts[s + 1]]]) for s in some]
+        g, counts = tally.merge()
         tally.__init__()
+        shard = g.shard(shards)
+        by = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[by], np.arange(shards + 1))
+        some = np.flatnonzero(np.diff(cuts))
+        blobs = [pack(g.take(at := by[cuts[s] : cuts[s + 1]]), counts[at], order) for s in some]
         return pa.record_batch({"shard": pa.array(some, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     for batch in batches(rows):
         buf, offs = buffer_of(batch.column(0))
-        for _, _, b, o in slices(buf, offs, 2 * SLICE):
-            hashes, ptr = tokens(b, o)
-            keys, tokens_of, _ = _bigrams(hashes, ptr, vocab)
-            keys, one, counts = np.unique(keys, return_index=True, return_counts=True)
-            tally.add(keys, counts)
-            owner.note(keys, tokens_of[one])
-            if tally.full():
-                yield flush()
+        for _, _, b, o in slices(buf, offs):
+            g, _ = ngrams(*tokens(b, o), vocab, order, hot)
+            tally.add(g, np.ones(len(g.ends), np.int64))
+            if tally.held > 2 * FLUSH:
+                tally.merge()
+                if tally.held > FLUSH:
+                    yield flush()
     if tally.held:
         yield flush()
 
 
-class ShardOf:
-    """Remembers which contexts are hot, to tell the shard of merged keys."""
+# ---- shards
 
-    def __init__(self, shards: int):
-        self.shards, self.hot = shards, np.zeros(0, np.uint64)
 
-    def note(self, keys: np.ndarray, tokens_of: np.ndarray) -> None:
-        self.hot = np.union1d(self.hot, np.unique(keys[tokens_of >= HOT] >> U(32)))
+def _level(g: Grams, counts: np.ndarray, k: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray] | None]:
+    """Order k's arrays of a shard, and the totals of contexts that are spread over shards."""
+    contexts = g.contexts(k)
+    keys = g.keys(contexts)
+    by = np.argsort(keys)
+    keys, counts = keys[by], counts[by]
+    multi = np.flatnonzero(counts > 1)
+    more = counts[multi]
+    out = {
+        f"key{k}": keys, f"at{k}": multi.astype(np.int32), f"sum{k}": np.concatenate([[0], np.cumsum(more - 1)]),
+        f"two{k}": np.concatenate([[0], np.cumsum(more == 2)]).astype(np.int32),
+    }
+    spread = by[g.hot[by]]
+    if not len(spread):
+        return out, None
+    c, n = contexts[spread], counts[g.hot[by]]
+    by = np.argsort(c)
+    c, n = c[by], n[by]
+    first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+    sums = [np.add.reduceat(x.astype(np.int64), first) for x in (n, n == 1, n == 2, n > 2)]
+    return out, {"key": c[first]} | dict(zip(TOTALS, sums))
 
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        hot = np.isin(keys >> U(32), self.hot)
-        return _shard(keys, np.where(hot, HOT, 0), self.shards)
 
+def _blob(*columns: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.concatenate([c.astype(np.uint64) for c in columns]).view(np.uint8).reshape(-1, 8).T.ravel())
 
-def _pieces(per_file: int, kind: int, ids: np.ndarray, *values: np.ndarray) -> Iterator[dict]:
-    """Rows (file of step 3, kind, packed ids and values)."""
-    cuts = np.searchsorted(ids, np.arange(0, (int(ids[-1]) // per_file + 2) * per_file, per_file)) if len(ids) else [0]
-    for f, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-        if a < b:
-            data = np.concatenate([ids[a:b].astype(np.int64), *(v[a:b].astype(np.int64) for v in values)])
-            yield {"file": f, "kind": kind, "blob": zstandard.ZstdCompressor(level=1).compress(data.tobytes())}
 
+def _columns(blob: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).reshape(n, -1)
 
-def _merge_shard(table: pa.Table, path: str, per_file: int) -> pa.Table:
-    shard = table["shard"][0].as_py()
-    tally = Tally()
+
+COUNTED = 5  # counts 1 to 4 and all else
+PIECES = "kind int, part int, blob binary, k int, " + ", ".join(f"c{i} long" for i in range(1, COUNTED + 1))
+
+
+def _spread(counts: np.ndarray) -> list[int]:
+    return np.bincount(np.minimum(counts, COUNTED), minlength=COUNTED + 1)[1:].tolist()
+
+
+def _merge_shard(table: pa.Table, path: str, order: int, per_file: int, carry_bits: int) -> pa.Table:
+    """Writes a shard's arrays. Rows: kind 0, totals of spread contexts by
+    their parts; kind 1, how many words precede a word, by files of step 3; kind
+    2, counts of counts of order k."""
+    shard, tally = table["shard"][0].as_py(), Tally()
     for blob in table["blob"]:
-        tally.add(*unpack(blob.as_py()))
+        tally.add(*unpack(blob.as_py(), order))
         if tally.held > 4 * FLUSH:
-            tally.merged()
-    keys, counts = tally.merged()
-    multi = counts > 1
-    hashstore._write(f"{path}/{shard:06d}-1.arrow", {"key": keys[~multi]})
-    hashstore._write(f"{path}/{shard:06d}-2.arrow", {"key": keys[multi], "n": counts[multi].astype(np.int32)})
-    context, word = keys >> U(32), keys & U(0xFFFFFFFF)
-    first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-    sums = [np.add.reduceat(v.astype(np.int64), first) for v in (counts, counts == 1, counts == 2, counts > 2)]
-    followed, n_before = np.unique(word, return_counts=True)
-    rows = [*_pieces(per_file, 0, context[first], *sums), *_pieces(per_file, 1, followed, n_before)]
-    spread = np.bincount(np.minimum(counts, 5), minlength=6)[1:5]
-    rows.append({"file": -1, "kind": 2, "blob": np.append(spread, len(keys)).astype(np.int64).tobytes()})
-    return pa.Table.from_pylist(rows, pa.schema([("file", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())]))
-
-
-COLUMNS = ("total", "one", "two", "more", "before")
-
-
-def _merge_file(table: pa.Table, path: str, per_file: int) -> pa.Table:
-    f = table["file"][0].as_py()
-    out = {c: np.zeros(per_file, np.int64) for c in COLUMNS}
-    for kind, blob in zip(table["kind"].to_pylist(), table["blob"].to_pylist()):
-        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64)
-        ids, *values = data.reshape(5 if kind == 0 else 2, -1)
-        for c, v in zip(COLUMNS[:4] if kind == 0 else COLUMNS[4:], values):
-            np.add.at(out[c], ids - f * per_file, v)
-    used = int(np.flatnonzero(out["before"] + out["total"]).max()) + 1
-    hashstore._write(f"{path}/by-{f:06d}.arrow", {c: v[:used] for c, v in out.items()})
-    spread = np.bincount(np.minimum(out["before"], 5), minlength=6)
-    more = int((out["before"] > 2).sum())
-    return pa.table({k: [int(v)] for k, v in zip(("c1", "c2", "c3", "c4", "more", "types"), [*spread[1:5], more, out["before"].sum()])})
+            tally.merge()
+    g, counts = tally.merge()
+    del tally, table
+    arrays, rows = {}, []
+    for k in range(order, 1, -1):
+        if k < order:
+            g, counts = merged(g.shorter(k), np.ones(len(g.ends), np.int64))
+        level, carried = _level(g, counts, k)
+        arrays |= level
+        rows.append({"kind": 2, "part": -1, "blob": None, "k": k} | {f"c{i + 1}": n for i, n in enumerate(_spread(counts))})
+        if carried:
+            part = (carried["key"] >> U(64 - carry_bits)).astype(np.int64) if carry_bits else np.zeros(len(carried["key"]), np.int64)
+            cuts = np.searchsorted(part, np.arange((1 << carry_bits) + 1))
+            rows += [{"kind": 0, "part": int(p), "blob": _blob(*(c[cuts[p] : cuts[p + 1]] for c in carried.values()))} for p in np.flatnonzero(np.diff(cuts))]
+    hashstore._write(f"{path}/{shard:06d}.arrow", arrays)
+    words, n = np.unique(g.ends & U(0xFFFFFFFF), return_counts=True)
+    cuts = np.searchsorted(words, np.arange(0, (int(words[-1]) // per_file + 2) * per_file, per_file).astype(np.uint64))
+    rows += [{"kind": 1, "part": f, "blob": _blob(words[a:b], n[a:b])} for f, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
+    names = [c.split()[0] for c in PIECES.split(", ")]
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int32(), *[pa.int64()] * COUNTED]
+    return pa.Table.from_pylist(rows, pa.schema(list(zip(names, kinds))))
+
+
+def _merge_piece(table: pa.Table, path: str, per_file: int) -> pa.Table:
+    """Adds up the totals of a part of the spread contexts, or a file's words."""
+    kind, part = table["kind"][0].as_py(), table["part"][0].as_py()
+    if kind == 0:
+        c = np.concatenate([_columns(b.as_py(), 1 + len(TOTALS)) for b in table["blob"]], axis=1)
+        by = np.argsort(c[0])
+        c = c[:, by]
+        first = np.flatnonzero(np.concatenate([[True], c[0, 1:] != c[0, :-1]]))
+        sums = [np.add.reduceat(x.astype(np.int64), first) for x in c[1:]]
+        hashstore._write(f"{path}/totals-{part:06d}.arrow", {"key": c[0, first]} | dict(zip(TOTALS, sums)))
+        counts = np.zeros(0, np.int64)
+    else:
+        counts = np.zeros(per_file, np.int64)
+        for b in table["blob"]:
+            words, n = _columns(b.as_py(), 2).astype(np.int64)
+            np.add.at(counts, words - part * per_file, n)
+        hashstore._write(f"{path}/words-{part:06d}.arrow", {"before": counts})
+    row = {f"c{i + 1}": [n] for i, n in enumerate(_spread(counts[counts > 0]))} | {"types": [int(counts.sum())]}
+    return pa.table(row)
 
 
 def discounts(c1: int, c2: int, c3: int, c4: int) -> np.ndarray:
@@ -280,109 +356,119 @@ def discounts(c1: int, c2: int, c3: int, c4: int) -> np.ndarray:
     return np.array([0.0] + [min(max(k - (k + 1) * y * r, 0.05), k - 0.05) for k, r in ratios])
 
 
-class BigramModel:
+class NgramModel:
     """The arrays of a fitted model; opens them where it is used."""
 
-    def __init__(self, path: str, shards: int, per_file: int, vocab: Vocabulary, high: np.ndarray, low: np.ndarray, low_n: tuple, types: int):
-        self.path, self.shards, self.per_file, self.vocab = path, shards, per_file, vocab
-        self.high, self.low, self.low_n, self.types = high, low, low_n, types
-        self._open: dict = {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"_open": {}}
+    def __init__(self, path: str, order: int, shards: int, per_file: int, carry_bits: int, hot: int, vocab: Vocabulary, cuts: dict[int, np.ndarray], types: int, low_mass: float):
+        self.path, self.order, self.shards, self.per_file, self.hot, self.vocab = path, order, shards, per_file, hot, vocab
+        self.cuts, self.types, self.low_mass = cuts, types, low_mass
+        self.files, self.totals = hashstore.Files(path), HashStore(path, carry_bits, "totals-")
 
-    def _file(self, name: str) -> dict:
-        if name not in self._open:
-            self._open[name] = hashstore._read(f"{self.path}/{name}.arrow") or {}
-        return self._open[name]
-
-    def word_values(self, ids: np.ndarray, columns: tuple) -> dict[str, np.ndarray]:
-        out = {c: np.zeros(len(ids), np.int64) for c in columns}
-        file = ids // self.per_file
+    def _words(self, words: np.ndarray) -> np.ndarray:
+        """How many words precede each."""
+        out = np.zeros(len(words), np.int64)
+        file = words // self.per_file
         for f in np.unique(file):
-            at = np.flatnonzero(file == f)
-            rows = self._file(f"by-{f:06d}")
-            place = ids[at] - f * self.per_file
-            ok = place < len(rows.get("total", ()))
-            for c in columns:
-                if ok.any():
-                    out[c][at[ok]] = rows[c][place[ok]]
+            if rows := self.files.get(f"words-{f:06d}"):
+                at = np.flatnonzero(file == f)
+                out[at] = rows["before"][words[at] - f * self.per_file]
         return out
 
-    def bigram_counts(self, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
-        """Of distinct keys."""
-        out = np.zeros(len(keys), np.int64)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
+    def _level(self, g: Grams, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of distinct n-grams of order k: the discounted share, and the share left to the order below."""
+        cut = self.cuts[k]
+        contexts = g.contexts(k)
+        keys, shard = g.keys(contexts), g.shard(self.shards)
+        count, total, left = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys))
+        by = np.lexsort((keys, shard))
+        cuts = np.searchsorted(shard[by], np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(cuts)):
-            at = order[cuts[s] : cuts[s + 1]]
-            for part in (1, 2):
-                rows = self._file(f"{s:06d}-{part}")
-                have = rows.get("key", np.zeros(0, np.uint64))
-                if len(have):
-                    k = np.minimum(np.searchsorted(have, keys[at]), len(have) - 1)
-                    hit = have[k] == keys[at]
-                    out[at[hit]] = 1 if part == 1 else rows["n"][k[hit]]
-        return out
-
-    def log10(self, keys: np.ndarray, tokens_of: np.ndarray) -> np.ndarray:
-        """log10 P(word | context) of bigrams, repeats and all."""
-        uniq, one, back = np.unique(keys, return_index=True, return_inverse=True)
-        context, word = (uniq >> U(32)).astype(np.int64), (uniq & U(0xFFFFFFFF)).astype(np.int64)
-        words, w_back = np.unique(word, return_inverse=True)
-        before = self.word_values(words, ("before",))["before"]
-        kinds = self.vocab.n_often + 2  # words, <unk> and the end
-        mass = self.low[1:] @ np.array(self.low_n) / self.types if self.types else 1.0
-        low = np.maximum(before - self.low[np.minimum(before, 3)], 0) / max(self.types, 1) + mass / kinds
-        low[words == UNK] /= self.vocab.n_once + 1
-        ctx, c_back = np.unique(context, return_inverse=True)
-        of = {k: v[c_back] for k, v in self.word_values(ctx, COLUMNS[:4]).items()}
-        count = self.bigram_counts(uniq, _shard(uniq, tokens_of[one], self.shards))
-        total = np.maximum(of["total"], 1)
-        gamma = np.where(of["total"] > 0, (self.high[1] * of["one"] + self.high[2] * of["two"] + self.high[3] * of["more"]) / total, 1.0)
-        own = np.maximum(count - self.high[np.minimum(count, 3)], 0) / total
-        own[word == UNK] /= self.vocab.n_once + 1
-        return np.log10(own + gamma * low[w_back])[back]
-
-
-def fit(training: DataFrame, shard_tokens: int = 2_000_000, merge_once: bool = True) -> BigramModel:
-    """A model of the texts in a table with one column."""
-    vocab = build_vocabulary(training, merge_once)
+            at = by[cuts[s] : cuts[s + 1]]
+            if not (rows := self.files.get(f"{s:06d}")):
+                continue
+            have, multi, sums, twos = (rows[f"{name}{k}"] for name in ("key", "at", "sum", "two"))
+            q = keys[at]
+            place = np.minimum(np.searchsorted(have, q), len(have) - 1)
+            m = np.minimum(np.searchsorted(multi, place.astype(np.int32)), max(len(multi) - 1, 0))
+            extra = np.where(multi[m] == place, sums[m + 1] - sums[m], 0) if len(multi) else 0
+            count[at] = np.where(have[place] == q, 1 + extra, 0)
+            c = q >> WORD_BITS  # ascending: each context's n-grams lie side by side
+            first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+            a = np.searchsorted(have, c[first] << WORD_BITS)
+            z = np.searchsorted(have, (c[first] << WORD_BITS) | U((1 << int(WORD_BITS)) - 1), "right")
+            ma, mz = np.searchsorted(multi, a.astype(np.int32)), np.searchsorted(multi, z.astype(np.int32))
+            two = (twos[mz] - twos[ma]).astype(np.int64)
+            size = np.diff(np.append(first, len(c)))
+            total[at] = np.repeat(z - a + sums[mz] - sums[ma], size)
+            left[at] = np.repeat(cut[1] * (z - a - (mz - ma)) + cut[2] * two + cut[3] * (mz - ma - two), size)
+        if len(hot := np.flatnonzero(g.hot)):
+            v = self.totals.get(contexts[hot], **dict.fromkeys(TOTALS, np.int64(0)))
+            total[hot] = v["total"]
+            left[hot] = cut[1] * v["one"] + cut[2] * v["two"] + cut[3] * v["more"]
+        known = np.maximum(total, 1)
+        return np.maximum(count - cut[np.minimum(count, 3)], 0) / known, np.where(total > 0, left / known, 1.0)
+
+    def log10(self, g: Grams) -> np.ndarray:
+        """log10 P(word | context) of n-grams, repeats and all."""
+        _, one, back = np.unique(g.identity(), return_index=True, return_inverse=True)
+        g = g.take(one)
+        words, of = np.unique((g.ends & U(0xFFFFFFFF)).astype(np.int64), return_inverse=True)
+        before, kinds = self._words(words), self.vocab.n_words + 2  # words, one unseen and the end
+        p = np.maximum(before - self.cuts[1][np.minimum(before, 3)], 0) / max(self.types, 1) + self.low_mass / kinds
+        p = p[of]
+        for k in range(2, self.order + 1):
+            short = g.shorter(k)
+            if k < self.order:
+                _, some, to = np.unique(short.identity(), return_index=True, return_inverse=True)
+                own, left = (x[to] for x in self._level(short.take(some), k))
+            else:
+                own, left = self._level(short, k)
+            p = own + left * p
+        return np.log10(p)[back]
+
+
+def fit(training: DataFrame, order: int = 3, shard_tokens: int = 2_000_000, hot: int | None = None) -> NgramModel:
+    """A model of the texts in a table with one column. A shard holds about
+    shard_tokens n-grams; words with hot tokens (as many, if not given) are
+    spread over shards."""
+    if order not in ORDERS:
+        raise ValueError(f"the order must be one of {ORDERS}")
     spark = training.sparkSession
-    path = fresh_path(spark, "bigrams")
+    vocab = build_vocabulary(training)
+    free_shuffles(spark)
+    path, hot = fresh_path(spark, "ngrams"), hot or shard_tokens
     shards = max(1, -(-vocab.n_tokens // shard_tokens))
+    carry_bits = max(0, (shards - 1).bit_length())
     # as many files as shards: what words are told by the shards stays bounded per file
-    per_file = max(LEAST_PER_FILE, -(-(vocab.n_often + WORDS_FROM) // shards))
-    packed = training.mapInArrow(lambda it: _count_bigrams(it, vocab, shards), "shard int, blob binary")
-    merged = materialize(
-        packed.groupBy("shard").applyInArrow(lambda t: _merge_shard(t, path, per_file), "file int, kind int, blob binary"), "shards"
-    )
-    spread = np.zeros(5, np.int64)
-    for r in merged.where("kind = 2").collect():  # a row of five numbers per shard
-        spread += np.frombuffer(r.blob, np.int64)
+    per_file = max(LEAST_PER_FILE, -(-(vocab.n_words + WORDS_FROM) // shards))
+    packed = training.mapInArrow(lambda it: _count_ngrams(it, vocab, order, shards, hot), "shard int, blob binary")
+    by_shard = packed.repartition(shards, "shard").groupBy("shard")
+    pieces = materialize(by_shard.applyInArrow(lambda t: _merge_shard(t, path, order, per_file, carry_bits), PIECES), "shards")
+    free_shuffles(spark)
+    sums = [F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"c{i}") for i in range(1, COUNTED + 1)]
+    cuts = {r.k: discounts(r.c1, r.c2, r.c3, r.c4) for r in pieces.where("kind = 2").groupBy("k").agg(*sums).collect()}  # a row per order
     low = (
-        merged.where("kind < 2").groupBy("file")
-        .applyInArrow(lambda t: _merge_file(t, path, per_file), "c1 long, c2 long, c3 long, c4 long, more long, types long")
-        .agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("c1", "c2", "c3", "c4", "more", "types"))).first()
+        pieces.where("kind < 2").select("kind", "part", "blob").repartition(shards, "kind", "part").groupBy("kind", "part")
+        .applyInArrow(lambda t: _merge_piece(t, path, per_file), ", ".join(f"c{i} long" for i in range(1, COUNTED + 1)) + ", types long")
+        .agg(*sums, F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()
     )
-    discard(merged)
-    return BigramModel(
-        path, shards, per_file, vocab, discounts(*spread[:4]), discounts(low.c1, low.c2, low.c3, low.c4), (low.c1, low.c2, low.more), low.types
-    )
+    discard(pieces)
+    cuts = {k: cuts.get(k, discounts(0, 0, 0, 0)) for k in range(2, order + 1)} | {1: discounts(low.c1, low.c2, low.c3, low.c4)}
+    mass = float(cuts[1][1:] @ np.array([low.c1, low.c2, low.c3 + low.c4 + low.c5])) / low.types if low.types else 1.0
+    return NgramModel(path, order, shards, per_file, carry_bits, hot, vocab, cuts, low.types, mass)
 
 
-def _score(rows: Iterator[pa.RecordBatch], model: BigramModel) -> Iterator[pa.RecordBatch]:
+def _score(rows: Iterator[pa.RecordBatch], model: NgramModel) -> Iterator[pa.RecordBatch]:
     vocab = model.vocab
-    kinds = vocab.n_often + vocab.n_once + (vocab.n_texts > 0)
-    floor = np.log10(vocab.n_tokens + kinds + 1)
+    floor = np.log10(vocab.n_tokens + vocab.n_words + (vocab.n_texts > 0) + 1)
     for batch in batches(rows):
         buf, offs = buffer_of(batch.column(1))
         for a, z, b, o in slices(buf, offs, 2 * SLICE):
             hashes, ptr = tokens(b, o)
-            keys, tokens_of, n = _bigrams(hashes, ptr, vocab)
+            g, n = ngrams(hashes, ptr, vocab, model.order, model.hot)
             known = np.add.reduceat((n > 0).astype(np.int64), ptr[:-1])
             base = np.add.reduceat(np.log10(n + 1) - floor, ptr[:-1])
-            score = np.add.reduceat(model.log10(keys, tokens_of), ptr[:-1])
+            score = np.add.reduceat(model.log10(g), ptr[:-1])
             yield pa.record_batch(
                 {
                     "id": batch.column(0).slice(a, z - a),
@@ -400,8 +486,9 @@ def score_texts(
     text_col: str = "text",
     folds: int = 7,
     held: int = 2,
+    order: int = 3,
     shard_tokens: int = 2_000_000,
-    merge_once: bool = True,
+    hot: int | None = None,
 ) -> DataFrame:
     """Per row of docs: the id, held_out, n_tokens, n_known, train_tokens,
     base_score, score and perplexity.
@@ -409,15 +496,17 @@ def score_texts(
     The models learn from rows whose crc32(id as text) modulo folds isn't held
     (rows without an id are learned from). A text's tokens are its words, A-Z
     folded, and one end. base_score is the add-one unigram log10 probability,
-    score that of the Kneser-Ney model, perplexity 10^(-score / n_tokens). Words
-    seen once are counted as <unk> with merge_once, else as themselves. Null
+    score that of the Kneser-Ney model of the given order (2 to 4), perplexity
+    10^(-score / n_tokens). All training words are counted as themselves. Null
     and empty texts have the end alone. Rows that repeat an id count and score
     as rows of their own. With no training row all probabilities are uniform.
-    An empty table gives an empty table.
+    An empty table gives an empty table. shard_tokens and hot shape the work and
+    change no result.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     held_out = F.coalesce(id_remainder("id", folds) == held, F.lit(False))
-    model = fit(rows.where(~held_out).select("text"), shard_tokens, merge_once)
+    model = fit(rows.where(~held_out).select("text"), order, shard_tokens, hot)
     scored = rows.mapInArrow(lambda it: _score(it, model), "id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select(
         F.col("id").alias(id_col), held_out.alias("held_out"), "n_tokens", "n_known",

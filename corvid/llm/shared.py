@@ -4,6 +4,7 @@ there to cut lineage, and connected components."""
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -86,6 +87,13 @@ def discard(df: DataFrame) -> None:
     _remove(df.sparkSession, df._table_path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs now: it does so once
+    the driver's garbage is collected, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """Components of an undirected graph given as long columns (a, b).
 

@@ -583,99 +583,88 @@ def test_encoding_of_the_test_documents(spark):
 # ---- 9 language model
 
 
-def brute_lm(rows):
+def brute_lm(rows, order):
+    """A function p(context, word) and the rows that score_texts must give, by dictionaries of tuples."""
     train = [i is None or zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows]
     toks = [[*ref.words(t), "\n"] for _, t in rows]
+    padded = [["<s>"] * (order - 1) + x for x in toks]
     c = Counter(w for x, y in zip(toks, train) if y for w in x)
     n, v = sum(c.values()), len(c)
-    unk = sum(k == 1 and w != "\n" for w, k in c.items()) + 1
-    name = lambda w: w if c[w] > 1 or (w == "\n" and c[w]) else None
-    if not c["\n"]:
-        name = lambda w: "\n" if w == "\n" else None
-    pairs = Counter()
-    for x, y in zip(toks, train):
-        if y:
-            s = ["<s>", *map(name, x)]
-            pairs.update(zip(s, s[1:]))
-    spread = Counter(pairs.values())
-    high = kneser_ney.discounts(*(spread[k] for k in (1, 2, 3, 4)))
-    before = Counter(w for _, w in pairs)
-    spread = Counter(before.values())
-    low = kneser_ney.discounts(*(spread[k] for k in (1, 2, 3, 4)))
-    total, follow = Counter(), defaultdict(Counter)
-    for (u, w), k in pairs.items():
-        total[u] += k
-        follow[u][min(k, 3)] += 1
-    types, kinds = len(pairs), sum(k > 1 and w != "\n" for w, k in c.items()) + 2
-    mass = (low[1] * spread[1] + low[2] * spread[2] + low[3] * sum(m for k, m in spread.items() if k > 2)) / types if types else 1.0
-
-    def p(u, w):
-        base = (max(before[w] - low[min(before[w], 3)], 0) / types if types else 0) + mass / kinds
-        k = pairs[u, w]
-        own = max(k - high[min(k, 3)], 0) / total[u] if total[u] else 0
-        out = own + (sum(high[j] * follow[u][j] for j in (1, 2, 3)) / total[u] if total[u] else 1) * base
-        return out / unk if w is None else out
-
-    for (i, _), x in zip(rows, toks):
-        s = ["<s>", *map(name, x)]
-        yield i, len(x), sum(c[w] > 0 for w in x), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in x), sum(math.log10(p(a, b)) for a, b in zip(s, s[1:]))
-    if types:
-        some = next(u for u, k in total.most_common())
-        known = [w for w, k in c.items() if k > 1 or w == "\n"]
-        assert abs(sum(p(some, w) for w in known) + p(some, None) * unk - 1) < 1e-9
-
-
-@pytest.mark.parametrize("shard_tokens,hot", [(2_000_000, 200_000), (500, 20)])
-def test_language_model_equals_brute_force(spark, shard_tokens, hot, monkeypatch):
-    monkeypatch.setattr(kneser_ney, "LEAST_PER_FILE", 16 if hot == 20 else 4096)
-    rows = ugly(9, 80)
-    got = kneser_ney.score_texts(docs_of(spark, rows), shard_tokens=shard_tokens).collect()
-    want = sorted(brute_lm(rows), key=lambda r: key(r[:2]))
-    for r, w in zip(sorted(got, key=lambda r: key((r.doc_id, r.n_tokens))), want, strict=True):
+    grams = {order: Counter(tuple(x[j : j + order]) for x, y in zip(padded, train) if y for j in range(len(x) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+    cut, total, left = {}, {}, {}
+    for k, counts in grams.items():
+        spread = Counter(counts.values())
+        cut[k] = kneser_ney.discounts(*(spread[j] for j in (1, 2, 3, 4)))
+        total[k], left[k] = Counter(), Counter()
+        for g, m in counts.items():
+            total[k][g[:-1]] += m
+            left[k][g[:-1]] += cut[k][min(m, 3)]
+
+    def p(context, w):
+        k = len(context) + 1
+        m = grams[k][(*context, w)]
+        below = p(context[1:], w) if context else 1 / (v + 1)
+        if not total[k][context]:
+            return below
+        return (max(m - cut[k][min(m, 3)], 0) + left[k][context] * below) / total[k][context]
+
+    out = []
+    for (i, _), x, y in zip(rows, toks, padded):
+        score = sum(math.log10(p(tuple(y[j : j + order - 1]), y[j + order - 1])) for j in range(len(x)))
+        out.append((i, len(x), sum(c[w] > 0 for w in x), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in x), score))
+    return p, c, out
+
+
+def as_brute_lm(got, rows, order):
+    p, c, want = brute_lm(rows, order)
+    for r, w in zip(sorted(got, key=lambda r: key((r.doc_id, r.n_tokens, r.score))), sorted(want, key=lambda r: key((r[0], r[1], r[5]))), strict=True):
         assert (r.doc_id, r.n_tokens, r.n_known, r.train_tokens) == w[:4]
         assert abs(r.base_score - w[4]) < 1e-6 * max(1, abs(w[4])) and abs(r.score - w[5]) < 1e-6 * max(1, abs(w[5]))
+        assert r.perplexity == pytest.approx(10 ** (-w[5] / w[1]))
+    return p, c
+
+
+@pytest.mark.parametrize("order,shard_tokens,hot", [(2, 2_000_000, None), (2, 500, 20), (3, 700, 30), (4, 5000, 50)])
+def test_language_model_equals_brute_force(spark, order, shard_tokens, hot, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "LEAST_PER_FILE", 16 if hot else 4096)
+    rows = ugly(9, 80)
+    got = kneser_ney.score_texts(docs_of(spark, rows), order=order, shard_tokens=shard_tokens, hot=hot).collect()
+    p, c = as_brute_lm(got, rows, order)
+    for context in ([("w1",) * (order - 1), ("<s>",) * (order - 1), ("w1",) * (order - 2) + ("unseen",)]):
+        assert abs(sum(p(context, w) for w in [*c, "unseen"]) - 1) < 1e-9
 
 
-@pytest.mark.parametrize("shard_tokens", [2_000_000, 500])
-def test_language_model_counts_words_seen_once(spark, shard_tokens, tmp_path):
-    """The query's scores, all training words being themselves."""
+def test_language_model_query_is_of_order_three(spark, tmp_path):
     from corvid.llm import queries
 
-    rows = ugly(9, 80)
+    rows = ugly(19, 60)
     docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
-    train = [[*ref.words(t), "\n"] for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
-    c = Counter(w for x in train for w in x)
-    pairs = Counter(p for x in train for p in zip(["<s>", *x], x))
-    before = Counter(w for _, w in pairs)
-    high, low = ([*kneser_ney.discounts(*(list(x.values()).count(k) for k in (1, 2, 3, 4)))] for x in (pairs, before))
-    total, follow = Counter(), defaultdict(list)
-    for (u, w), k in pairs.items():
-        total[u] += k
-        follow[u].append(high[min(k, 3)])
-    mass = sum(low[min(k, 3)] for k in before.values()) / len(pairs)
-
-    def p(u, w):
-        base = max(before[w] - low[min(before[w], 3)], 0) / len(pairs) + mass / (len(c) + 1)
-        return (max(pairs[u, w] - high[min(pairs[u, w], 3)], 0) + sum(follow[u]) * base) / total[u] if total[u] else base
-
-    assert abs(sum(p("w1", w) for w in [*c, "unseen"]) - 1) < 1e-9 and min(c.values()) == 1
-    want = []
-    for i, t in rows:
-        x = [*ref.words(t), "\n"]
-        want.append((i, len(x), sum(math.log10(p(a, b)) for a, b in zip(["<s>", *x], x))))
-    got = queries.op9(spark, str(tmp_path)) if shard_tokens > 500 else kneser_ney.score_texts(docs_of(spark, rows), shard_tokens=500, merge_once=False)
-    order = lambda r: key(r)
-    for r, w in zip(sorted(((r.doc_id, r.n_tokens, r.score) for r in got.collect()), key=order), sorted(want, key=order), strict=True):
-        assert r[:2] == w[:2] and abs(r[2] - w[2]) < 1e-6 * max(1, abs(w[2]))
-
-
-def test_hot_contexts_spread_over_shards():
-    keys = (np.uint64(5) << np.uint64(32)) | np.arange(1000, dtype=np.uint64)
-    cold = kneser_ney._shard(keys, np.full(1000, kneser_ney.HOT - 1), 8)
-    hot = kneser_ney._shard(keys, np.full(1000, kneser_ney.HOT), 8)
-    assert len(set(cold.tolist())) == 1 and len(set(hot.tolist())) == 8
-    k, c = kneser_ney.unpack(kneser_ney.pack(keys, np.arange(1000)))
-    assert (k == keys).all() and (c == np.arange(1000)).all()
+    as_brute_lm(queries.op9(spark, str(tmp_path)).collect(), rows, 3)
+    with pytest.raises(ValueError):
+        kneser_ney.score_texts(docs_of(spark, rows), order=5)
+
+
+def test_hot_words_spread_over_shards():
+    n = 1000
+    ends = (np.uint64(5) << np.uint64(32)) | np.arange(n, dtype=np.uint64)
+    grams = lambda hot: kneser_ney.Grams(ends, np.arange(n, dtype=np.uint64)[::-1] << np.uint64(7), np.full(n, hot))
+    assert len(set(grams(False).shard(8).tolist())) == 1 and len(set(grams(True).shard(8).tolist())) == 8
+    for order in (2, 3, 4):
+        g, c = kneser_ney.unpack(kneser_ney.pack(grams(True).shorter(order), np.arange(n), order), order)
+        assert (g.ends == ends).all() and (c == np.arange(n)).all() and (g.rest == grams(True).shorter(order).rest).all() and g.hot.all()
+
+
+def test_open_files_are_bounded(tmp_path):
+    from corvid.llm import hashstore
+
+    for k in range(9):
+        hashstore._write(f"{tmp_path}/{k}.arrow", {"key": np.arange(k, dtype=np.uint64)})
+    files = hashstore.Files(str(tmp_path), most=3)
+    for k in (0, 1, 2, 3, 4, 2, 8, 1):
+        assert len(files.get(str(k))["key"]) == k and len(files._open) <= 3
+    assert files.get("none") is None
 
 
 def test_language_model_without_training_rows(spark):
