@@ -14,7 +14,7 @@ from .line_dedup import dedup_lines
 from .quality_trees import judge_quality
 from .sentencepiece_sa import encode_texts
 from .toxicity import score_toxicity
-from .url_reputation import Rule, judge_urls
+from .url_reputation import SUFFIXES, Rule, judge_urls
 from .warc_revisits import resolve_revisits
 
 RULES = [
@@ -123,7 +123,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     with those numbers: bad if of low quality or toxic."""
     bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
     labelled = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
-    return judge_urls(_table(spark, sf_dir, "pages"), labelled, RULES).drop("bad_low")
+    return judge_urls(_table(spark, sf_dir, "pages"), labelled, RULES).withColumn("bad_low", F.round("bad_low", 6))
 
 
 def _rules_sql(column: str, other: str) -> str:
@@ -140,30 +140,33 @@ with urls as (
   select page_id,
     translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path from pages
+), marks as (
+  select doc_id as page_id, count(*)::double as n, sum(case when quality = 0 or toxic = 1 then 1.0::double else 0.0::double end) as k
+  from labels where doc_id is not null and ((quality = 0 or toxic = 1) is not null) group by doc_id
+), counts as (
+  select host, string_split(regexp_replace(host, '^.*@|:[0-9]*$', '', 'g'), '.') as parts, coalesce(sum(n), 0.0::double) as n, coalesce(sum(k), 0.0::double) as k
+  from urls left join marks using (page_id) where host <> '' group by host
 ), named as (
-  select *, regexp_extract(regexp_replace(host, '^.*@|:[0-9]*$', '', 'g'), '([^.]*\\.)?[^.]*$', 0) as domain from urls
-), named2 as (select *, regexp_extract(domain, '[^.]*$', 0) as suffix from named),
-hosts as (
-  select host, domain, suffix, count(*)::double as n, sum(case when quality = 0 or toxic = 1 then 1.0::double else 0.0::double end) as k
-  from named2 join labels on doc_id = page_id
-  where host <> '' and ((quality = 0 or toxic = 1) is not null) group by all
+  select *, case when regexp_matches(array_to_string(parts, '.'), '^([0-9]+(\\.[0-9]+){{3}}|\\[.*\\])$') then ''
+    when array_to_string(parts[-2:], '.') in ({", ".join(f"'{x}'" for x in sorted(SUFFIXES))}) then array_to_string(parts[-2:], '.')
+    else parts[-1] end as suffix from counts
+), hosts as (
+  select host, suffix, case when suffix = '' then array_to_string(parts, '.')
+    else array_to_string(parts[-(len(string_split(suffix, '.')) + 1):], '.') end as domain, n, k from named
 ), domains as (select domain, suffix, sum(n) as n, sum(k) as k from hosts group by all),
 suffixes as (select suffix, sum(n) as n, sum(k) as k from domains group by all),
-whole as (select (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + 1) as m from suffixes),
-s1 as (select m, {_RHO.format(k="k", n="n", m="m")} as s from suffixes, whole group by m),
-p1 as (select suffix, (k + m * s) / (n + s) as a, n + s as t from suffixes, s1),
-s2 as (select {_RHO.format(k="k", n="n", m="a")} as s from domains join p1 using (suffix)),
-p2 as (select domain, (k + a * s) / (n + s) as a, n + s as t from domains join p1 using (suffix), s2),
-s3 as (select {_RHO.format(k="k", n="n", m="a")} as s from hosts join p2 using (domain)),
+whole as (select (sum(k) + 0.5) / (sum(n) + 1) as m from suffixes having sum(n) > 0),
+s1 as (select m, {_RHO.format(k="k", n="n", m="m")} as s from suffixes, whole where n > 0 group by m),
+p1 as (select suffix, (k + m * s) / (n + s) as a from suffixes, s1),
+s2 as (select {_RHO.format(k="k", n="n", m="a")} as s from domains join p1 using (suffix) where n > 0),
+p2 as (select domain, (k + a * s) / (n + s) as a from domains join p1 using (suffix), s2),
+s3 as (select {_RHO.format(k="k", n="n", m="a")} as s from hosts join p2 using (domain) where n > 0),
 p3 as (select host, (k + a * s) / (n + s) as a, n + s as t from hosts join p2 using (domain), s3),
 low as (
-  select n.page_id, n.host, n.path, case when n.host = '' then 0.0 else coalesce(
-    p3.a - 1.645 * sqrt(p3.a * (1 - p3.a) / (p3.t + 1)), p2.a - 1.645 * sqrt(p2.a * (1 - p2.a) / (p2.t + 1)),
-    p1.a - 1.645 * sqrt(p1.a * (1 - p1.a) / (p1.t + 1)), 0.0) end as low
-  from named2 n left join p3 on p3.host = n.host left join p2 on p2.domain = n.domain left join p1 on p1.suffix = n.suffix
+  select u.page_id, u.host, u.path, coalesce(greatest(a - 1.645 * sqrt(a * (1 - a) / (t + 1)), 0.0), 0.0) as low from urls u left join p3 using (host)
 )
 select page_id, host, path, {_rules_sql("text", "null")} as rule,
-  {_rules_sql("verdict", "case when low > 0.5 then 'block' else 'allow' end")} as verdict from low
+  {_rules_sql("verdict", "case when low > 0.5 then 'block' else 'allow' end")} as verdict, round(low, 6) as bad_low from low
 """
 
 

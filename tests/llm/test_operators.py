@@ -379,6 +379,80 @@ def test_url_rules_and_reputation(spark):
     assert url_reputation.judge_urls(pages.where("page_id < 0"), marks, rules).count() == 0
 
 
+def brute_reputation(pages, marks, suffixes, z=1.645):
+    """Lower bounds by host, in plain Python."""
+    import re
+
+    bare = lambda h: re.sub(r"^.*@|:[0-9]*$", "", h)
+    is_address = lambda h: re.fullmatch(r"[0-9]+(\.[0-9]+){3}|\[.*\]", h)
+
+    def names(host):
+        h = bare(host)
+        if is_address(h):
+            return h, ""
+        labels = h.split(".")
+        n = 2 if ".".join(labels[-2:]) in suffixes else 1
+        return ".".join(labels[-n - 1 :]), ".".join(labels[-n:])
+
+    hosts = {}
+    for i, url in pages:
+        if url and "://" in url:
+            host = url.split("://", 1)[1].split("/")[0].split("?")[0].split("#")[0].lower()
+            if host:
+                n, k = hosts.get(host, (0, 0))
+                mine = [b for j, b in marks if j == i and i is not None and b is not None]
+                hosts[host] = n + len(mine), k + sum(mine)
+    domains, tops = defaultdict(lambda: (0, 0)), defaultdict(lambda: (0, 0))
+    for h, (n, k) in hosts.items():
+        for table, name in ((domains, names(h)), (tops, names(h)[1])):
+            table[name] = table[name][0] + n, table[name][1] + k
+    total = sum(n for n, _ in hosts.values())
+    if not total:
+        return dict.fromkeys(hosts, 0.0), names
+
+    def strength(rows):
+        over = sum((k - n * m) ** 2 - n * m * (1 - m) for n, k, m in rows if n)
+        pairs = sum(n * m * (1 - m) * (n - 1) for n, k, m in rows if n)
+        return 1 / min(max(over / pairs if pairs else 0.0001, 0.0001), 0.99) - 1
+
+    m = (sum(k for _, k in hosts.values()) + 0.5) / (total + 1)
+    s = strength([(n, k, m) for n, k in tops.values()])
+    top = {x: (k + m * s) / (n + s) for x, (n, k) in tops.items()}
+    s = strength([(n, k, top[x[1]]) for x, (n, k) in domains.items()])
+    mid = {x: (k + top[x[1]] * s) / (n + s) for x, (n, k) in domains.items()}
+    s = strength([(n, k, mid[names(h)]) for h, (n, k) in hosts.items()])
+    out = {}
+    for h, (n, k) in hosts.items():
+        p = (k + mid[names(h)] * s) / (n + s)
+        out[h] = max(p - z * math.sqrt(p * (1 - p) / (n + s + 1)), 0.0)
+    return out, names
+
+
+@pytest.mark.parametrize("broadcast_bytes", [32 << 20, 0])
+def test_reputation_equals_brute_force(spark, broadcast_bytes):
+    """With addresses, suffixes of two labels, a very long url, a hot host, and a
+    method that blocks some hosts without a rule and spares others."""
+    rng = random.Random(5)
+    rate = {"bad.co.uk": 0.95, "good.co.uk": 0.05, "a.shop.com": 0.9, "b.shop.com": 0.92, "c.shop.com": 0.9, "10.0.0.1": 0.9, "10.0.0.2": 0.1, "plain.org": 0.3, "[::1]": 0.5, "www.github.io": 0.4}
+    hosts = [*rate] * 3 + ["plain.org"] * 20
+    pages, marks = [], []
+    for i in range(1200):
+        h = rng.choice(hosts)
+        pages.append((i, rng.choice(["http://", "https://u@"]) + h + rng.choice(["", ":80"]) + rng.choice(["", "/x", "?q#f"])))
+        if rng.random() < 0.8:
+            marks.append((i, int(rng.random() < rate[h])))
+    pages += [(5000, "http://new.shop.com/"), (5001, "http://other.zz/"), (5002, "http://plain.org/" + "x" * 100_000), (5003, None), (None, "http://plain.org/"), pages[0]]
+    marks += [marks[0], (None, 1), (7, None), (9999, 1)]
+    table = spark.createDataFrame([(i, u, "x", 1) for i, u in pages], "page_id long, url string, domain string, n int")
+    got = url_reputation.judge_urls(table, spark.createDataFrame(marks, "page_id long, bad int"), [], broadcast_bytes=broadcast_bytes).collect()
+    low, names = brute_reputation(pages, marks, url_reputation.SUFFIXES)
+    assert len(got) == len(pages) and names("x.bad.co.uk") == ("bad.co.uk", "co.uk") and names("10.0.0.1") == ("10.0.0.1", "")
+    for r in got:
+        assert abs(r.bad_low - low.get(r.host, 0.0)) < 1e-9 and r.verdict == ("block" if r.bad_low > 0.5 else "allow"), r
+    blocked = {r.host.split("@")[-1].split(":")[0] for r in got if r.verdict == "block"}
+    assert {"bad.co.uk", "a.shop.com", "10.0.0.1"} <= blocked and not blocked & {"good.co.uk", "10.0.0.2", "plain.org", "other.zz", ""}
+
+
 # ---- 6 licenses
 
 
