@@ -265,8 +265,9 @@ def _level(g: Grams, counts: np.ndarray, k: int) -> tuple[dict[str, np.ndarray],
     keys, counts = keys[by], counts[by]
     multi = np.flatnonzero(counts > 1)
     more = counts[multi]
+    sums = np.concatenate([[0], np.cumsum(more - 1)])
     out = {
-        f"key{k}": keys, f"at{k}": multi.astype(np.int32), f"sum{k}": np.concatenate([[0], np.cumsum(more - 1)]),
+        f"key{k}": keys, f"at{k}": multi.astype(np.int32), f"sum{k}": sums.astype(np.uint32) if sums[-1] < 2**32 else sums,
         f"two{k}": np.concatenate([[0], np.cumsum(more == 2)]).astype(np.int32),
     }
     spread = by[g.hot[by]]
