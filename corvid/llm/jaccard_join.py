@@ -16,7 +16,10 @@
    A dual traversal drops pairs of nodes whose greatest possible overlap is
    under what the smallest sizes need, and counts common items of the pairs of
    leaves that remain. A component beyond the bound is cut into blocks by size
-   and hash, and each pair of blocks whose sizes can link is a task.
+   and hash, and each pair of blocks whose sizes can link is a task. Where chance
+   or templates made it, so that this costs more than its keys do, each key's
+   classes are a group instead, cut likewise if need be, and a link counts in the
+   group of the least key that both sets have.
 Counts of links and union-find roots leave a task, one row per set, never pairs.
 """
 
@@ -264,7 +267,7 @@ def _common(sets_x: list, sets_y: list, i: np.ndarray, j: np.ndarray, dense: tup
 def _dense(sets_x: list, sets_y: list | None) -> tuple | None:
     """Bit rows over the items that two sets or more hold, if they stay small."""
     both = sets_x + (sets_y or [])
-    items, count = np.unique(np.concatenate(both), return_counts=True)
+    items, count = np.unique(np.concatenate([*both, np.zeros(0, np.uint64)]), return_counts=True)
     items = items[count > 1]
     width = -(-max(1, len(items)) // 64)
     if width * 8 * len(both) > 64 << 20:
@@ -289,11 +292,12 @@ def _width(sets: list[np.ndarray]) -> int:
 
 
 def link_counts(
-    sets: list[np.ndarray], weight: np.ndarray, bands: Bands, other: list[np.ndarray] | None = None, other_weight=None
+    sets: list[np.ndarray], weight: np.ndarray, bands: Bands, other: list[np.ndarray] | None = None, other_weight=None, less: list | None = None,
 ) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Weights of linked partners for sets (and for the others, if pairs across
     two blocks are asked for) and the links that join components of sets +
-    others, as a spanning forest."""
+    others, as a spanning forest. less: a set of numbers for each of sets +
+    others; links between sets that share one of them count for nothing."""
     own = other is None
     there = sets if own else other
     gain, gain_there = np.zeros(len(sets), np.int64), np.zeros(len(there), np.int64)
@@ -320,6 +324,9 @@ def link_counts(
         y, weight_y = SignatureTree([there[i] for i in order_y], w), other_weight
     dense = _dense(x.sets, None if own else y.sets) if len(sets) + len(there) > 16 else None
     size_x, size_y = x.levels[0][1], y.levels[0][1]
+    if less is not None:
+        less_x, less_y = less[: len(sets)], less[base:]
+        rows = _dense(less_x, None if own else less_y)
     joins: list[tuple[int, int]] = []
     for i, j in _traverse(x, y, bands, own):
         if not len(i):
@@ -327,6 +334,9 @@ def link_counts(
         common = _common(x.sets, y.sets, i, j, dense)
         ok = bands.den * common >= bands.num * (size_x[i] + size_y[j] - common)
         i, j = order_x[i[ok]], order_y[j[ok]]
+        if less is not None and len(i):
+            fresh = _common(less_x, less_y, i, j, rows) == 0
+            i, j = i[fresh], j[fresh]
         np.add.at(gain, i, weight_y[j])
         np.add.at(gain_there, j, weight[i])
         for p, q in zip(i.tolist(), (j + base).tolist()):
@@ -337,39 +347,48 @@ def link_counts(
     return gain, gain_there, joins
 
 
+def signed_key(x: int) -> np.uint64:
+    return U(int(x) & (2**64 - 1))
+
+
 def _task(table: pa.Table, n: int, bands: Bands) -> pa.Table:
-    """Links within a task: rows (side, comp, cid, size, n, d1, d2, text)."""
+    """Links within a task: rows (side, comp, by_key, cid, size, n, d1, d2, text);
+    comp is a key where by_key says so."""
     buf, offs = buffer_of(table["text"])
     sets: list[np.ndarray] = []
+    keys: list[np.ndarray] = []
     good: list[np.ndarray] = []
     d1, d2 = table["d1"].to_numpy().view(np.uint64), table["d2"].to_numpy().view(np.uint64)
     for a, z, b, o in slices(buf, offs):
         g, ptr = shingles(b, o, n)
         sets += [g[ptr[k] : ptr[k + 1]] for k in range(z - a)]
+        found, held = signature_keys(g, ptr, bands)
+        keys += np.split(found, np.cumsum(held)[:-1])
         e1, e2 = _digests(g, ptr)
         good.append((e1 == d1[a:z]) & (e2 == d2[a:z]))  # another text under this id isn't this class
     cid, comp, side = table["cid"].to_numpy(), table["comp"].to_numpy(), table["side"].to_numpy()
-    weight = table["size"].to_numpy()
+    weight, by_key = table["size"].to_numpy(), table["by_key"].to_numpy()
     keep = np.flatnonzero(np.concatenate(good)) if good else np.zeros(0, np.int64)
     order = keep[np.lexsort((cid[keep], side[keep], comp[keep]))]
     fresh = np.ones(len(order), bool)
-    fresh[1:] = (cid[order][1:] != cid[order][:-1]) | (side[order][1:] != side[order][:-1])
+    fresh[1:] = (cid[order][1:] != cid[order][:-1]) | (side[order][1:] != side[order][:-1]) | (comp[order][1:] != comp[order][:-1])
     order = order[fresh]
     out_id, out_gain, edge_a, edge_b = [], [], [], []
     cuts = np.flatnonzero(np.diff(comp[order])) + 1
     for part in np.split(order, cuts) if len(order) else []:
         left, right = part[side[part] == 0], part[side[part] == 1]
+        less = [np.unique(keys[k][keys[k] < signed_key(comp[k])]) for k in [*left, *right]] if by_key[part[0]] else None
         if len(right) == 0:
             if len(left) < 2:
                 continue
-            gain, _, joins = link_counts([sets[k] for k in left], weight[left], bands)
+            gain, _, joins = link_counts([sets[k] for k in left], weight[left], bands, less=less)
             both = left
             gains = gain
         else:
             if len(left) == 0:
                 continue
             gain, more, joins = link_counts(
-                [sets[k] for k in left], weight[left], bands, [sets[k] for k in right], weight[right]
+                [sets[k] for k in left], weight[left], bands, [sets[k] for k in right], weight[right], less
             )
             both, gains = np.concatenate([left, right]), np.concatenate([gain, more])
         some = gains > 0
@@ -389,6 +408,42 @@ def _task(table: pa.Table, n: int, bands: Bands) -> pa.Table:
     )
 
 
+def _groups(member: DataFrame, shared: DataFrame, task_items: int) -> DataFrame:
+    """The classes of large components by component or, where their pairs of
+    blocks would hold fewer n-grams in all, by shared key."""
+    cost = F.col("load") * F.greatest(F.lit(1.0), F.col("load") / (task_items / 2))
+    keyed = materialize(shared.distinct().join(member, "cid"), "keyed")
+    by_key = keyed.groupBy("comp", "key").agg(F.sum("n").alias("load")).groupBy("comp").agg(F.sum(cost).alias("of_keys"))
+    by_comp = member.groupBy("comp").agg(F.sum("n").alias("load")).select("comp", cost.alias("of_comp"))
+    chosen = materialize(by_key.join(by_comp, "comp").where("of_keys < of_comp").select("comp"), "chosen")
+    parted = keyed.join(chosen, "comp", "left_semi").drop("comp").withColumnRenamed("key", "comp").withColumn("by_key", F.lit(True))
+    return materialize(parted.unionByName(member.join(chosen, "comp", "left_anti").withColumn("by_key", F.lit(False))), "parted")
+
+
+def _blocks(parted: DataFrame, task_items: int) -> DataFrame:
+    """Tasks for classes in groups (comp): small groups packed, larger ones in pairs of blocks."""
+    loads = parted.groupBy("comp").agg(F.sum("n").alias("load"))
+    tasks = max(1, ceil((loads.agg(F.sum("load")).first()[0] or 0) / task_items))
+    columns = ["task", "side", "comp", "by_key", "cid", "rep", "size", "d1", "d2"]
+    big = loads.where(F.col("load") > task_items).select("comp")
+    small = parted.join(big, "comp", "left_anti").withColumns({"task": F.pmod(F.xxhash64("comp", F.lit(1)), F.lit(tasks)) + F.lit(1 << 40), "side": F.lit(0)})
+    small, large = small.select(*columns), parted.join(big, "comp", "left_semi")
+    blocks = large.groupBy("comp", "band").agg(F.least(F.ceil(F.sum("n") / (task_items / 2)), F.count("*")).cast("int").alias("parts"))
+    block = large.join(blocks, ["comp", "band"]).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    mine = block.select("comp", "band", "part").distinct()  # a pair of blocks needs both: one alone is joined with itself
+    pairs = mine.join(mine.select("comp", F.col("band").alias("b2"), F.col("part").alias("p2")), "comp").where("b2 >= band and b2 <= band + 3 and (b2 > band or p2 >= part)")
+
+    def side(s: int, b: str, p: str) -> DataFrame:
+        own = pairs.select(
+            "comp", F.col(b).alias("band"), F.col(p).alias("part"), F.xxhash64("comp", "band", "part", "b2", "p2").alias("task"),
+            ((F.col("b2") == F.col("band")) & (F.col("p2") == F.col("part"))).alias("alone"),
+        )
+        both = block.join(own, ["comp", "band", "part"])
+        return (both if s == 0 else both.where(~F.col("alone"))).withColumn("side", F.lit(s)).select(*columns)
+
+    return small.unionByName(side(0, "band", "part")).unionByName(side(1, "b2", "p2"))
+
+
 def jaccard_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -409,8 +464,8 @@ def jaccard_groups(
     a null id links with nothing and has null component and class; other
     columns are not read. An empty table gives an empty table.
 
-    task_items bounds the n-grams that a task holds (per block of a component
-    larger than that).
+    Texts are taken whole, however long. task_items bounds the n-grams that a
+    task holds (per block of a group larger than that).
     """
     bounded_batches(docs.sparkSession)
     bands = Bands(num, den)
@@ -441,22 +496,14 @@ def jaccard_groups(
     tasks = max(1, ceil(total / task_items))
     big = loads.where(F.col("load") > task_items).select("comp")
     small = member.join(big, "comp", "left_anti").select(
-        F.pmod(F.xxhash64("comp"), F.lit(tasks)).alias("task"), F.lit(0).alias("side"), "comp", "cid", "rep", "size", "d1", "d2"
+        F.pmod(F.xxhash64("comp"), F.lit(tasks)).alias("task"), F.lit(0).alias("side"), "comp", F.lit(False).alias("by_key"), "cid", "rep", "size", "d1", "d2"
     )
-    large = member.join(big, "comp", "left_semi")
-    blocks = large.groupBy("comp", "band").agg(F.ceil(F.sum("n") / (task_items / 2)).cast("int").alias("parts"))
-    block = large.join(blocks, ["comp", "band"]).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    every = blocks.select("comp", F.col("band").alias("b2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p2"))
-    mine = block.groupBy("comp", "band", "part").agg(F.count("*").alias("in_block"))
-    pairs = mine.join(every, "comp").where("b2 >= band and b2 <= band + 3 and (b2 > band or p2 >= part)")
-    side = lambda s, b, p: block.join(
-        pairs.select("comp", F.col(b).alias("band"), F.col(p).alias("part"), F.xxhash64("comp", "band", "part", "b2", "p2").alias("task"), (F.col("b2") == F.col("band")).alias("sb"), (F.col("p2") == F.col("part")).alias("sp")),
-        ["comp", "band", "part"],
-    ).where(F.lit(s == 0) | ~(F.col("sb") & F.col("sp"))).select("task", F.lit(s).alias("side"), "comp", "cid", "rep", "size", "d1", "d2")
-    work = small.unionByName(side(0, "band", "part")).unionByName(side(1, "b2", "p2"))
+    work = small
+    if big.limit(1).count():
+        work = small.unionByName(_blocks(_groups(member.join(big, "comp", "left_semi"), entered.join(hubs.select("key"), "key"), task_items), task_items))
     # only candidates' texts are shuffled: the others fail a look-up in sorted arrays on the shared folder
     wanted = filter_ids(rows, "id", id_store(member.select("rep"), "wanted"), present=True)
-    texts = work.join(wanted, work.rep == wanted.id).select("task", "side", "comp", "cid", "size", "d1", "d2", "text")
+    texts = work.join(wanted, work.rep == wanted.id).select("task", "side", "comp", "by_key", "cid", "size", "d1", "d2", "text")
     found = texts.groupBy("task").applyInArrow(lambda t: _task(t, n, bands), "cid long, gain long, to long")
     found = materialize(found, "links")
     gains = found.where("gain > 0").groupBy("cid").agg(F.sum("gain").alias("gain"))

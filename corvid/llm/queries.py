@@ -39,6 +39,27 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"))
 
 
+#: Sets of shingles by plain algebra; links of links by recursion.
+OP2_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), grams as (
+  select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from words
+), sizes as (select doc_id, count(*) as n from grams group by doc_id),
+pairs as (
+  select a.doc_id as x, b.doc_id as y, count(*) as c from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id group by all
+), links as (
+  select x, y, c = m.n and c = n.n as alike from pairs join sizes m on m.doc_id = x join sizes n on n.doc_id = y
+  where 100 * c >= 90 * (m.n + n.n - c)
+), reach as (select x, y from links union select reach.x, links.y from reach join links on reach.y = links.x)
+select d.doc_id, coalesce(n, 0) as n_shingles, (select count(*) from links where x = d.doc_id) as n_similar,
+  least(d.doc_id, (select min(y) from reach where x = d.doc_id)) as component_id,
+  least(d.doc_id, (select min(y) from links where x = d.doc_id and alike)) as class_id
+from documents d left join sizes using (doc_id)
+"""
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -203,4 +224,4 @@ QUERIES = {
     "op10_decontaminate": op10,
 }
 
-ORACLES = {"op4_warc_revisits": OP4_SQL, "op5_url_reputation": OP5_SQL}
+ORACLES = {"op2_jaccard_join": OP2_SQL, "op4_warc_revisits": OP4_SQL, "op5_url_reputation": OP5_SQL}
