@@ -86,5 +86,12 @@ def l2_normalized(v: Column) -> Column:
 
 
 def flatten_metadata(pairs: Column) -> Column:
-    """Map of JSON-like strings without null values."""
-    return F.map_filter(pairs, lambda k, v: v.isNotNull())
+    """A map of values as JSON parsing leaves them, text for nested ones, without
+    null values; lists become their items joined by ", ", all else stays text."""
+    kept = F.map_filter(pairs, lambda k, v: v.isNotNull())
+
+    def flat(k: Column, v: Column) -> Column:
+        items = F.when(v.rlike(r"(?s)\A\[.*\]\z"), F.from_json(v, "array<string>"))
+        return F.coalesce(F.array_join(items, ", ", "None"), v)
+
+    return F.transform_values(kept, flat)

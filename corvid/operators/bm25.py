@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -55,6 +55,11 @@ class BM25Index:
         term_stats = df.crossJoin(F.broadcast(n)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
         return BM25Index(postings, term_stats, stats, o)
 
+    def with_options(self, k1: float | None = None, b: float | None = None) -> BM25Index:
+        """The same postings scored otherwise: they don't depend on k1 and b."""
+        o = self.options
+        return replace(self, options=replace(o, k1=o.k1 if k1 is None else k1, b=o.b if b is None else b))
+
     def query_terms(self, queries: DataFrame) -> DataFrame:
         """(query_id, term, times); blank queries have none. A term counts as
         often as the query repeats it."""
@@ -80,6 +85,6 @@ class BM25Index:
             return self.score(queries).limit(0).select("query_id", "chunk_id", "score", F.lit(0).alias("rank"), F.lit("bm25").alias("source"))
         scored = self.score(queries)
         if where is not None and not (isinstance(where, dict) and not where):
-            test = where if isinstance(where, Column) else compile_filter(where)
+            test = where if isinstance(where, Column) else compile_filter(where, chunks.schema)
             scored = scored.join(chunks.where(test).select("chunk_id"), "chunk_id", "left_semi")
         return top_k(scored, k).withColumn("source", F.lit("bm25"))

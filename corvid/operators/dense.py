@@ -1,8 +1,9 @@
 """Exact dense retrieval: cosine by block products.
 
-Queries are taken in blocks of bounded size; each block is multiplied with the
-vectors batch by batch, and a batch passes on its k best per query only, so what
-is shuffled is k rows per query and batch, not a row per pair.
+As many queries as fit into SCAN_BYTES share a scan of the vectors; further ones
+take another. Within a scan both sides are multiplied block by block, and of each
+block only scores that can still be among a partition's k best pass on, so what
+is shuffled is about k rows per query and partition, not a row per pair.
 """
 
 from __future__ import annotations
@@ -13,13 +14,14 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import compile_filter
 from .ranking import top_k
 
-BLOCK = 4096  # queries multiplied at a time
+SCAN_BYTES = 64 << 20  # of query vectors sent to the workers for a scan
+BLOCK = 512, 2048  # queries and vectors multiplied at a time
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -32,43 +34,44 @@ def normalized(m: np.ndarray) -> np.ndarray:
 
 
 def _best(rows: Iterator[pa.RecordBatch], ids: pa.Array, q: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    top = np.full((len(q), k), -np.inf)  # each query's best scores so far
     for batch in rows:
-        m = _matrix(batch.column(1))
-        if not len(m):
-            continue
-        if m.shape[1] != q.shape[1]:
-            raise ValueError(f"vectors have {m.shape[1]} dimensions, the query {q.shape[1]}")
-        scores = np.round(q @ normalized(m).T, 12)
-        n = min(k, scores.shape[1])
-        if n == scores.shape[1]:
-            keep = np.ones_like(scores, bool)
-        else:  # ties with the k-th stay, so that the tie rule sees them all
-            keep = np.round(scores, 9) >= np.round(np.partition(scores, -n, axis=1)[:, -n], 9)[:, None]
-        i, j = np.nonzero(keep)
-        yield pa.record_batch({"query_id": ids.take(pa.array(i)), "chunk_id": batch.column(0).take(pa.array(j)), "score": pa.array(scores[i, j])})
-
-
-def query_blocks(queries: DataFrame, size: int = BLOCK) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """Blocks of (query_id, vec), streamed to the driver one at a time."""
+        for start in range(0, batch.num_rows, BLOCK[1]):
+            part = batch.slice(start, BLOCK[1])
+            m = _matrix(part.column(1))
+            if m.shape[1] != q.shape[1]:
+                raise ValueError(f"vectors have {m.shape[1]} dimensions, the query {q.shape[1]}")
+            m = normalized(m).T
+            for a in range(0, len(q), BLOCK[0]):
+                scores = np.round(q[a : a + BLOCK[0]].astype(np.float64) @ m, 12)
+                both = np.concatenate([top[a : a + BLOCK[0]], scores], axis=1)
+                both.partition(both.shape[1] - k, axis=1)
+                best = top[a : a + BLOCK[0]] = both[:, -k:]
+                # ties with the k-th stay, so that the tie rule sees them all
+                i, j = np.nonzero(np.round(scores, 9) >= np.round(best.min(axis=1), 9)[:, None])
+                yield pa.record_batch({"query_id": ids.take(pa.array(i + a)), "chunk_id": part.column(0).take(pa.array(j)), "score": pa.array(scores[i, j])})
+
+
+def query_blocks(queries: DataFrame, most_bytes: int = SCAN_BYTES) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Blocks of (query_id, unit vector), streamed to the driver one at a time."""
     ids, vecs = [], []
-    kind = None
     for r in queries.select("query_id", "vec").toLocalIterator():
         ids.append(r.query_id)
-        vecs.append(r.vec)
-        if len(ids) == size:
-            yield pa.array(ids, kind), normalized(np.array(vecs, dtype=np.float64))
+        vecs.append(np.array(r.vec, np.float64))
+        if len(ids) * vecs[0].nbytes >= most_bytes:
+            yield pa.array(ids), normalized(np.array(vecs))
             ids, vecs = [], []
     if ids:
-        yield pa.array(ids, kind), normalized(np.array(vecs, dtype=np.float64))
+        yield pa.array(ids), normalized(np.array(vecs))
 
 
-def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 5, where: dict[str, Any] | Column | None = None, lookup="metadata") -> DataFrame:
+def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 5, where: dict[str, Any] | Column | None = None) -> DataFrame:
     """The k most similar vectors per query: (query_id, chunk_id, score, rank,
     source). vectors: chunk_id, vec (and what the filter reads, which is applied
     before the search); queries: query_id, vec. Negative and zero similarities
     count. Vectors of other dimensions than a query's raise ValueError."""
     if where is not None:
-        vectors = vectors.where(where if isinstance(where, Column) else compile_filter(where, lookup))
+        vectors = vectors.where(where if isinstance(where, Column) else compile_filter(where, vectors.schema))
     narrow = vectors.select("chunk_id", "vec")
     q_type, c_type = queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString()
     schema = f"query_id {q_type}, chunk_id {c_type}, score double"
@@ -81,11 +84,18 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 5, where: dict
 
 
 def upsert(store: DataFrame, rows: DataFrame, key: str = "chunk_id", order: str | None = None) -> DataFrame:
-    """store with rows laid over it by key. Of rows that share a key the last by
-    `order` wins (any one, if no order is given)."""
-    w = Window.partitionBy(key).orderBy(F.col(order).desc() if order else F.lit(0))
-    last = rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-    return store.join(last, key, "left_anti").unionByName(last)
+    """store with rows laid over it by key. Of rows that share a key the last
+    wins: the greatest by `order`, else the last in the table's own order, of
+    partitions and of rows in them."""
+    place = F.col(order) if order else F.monotonically_increasing_id()
+    # aggregated by parts before the shuffle, so a key that many rows share isn't gathered
+    last = rows.withColumn("__at", place).groupBy(key).agg(F.max_by(F.struct(*rows.columns), "__at").alias("__row")).select("__row.*")
+    return store.join(last.select(key), key, "left_anti").unionByName(last)
+
+
+def vectors_for(store: DataFrame, ids: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(key, vec) of the rows whose key is asked for; unknown ones are left out."""
+    return store.join(ids.select(key).distinct(), key, "left_semi").select(key, "vec")
 
 
 def get(store: DataFrame, ids: DataFrame, key: str = "chunk_id") -> DataFrame:

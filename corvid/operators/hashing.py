@@ -148,6 +148,28 @@ def _features(rows: Iterator[pa.RecordBatch], o: HashingOptions) -> Iterator[pa.
             yield pa.record_batch({"chunk_id": part.column(0).take(pa.array(doc)), "bucket": pa.array(bucket.astype(np.int32)), "net": pa.array(net)})
 
 
+def _sparse(rows: Iterator[pa.RecordBatch], o: HashingOptions) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        for part in (batch.slice(a, 1024) for a in range(0, batch.num_rows, 1024)):
+            doc, bucket, net = _counts(part.column(1).to_pylist(), o)
+            at = pa.array(np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32))
+            lists = (pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (bucket, net))
+            yield pa.record_batch(dict(zip(("chunk_id", "key", "bucket", "net"), (part.column(0), part.column(2), *lists))))
+
+
+def _vec_batch(name: str, ids: pa.Array, v: np.ndarray) -> pa.RecordBatch:
+    flat = pa.array(v.astype(np.float32).ravel())
+    return pa.record_batch({name: ids, "vec": pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]), flat)})
+
+
+def _weighted(rows: Iterator[pa.RecordBatch], e: HashingEmbedder) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        for part in (batch.slice(a, 1024) for a in range(0, batch.num_rows, 1024)):
+            doc = np.repeat(np.arange(part.num_rows), part.column(1).value_lengths().to_numpy(zero_copy_only=False))
+            bucket, net = (part.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2))
+            yield _vec_batch("chunk_id", part.column(0), e.weigh(part.num_rows, doc, bucket, net))
+
+
 def hash_features(chunks: DataFrame, options: HashingOptions = HashingOptions()) -> DataFrame:
     """(chunk_id, bucket, net) for every bucket a chunk touches, also where signs cancel."""
     kind = chunks.schema["chunk_id"].dataType.simpleString()
@@ -176,37 +198,55 @@ class HashingEmbedder:
         n = chunks.count()
         if not o.use_idf or not n:
             return self
-        weights = np.full(o.dim, np.log(n + 1) + 1)
-        for r in fit_idf(chunks, o).collect():  # dim rows at most
-            weights[r.bucket] = r.idf
         key = chunks.agg(F.bit_xor(F.xxhash64("chunk_id", "text")).alias("x")).first().x
-        return HashingEmbedder(o, weights, f"{n}-{sha1(str(key).encode()).hexdigest()[:8]}")
+        return self._fitted(n, key, [(r.bucket, r.idf) for r in fit_idf(chunks, o).collect()])  # dim rows at most
 
     @property
     def fingerprint(self) -> str:
         return self.options.fingerprint(self.tag)
 
+    def fit_encode(self, chunks: DataFrame) -> tuple[HashingEmbedder, DataFrame, DataFrame]:
+        """fit and encode with one pass over the texts. Gives the fitted embedder,
+        the vectors (chunk_id, vec), and the table of features, persisted, from
+        which both are worked out: unpersist it when the vectors are stored."""
+        o, kind = self.options, chunks.schema["chunk_id"].dataType.simpleString()
+        keyed = chunks.select("chunk_id", "text", F.xxhash64("chunk_id", "text").alias("key"))
+        rows = keyed.mapInArrow(lambda it: _sparse(it, o), f"chunk_id {kind}, key long, bucket array<int>, net array<int>").persist()
+        size = rows.agg(F.count("*").alias("n"), F.bit_xor("key").alias("x")).first()
+        fitted = self
+        if o.use_idf and size.n:
+            found = rows.select(F.explode("bucket").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("df")).collect()  # dim rows at most
+            fitted = self._fitted(size.n, size.x, [(r.bucket, np.log((size.n + 1) / (r.df + 1)) + 1) for r in found])
+        return fitted, rows.select("chunk_id", "bucket", "net").mapInArrow(lambda it: _weighted(it, fitted), f"chunk_id {kind}, vec array<float>"), rows
+
+    def _fitted(self, n: int, key: int, idf: list[tuple[int, float]]) -> HashingEmbedder:
+        weights = np.full(self.options.dim, np.log(n + 1) + 1)
+        for bucket, value in idf:
+            weights[bucket] = value
+        return HashingEmbedder(self.options, weights, f"{n}-{sha1(str(key).encode()).hexdigest()[:8]}")
+
     def vectors(self, texts: list[str]) -> np.ndarray:
+        return self.weigh(len(texts), *_counts(texts, self.options))
+
+    def weigh(self, n: int, doc: np.ndarray, bucket: np.ndarray, net: np.ndarray) -> np.ndarray:
+        """Unit vectors of n texts from their (text, bucket, net count) rows."""
         o = self.options
-        doc, bucket, net = _counts(texts, o)
         w = np.sign(net) * np.log1p(np.abs(net)) if o.sublinear_tf else net.astype(np.float64)
         if self.idf is not None:
             w = w * self.idf[bucket]
-        out = np.zeros((len(texts), o.dim))
+        out = np.zeros((n, o.dim))
         out[doc, bucket] = w
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     def encode(self, rows: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
         """(id, vec) with unit vectors; a text without features has a zero vector."""
-        me, kind, dim = self, rows.schema[id_col].dataType.simpleString(), self.options.dim
+        me, kind = self, rows.schema[id_col].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for a in range(0, batch.num_rows, 1024):
                     part = batch.slice(a, 1024)
-                    v = me.vectors(part.column(1).to_pylist()).astype(np.float32)
-                    vec = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * dim), pa.array(v.ravel()))
-                    yield pa.record_batch({id_col: part.column(0), "vec": vec})
+                    yield _vec_batch(id_col, part.column(0), me.vectors(part.column(1).to_pylist()))
 
         return rows.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, vec array<float>")
 

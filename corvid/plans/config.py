@@ -10,6 +10,8 @@ from typing import Any
 
 RETRIEVERS = ("bm25", "dense", "hybrid")
 RERANKERS = (None, "mmr", "cross-encoder")
+#: What register_retriever and register_reranker have added, by name.
+MORE: dict[str, dict[str, Any]] = {"retriever": {}, "rerank": {}}
 
 
 Options = dict[str, Any]
@@ -41,6 +43,7 @@ class PipelineConfig:
 
     def __post_init__(self) -> None:
         for what, value, known in (("retriever", self.retriever, RETRIEVERS), ("rerank", self.rerank, RERANKERS)):
+            known = (*known, *MORE[what])
             if value not in known:
                 raise ValueError(f"{what} {value!r} is none of {', '.join(map(str, known))}")
 

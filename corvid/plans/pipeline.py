@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from typing import Any
 
 import numpy as np
@@ -14,21 +13,67 @@ from ..functions.filters import compile_filter
 from ..operators import fusion
 from ..operators.bm25 import BM25Index, BM25Options
 from ..operators.chunking import get_chunker
-from ..operators.dense import dense_search
 from ..operators.hashing import HashingEmbedder, HashingOptions, encode_cached
-from .config import PipelineConfig
+from ..operators.store import build_store
+from ..sources import files
+from .config import MORE, PipelineConfig
 
 EMBEDDERS: dict[str, Any] = {"hashing": lambda **a: HashingEmbedder(HashingOptions(**{k: tuple(v) if isinstance(v, list) else v for k, v in a.items()}))}
-#: Where vectors are kept. All names mean tables; the server-backed stores of other tools are reached by exporting them.
-STORES = ("memory", "parquet", "chroma", "qdrant")
 
 
 def register_embedder(name: str, make) -> None:
     """make(**embedder_args) gives an object with fit(chunks), encode(rows,
-    id_col, text_col) and fingerprint."""
+    id_col, text_col) and fingerprint; if it has encode_queries, queries are
+    encoded by that."""
     EMBEDDERS[name] = make
 
 
+class Prefixed:
+    """An embedder whose model wants passages and queries marked by prefixes."""
+
+    def __init__(self, inner, passage: str = "", query: str = ""):
+        self.inner, self.passage, self.query = inner, passage, query
+
+    @property
+    def fingerprint(self) -> str:
+        return f"{self.inner.fingerprint}:{self.passage!r}"
+
+    def _marked(self, rows: DataFrame, text_col: str, mark: str) -> DataFrame:
+        return rows.withColumn(text_col, F.concat(F.lit(mark), F.col(text_col)))
+
+    def fit(self, chunks: DataFrame) -> Prefixed:
+        return Prefixed(self.inner.fit(self._marked(chunks, "text", self.passage)), self.passage, self.query)
+
+    def encode(self, rows: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+        return self.inner.encode(self._marked(rows, text_col, self.passage), id_col, text_col)
+
+    def encode_queries(self, rows: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
+        return self.inner.encode(self._marked(rows, text_col, self.query), id_col, text_col)
+
+
+class Retriever:
+    """What a stack asks for hits. register_retriever makes one of these known."""
+
+    def index(self, stack: RetrievalPipeline) -> None:
+        """Builds what it needs from stack.chunks."""
+
+    def retrieve(self, stack: RetrievalPipeline, queries: DataFrame, k: int, among: DataFrame | None) -> DataFrame:
+        """The k best chunks for each of (query_id, text): query_id, chunk_id,
+        score, rank from 1, source. among: the chunk_ids a filter leaves."""
+        raise NotImplementedError
+
+
+def register_retriever(name: str, make) -> None:
+    """make() gives a Retriever; PipelineConfig(retriever=name) takes it."""
+    MORE["retriever"][name] = make
+
+
+def register_reranker(name: str, rerank) -> None:
+    """rerank(stack, pool, k, **rerank_args) gives the k best of the pool
+    (query_id, chunk_id, score, rank, query, text), with new score, rank, source."""
+    MORE["rerank"][name] = rerank
+
+
 class RetrievalPipeline:
     """chunks, vectors and the inverted index as DataFrames, and the plan over them."""
 
@@ -39,9 +84,8 @@ class RetrievalPipeline:
             if c.embedder not in EMBEDDERS:
                 raise KeyError(f"no embedder {c.embedder!r}; there are {', '.join(sorted(EMBEDDERS))}")
             embedder = EMBEDDERS[c.embedder](**c.embedder_args)
-        if c.store not in STORES:
-            raise KeyError(f"no store {c.store!r}; there are {', '.join(STORES)}")
-        self.embedder, self.scorer = embedder, scorer
+        self.embedder, self.scorer, self.store = embedder, scorer, build_store(c.store, **c.store_args)
+        self.retriever = MORE["retriever"][c.retriever]() if c.retriever in MORE["retriever"] else None
         h = dict(c.hybrid_args)
         self.fusion = h.pop("fusion", "rrf")
         if self.fusion not in ("rrf", "weighted"):
@@ -52,52 +96,99 @@ class RetrievalPipeline:
             raise ValueError(f"no such hybrid settings: {', '.join(sorted(h))}")
         if c.rerank == "cross-encoder" and scorer is None:
             raise ImportError("a cross-encoder needs a scorer; pass one")
-        self.chunks = self.vectors = None
+        self.chunks: DataFrame | None = None
         self.bm25: BM25Index | None = None
         self.n_docs = 0
+        self._owned: list[DataFrame] = []
+
+    @property
+    def vectors(self) -> DataFrame | None:
+        return self.store.table
+
+    def release(self) -> None:
+        """Frees what index() keeps in memory; the stack answers nothing afterwards."""
+        for table in self._owned:
+            table.unpersist()
+        self._owned, self.chunks, self.bm25 = [], None, None
+        self.store.reset()
 
-    def index(self, docs: DataFrame) -> RetrievalPipeline:
-        """Chunks docs and builds what the retriever needs. Indexing again replaces all."""
+    def _own(self, table: DataFrame) -> DataFrame:
+        self._owned.append(table := table.persist())
+        return table
+
+    def index(self, docs: DataFrame, shared: dict | None = None) -> RetrievalPipeline:
+        """Chunks docs and builds what the retriever needs. Indexing again replaces all.
+
+        shared: what stacks over the same docs need not work out again; each puts
+        its chunks, vectors and postings there and takes those of equal settings."""
         c = self.config
+        self.release()
+        shared = {} if shared is None else shared
         self.n_docs = docs.select("doc_id").distinct().count()
-        self.chunks = self.chunker.split(docs).dropDuplicates(["chunk_id"]).persist()
-        if c.retriever != "bm25" or c.rerank == "mmr":
-            if c.fit_embedder:
-                self.embedder = self.embedder.fit(self.chunks)
-            if c.embedder_cache:
-                self.vectors = self._through_cache(c.embedder_cache)
-            else:
-                self.vectors = self.embedder.encode(self.chunks).persist()
-        if c.retriever != "dense":
-            self.bm25 = self._inverted(BM25Index.build(self.chunks, BM25Options(**c.bm25_args)))
+        at = self.chunker.describe(), json.dumps(c.chunker_args, sort_keys=True)
+        made = shared.setdefault(at, {})
+        if "chunks" not in made:
+            made["chunks"] = self._own(self.chunker.split(docs).dropDuplicates(["chunk_id"]))
+        self.chunks = made["chunks"]
+        if self.retriever is not None:
+            self.retriever.index(self)
+        if (self.retriever is None and c.retriever != "bm25") or c.rerank == "mmr":
+            how = c.embedder, json.dumps(c.embedder_args, sort_keys=True), c.fit_embedder, c.embedder_cache
+            if how not in made:
+                made[how] = self._encoded()
+            self.embedder, vectors = made[how]
+            self.store.add(vectors)
+        if self.retriever is None and c.retriever != "dense":
+            o = BM25Options(**c.bm25_args)
+            how = o.remove_stopwords, o.stem
+            if how not in made:
+                made[how] = self._inverted(BM25Index.build(self.chunks, o))
+            self.bm25 = made[how].with_options(o.k1, o.b)
         return self
 
+    def _encoded(self) -> tuple[Any, DataFrame]:
+        """The embedder, fitted if asked for, and the chunks' vectors."""
+        c, embedder = self.config, self.embedder
+        if c.fit_embedder and not c.embedder_cache and hasattr(embedder, "fit_encode"):
+            embedder, vectors, features = embedder.fit_encode(self.chunks)
+            vectors = self._own(vectors)
+            vectors.count()
+            features.unpersist()
+            return embedder, vectors
+        if c.fit_embedder:
+            embedder = embedder.fit(self.chunks)
+        return embedder, self._through_cache(embedder, c.embedder_cache) if c.embedder_cache else self._own(embedder.encode(self.chunks))
+
     def _inverted(self, index: BM25Index) -> BM25Index:
-        index.postings, index.term_stats, index.stats = index.postings.persist(), index.term_stats.persist(), index.stats.persist()
+        index.postings, index.term_stats, index.stats = (self._own(t) for t in (index.postings, index.term_stats, index.stats))
         return index
 
-    def _through_cache(self, path: str) -> DataFrame:
+    def _through_cache(self, embedder, path: str) -> DataFrame:
+        """Files of the cache that can't be read count as absent: their texts are encoded again."""
         spark = self.chunks.sparkSession
         schema = "fingerprint string, text_sha string, vec array<float>"
-        cache = spark.read.schema(schema).parquet(path) if os.path.isdir(path) else spark.createDataFrame([], schema)
-        vectors, fresh = encode_cached(self.embedder, self.chunks, cache)
-        vectors = vectors.persist()
+        there = files.exists(spark, path)
+        cache = spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path) if there else spark.createDataFrame([], schema)
+        vectors, fresh = encode_cached(embedder, self.chunks, cache.dropDuplicates(["fingerprint", "text_sha"]))
+        vectors = self._own(vectors)
         vectors.count()
         fresh.write.mode("append").parquet(path)
         return vectors
 
     def _query_vectors(self, queries: DataFrame) -> DataFrame:
-        return self.embedder.encode(queries.select("query_id", "text"), "query_id")
+        encode = getattr(self.embedder, "encode_queries", self.embedder.encode)
+        return encode(queries.select("query_id", "text"), "query_id")
 
     def _base(self, queries: DataFrame, k: int, test: Column | None) -> DataFrame:
         c = self.config
         lists = []
         depth = k * self.multiplier if c.retriever == "hybrid" else k
+        among = None if test is None else self.chunks.where(test).select("chunk_id")
+        if self.retriever is not None:
+            only = self.retriever.retrieve(self, queries, k, among)
+            return only.withColumn("components", F.create_map(F.col("source"), F.col("score")))
         if c.retriever != "bm25":
-            vectors = self.vectors
-            if test is not None:
-                vectors = vectors.join(self.chunks.where(test).select("chunk_id"), "chunk_id", "left_semi")
-            lists.append(dense_search(vectors, self._query_vectors(queries), depth))
+            lists.append(self.store.search(self._query_vectors(queries), depth, among))
         if c.retriever != "dense":
             lists.append(self.bm25.retrieve(self.chunks, queries, depth, test))
         if len(lists) == 1:
@@ -119,12 +210,15 @@ class RetrievalPipeline:
             found = self._base(asked, k, test)
         elif c.rerank == "mmr":
             pool = self._base(asked, k * int(args.get("candidate_multiplier", 4)), test)
-            pool = pool.join(self.vectors, "chunk_id").join(self._query_vectors(asked).withColumnRenamed("vec", "qvec"), "query_id")
+            pool = pool.join(self.store.vectors_for(pool), "chunk_id").join(self._query_vectors(asked).withColumnRenamed("vec", "qvec"), "query_id")
             found = fusion.mmr(pool, k, args.get("lambda_mult", args.get("lambda_", 0.7))).withColumn("components", F.create_map(F.lit("mmr"), F.col("score")))
         else:
             pool = self._base(asked, k * int(args.get("candidate_multiplier", 5)), test)
             pool = pool.join(self.chunks.select("chunk_id", "text"), "chunk_id").join(asked.withColumnRenamed("text", "query"), "query_id")
-            found = fusion.rescore(pool, k, self.scorer, int(args.get("batch_size", 32)))
+            if c.rerank in MORE["rerank"]:
+                found = MORE["rerank"][c.rerank](self, pool, k, **args).withColumn("components", F.create_map(F.col("source"), F.col("score")))
+            else:
+                found = fusion.rescore(pool, k, self.scorer, int(args.get("batch_size", 32)))
         return found.join(self.chunks.select("chunk_id", "doc_id", "text", "metadata"), "chunk_id").select(
             "query_id", "rank", "score", "source", "components", "chunk_id", "doc_id", "text", "metadata"
         )
@@ -148,34 +242,44 @@ class RetrievalPipeline:
     def describe(self) -> str:
         return f"{self.chunker.describe()} -> {self.config.embedder} -> {self.config.label}"
 
-    def save(self, path) -> None:
-        """Tables and a manifest below path, over what was there."""
-        self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-        if self.vectors is not None:
-            self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+    def save(self, path: str) -> None:
+        """Tables and a manifest below path, in place of what was there. Each save
+        is a version of its own, so that a stack may be saved where it was loaded
+        from; the version before the last goes."""
+        spark = self.chunks.sparkSession
+        old = json.loads(files.read_text(spark, f"{path}/pipeline.json") or "{}").get("version", -1)
+        at = f"{path}/v{old + 1}"
+        tables = {"chunks": self.chunks, "vectors": self.vectors}
         if self.bm25 is not None:
-            self.bm25.postings.write.mode("overwrite").parquet(f"{path}/postings")
-            self.bm25.term_stats.write.mode("overwrite").parquet(f"{path}/term_stats")
-            self.bm25.stats.write.mode("overwrite").parquet(f"{path}/stats")
+            tables |= {"postings": self.bm25.postings, "term_stats": self.bm25.term_stats, "stats": self.bm25.stats}
+        for name, table in tables.items():
+            if table is not None:
+                # queries read the postings of a few terms: files sorted by term let the scan skip the rest
+                table = table.repartitionByRange("term").sortWithinPartitions("term") if name in ("postings", "term_stats") else table
+                table.write.mode("overwrite").parquet(f"{at}/{name}")
         idf = getattr(self.embedder, "idf", None)
-        manifest = {"config": self.config.to_dict(), "documents": self.n_docs, "tag": getattr(self.embedder, "tag", "none"), "idf": None if idf is None else idf.tolist(), "vectors": self.vectors is not None, "postings": self.bm25 is not None}
-        with open(f"{path}/pipeline.json", "w", encoding="utf-8") as f:
-            json.dump(manifest, f)
+        manifest = {
+            "version": old + 1, "config": self.config.to_dict(), "documents": self.n_docs, "tag": getattr(self.embedder, "tag", "none"),
+            "idf": None if idf is None else idf.tolist(), "vectors": self.vectors is not None, "postings": self.bm25 is not None,
+        }
+        files.write_text(spark, f"{path}/pipeline.json", json.dumps(manifest))
+        files.remove(spark, f"{path}/v{old - 1}")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> RetrievalPipeline:
-        file = f"{path}/pipeline.json"
-        if not os.path.exists(file):
+        text = files.read_text(spark, f"{path}/pipeline.json")
+        if text is None:
             raise FileNotFoundError(f"no saved index in {path}")
-        with open(file, encoding="utf-8") as f:
-            m = json.load(f)
+        m = json.loads(text)
+        t = lambda n: spark.read.parquet(f"{path}/v{m['version']}/{n}")
         p = RetrievalPipeline(PipelineConfig.from_dict(m["config"]))
         if m["idf"] is not None:
             p.embedder = HashingEmbedder(p.embedder.options, np.array(m["idf"]), m["tag"])
-        p.n_docs, p.chunks = m["documents"], spark.read.parquet(f"{path}/chunks")
+        p.n_docs, p.chunks = m["documents"], t("chunks")
         if m["vectors"]:
-            p.vectors = spark.read.parquet(f"{path}/vectors")
+            p.store.table = t("vectors")
         if m["postings"]:
-            t = lambda n: spark.read.parquet(f"{path}/{n}")
             p.bm25 = BM25Index(t("postings"), t("term_stats"), t("stats"), BM25Options(**p.config.bm25_args))
+        if p.retriever is not None:
+            p.retriever.index(p)
         return p

@@ -49,8 +49,11 @@ def eval_text(result: EvalResult, ks: Sequence[int]) -> str:
     kinds = ("recall", "precision", "hit", "ndcg")
     rows = [[kind, *(band(result.metrics.get(f"{kind}@{k}", 0.0)) for k in ks)] for kind in kinds]
     low, high = result.confidence_interval(f"recall@{ks[-1]}")
-    out = [f"{result.label}: {result.n_queries} queries, {result.n_chunks} chunks", "", table(["", *(f"@{k}" for k in ks)], rows, range(1, len(ks) + 1)), ""]
+    took = f", indexed in {result.index_seconds:.2f} s" if result.index_seconds else ""
+    out = [f"{result.label}: {result.n_queries} queries, {result.n_chunks} chunks{took}", "", table(["", *(f"@{k}" for k in ks)], rows, range(1, len(ks) + 1)), ""]
     out.append(f"mrr {band(result.metrics.get('mrr', 0.0))}  map {band(result.metrics.get('map', 0.0))}  recall@{ks[-1]} between {low:.3f} and {high:.3f}")
+    if result.latency_ms:
+        out.append("latency in ms: " + "  ".join(f"{k} {v:.1f}" for k, v in result.latency_ms.items()))
     if missed := result.failures():
         out += ["", f"{len(missed)} queries found nothing:", *(f"  {q['query_id']}: {q['query']}" for q in missed[:5])]
     return "\n".join(out)
@@ -59,10 +62,22 @@ def eval_text(result: EvalResult, ks: Sequence[int]) -> str:
 def sweep_text(report: SweepReport) -> str:
     rows = []
     for i, r in enumerate(report.ranked(), 1):
-        m = r["metrics"]
-        values = [r["error"]] + [""] * 2 if r["error"] else [band(m.get(report.primary, 0.0)), band(m.get("mrr", 0.0)), str(r["n_chunks"])]
+        m, ms = r["metrics"], r["latency_ms"]
+        values = [r["error"]] + [""] * 5
+        if not r["error"]:
+            values = [*(band(m.get(n, 0.0)) for n in (report.primary, "mrr", _ndcg(m))), _ms(ms), f"{r['index_seconds']:.2f}", str(r["n_chunks"])]
         rows.append([str(i), r["label"], *values])
-    return table(["", "configuration", report.primary, "mrr", "chunks"], rows, (0, 2, 3, 4))
+    return table(["", "configuration", report.primary, "mrr", "ndcg", "p95 ms", "index s", "chunks"], rows, (0, 2, 3, 4, 5, 6, 7))
+
+
+def _ndcg(metrics: dict[str, float]) -> str:
+    """nDCG at the greatest cut-off there is."""
+    return max((n for n in metrics if n.startswith("ndcg@")), key=lambda n: int(n[5:]), default="ndcg@10")
+
+
+def _ms(latency: dict[str, float]) -> str:
+    value = latency.get("p95", latency.get("mean"))
+    return "" if value is None else f"{value:.1f}"
 
 
 def hits_text(query: str, hits: Sequence[dict[str, Any]], width: int = 240) -> str:
@@ -99,7 +114,8 @@ def _rows(head: Sequence[str], rows: Sequence[tuple[str, Sequence[str]]]) -> str
 
 def eval_html(result: EvalResult, path: str, ks: Sequence[int]) -> None:
     m = result.metrics
-    shown = [(n, format(m.get(n, 0.0), ".3f")) for n in (f"recall@{ks[-1]}", "mrr")]
+    shown = [(n, format(m.get(n, 0.0), ".3f")) for n in (f"recall@{ks[-1]}", "mrr", _ndcg(m))]
+    shown += [("p95 ms", _ms(result.latency_ms) or "-"), ("index s", f"{result.index_seconds:.2f}")]
     cards = _cards([*shown, *((n, str(getattr(result, f"n_{n}"))) for n in ("chunks", "queries"))])
     grid = _rows(["metric", *(f"@{k}" for k in ks)], [("", [kind, *(f"{m.get(f'{kind}@{k}', 0):.3f}" for k in ks)]) for kind in ("recall", "precision", "hit", "ndcg")])
     missed = result.failures()[:15]
@@ -116,6 +132,8 @@ def sweep_html(report: SweepReport, path: str) -> None:
     for i, r in enumerate(ranked, 1):
         v = r["metrics"].get(report.primary, 0.0)
         cell = html.escape(r["error"]) if r["error"] else f'<div class="bar" style="width:{100 * v / top:.1f}%"></div>'
-        rows.append((' class="best"' if r is best else "", [html.escape(f"{i}. {r['label']}"), f"{v:.3f}", cell, str(r["n_chunks"])]))
+        m = r["metrics"]
+        figures = ["", "", "", ""] if r["error"] else [f"{m.get('mrr', 0):.3f}", f"{m.get(_ndcg(m), 0):.3f}", _ms(r["latency_ms"]), f"{r['index_seconds']:.2f}"]
+        rows.append((' class="best"' if r is best else "", [html.escape(f"{i}. {r['label']}"), f"{v:.3f}", cell, *figures, str(r["n_chunks"])]))
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(_page(f"Sweep by {report.primary}", cards + _rows(["configuration", report.primary, "", "chunks"], rows)), "utf-8")
+    Path(path).write_text(_page(f"Sweep by {report.primary}", cards + _rows(["configuration", report.primary, "", "mrr", "ndcg", "p95 ms", "index s", "chunks"], rows)), "utf-8")

@@ -254,7 +254,8 @@ def chunk_markdown(s, d):
 
 
 def _filtered(s, d, where: dict) -> DataFrame:
-    return _t(s, d, "documents").where(compile_filter(where, F.col)).select("doc_id", "lang", "source", "n_chars")
+    docs = _t(s, d, "documents")
+    return docs.where(compile_filter(where, docs.schema)).select("doc_id", "lang", "source", "n_chars")
 
 
 _DOCS = "select doc_id, lang, source, n_chars from documents where "
@@ -288,7 +289,7 @@ def filter_range(s, d):
 @query("select d.doc_id, quality from documents d left join labels l on l.doc_id = d.doc_id where quality is null or quality <> 1")
 def filter_missing(s, d):
     both = _t(s, d, "documents").join(_t(s, d, "labels"), "doc_id", "left")
-    return both.where(compile_filter({"quality": {"$ne": 1}}, F.col)).select("doc_id", "quality")
+    return both.where(compile_filter({"quality": {"$ne": 1}}, both.schema)).select("doc_id", "quality")
 
 
 @query("select event_id, event_type from events where try_cast(json_extract_string(props, '$.k') as double) > 50 and json_extract_string(props, '$.absent') is null")
@@ -334,7 +335,7 @@ def bm25_topk(s, d):
 
 @query(f"with {_INDEX} {_SHOW}{sql_bm25(where="lang = 'en' and n_chars > 1000")}")
 def bm25_where(s, d):
-    return _shown(_bm25(s, d, where=compile_filter({"lang": "en", "n_chars": {"$gt": 1000}}, F.col)))
+    return _shown(_bm25(s, d, where={"lang": "en", "n_chars": {"$gt": 1000}}))
 
 
 @query(f"with {_INDEX} {_SHOW}{sql_bm25(0.9, 0.4)}")
@@ -351,7 +352,7 @@ def _vectors(s, d) -> DataFrame:
 
 def _dense(s, d, k: int, where=None) -> DataFrame:
     v = _vectors(s, d)
-    return dense_search(v, v.withColumnRenamed("chunk_id", "query_id"), k, where, F.col)
+    return dense_search(v, v.withColumnRenamed("chunk_id", "query_id"), k, where)
 
 
 def _shown_v(hits: DataFrame) -> DataFrame:
@@ -403,8 +404,8 @@ def hash_idf(s, d):
 
 def _hashed(s, d, k: int) -> tuple[HashingEmbedder, DataFrame]:
     chunks = _chunks(s, d)
-    e = HashingEmbedder(HASHING).fit(chunks)
-    return e, dense_search(e.encode(chunks), e.encode(_asked(s, d), "query_id"), k)
+    e, vectors, _ = HashingEmbedder(HASHING).fit_encode(chunks)
+    return e, dense_search(vectors, e.encode(_asked(s, d), "query_id"), k)
 
 
 @query(f"with {_HASHED} {_SHOW}{sql_hashed(10)}")
@@ -422,8 +423,9 @@ both_ as (select query_id, doc_id, score, rank, 0 as list, 1.0 as weight from on
 
 def _two(s, d) -> list[DataFrame]:
     chunks = _chunks(s, d)
-    a = BM25Index.build(chunks).retrieve(chunks, _asked(s, d), 20)
-    b = BM25Index.build(chunks, BM25Options(k1=0.9, b=0.4)).retrieve(chunks, _asked(s, d), 20, F.col("lang") == "en")
+    index = BM25Index.build(chunks)
+    a = index.retrieve(chunks, _asked(s, d), 20)
+    b = index.with_options(0.9, 0.4).retrieve(chunks, _asked(s, d), 20, F.col("lang") == "en")
     return [a, b.withColumn("source", F.lit("english"))]
 
 
@@ -482,9 +484,9 @@ judged as (select query_id, source as item, max(case when n >= 8 then 1.0 else 0
 """
 
 
-def _judged(s, d) -> DataFrame:
+def _judged(s, d, index: BM25Index | None = None) -> DataFrame:
     chunks = _chunks(s, d)
-    ix = BM25Index.build(chunks)
+    ix = index or BM25Index.build(chunks)
     rare = ix.query_terms(_asked(s, d)).join(ix.term_stats.where("idf >= 4"), "term").join(ix.postings, "term")
     shared = rare.groupBy("query_id", "chunk_id").agg(F.count("*").alias("n")).where("n >= 3")
     graded = shared.join(chunks.select("chunk_id", "source"), "chunk_id").groupBy("query_id", F.col("source").alias("item_id")).agg(
@@ -493,15 +495,19 @@ def _judged(s, d) -> DataFrame:
     return graded.withColumn("relevant", F.lit(True))
 
 
-def _hits(s, d, **options) -> DataFrame:
+def _hits(s, d, index: BM25Index | None = None) -> DataFrame:
     """The best ten documents per query, each standing for its source."""
     chunks = _chunks(s, d)
-    hits = BM25Index.build(chunks, BM25Options(**options)).retrieve(chunks, _asked(s, d), 10)
+    hits = (index or BM25Index.build(chunks)).retrieve(chunks, _asked(s, d), 10)
     return hits.join(chunks.select("chunk_id", F.col("source").alias("doc_id")), "chunk_id")
 
 
-def _scores(s, d, graded: bool = True, judged: DataFrame | None = None, **options) -> DataFrame:
-    return M.query_scores(_asked(s, d), _hits(s, d, **options), judged if judged is not None else _judged(s, d), graded=graded)
+def _scores(s, d, graded: bool = True, index: BM25Index | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """One index serves the judgements and any setting of the scores. Not graded: all judgements count alike."""
+    index = index or BM25Index.build(_chunks(s, d))
+    judged = _judged(s, d, index)
+    judged = judged if graded else judged.withColumn("grade", F.lit(1.0))
+    return M.query_scores(_asked(s, d), _hits(s, d, index.with_options(k1, b)), judged, graded=graded)
 
 
 def sql_scores(run: str, judged: str = "judged", own_ideal: bool = False) -> str:
@@ -561,7 +567,7 @@ def ndcg_graded(s, d):
 
 @query(_RUN + f", flat as (select query_id, item, 1.0 as grade from judged) select {_pick(_NDCG)} from {sql_scores('run', 'flat', True)}")
 def ndcg_binary(s, d):
-    return _picked(_scores(s, d, graded=False, judged=_judged(s, d).withColumn("grade", F.lit(1.0))), _NDCG)
+    return _picked(_scores(s, d, graded=False), _NDCG)
 
 
 _LONG = f"long_ as (unpivot (select * from {sql_scores('run')}) on columns(* exclude query_id) into name metric value value)"
@@ -595,8 +601,8 @@ c as (select coalesce(list(query_id order by query_id) filter (b.mrr > a.mrr), [
 select 'mrr' as metric, round(baseline, 6) as baseline, round(candidate, 6) as candidate, round(candidate - baseline, 6) as delta,
   case when baseline <> 0 then round((candidate - baseline) / baseline * 100, 6) end as delta_pct, array_to_string(improved, ',') as improved, array_to_string(regressed, ',') as regressed, unchanged from m, c""")
 def compare_runs(s, d):
-    judged = _judged(s, d)
-    a, b = (M.long_form(_scores(s, d, judged=judged, **o)) for o in ({}, {"k1": 3.0, "b": 1.0}))
+    index = BM25Index.build(_chunks(s, d))
+    a, b = (M.long_form(_scores(s, d, index=index, **o)) for o in ({}, {"k1": 3.0, "b": 1.0}))
     joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return M.compare(a, b, "mrr").select("metric", r6("baseline"), r6("candidate"), r6("delta"), r6("delta_pct"), joined("improved"), joined("regressed"), "unchanged")
 
@@ -625,9 +631,9 @@ def sweep_leaderboard(s, d):
 
     from pyspark.sql import Window
 
-    judged = _judged(s, d)
+    index = BM25Index.build(_chunks(s, d))
     rows = [
-        _scores(s, d, judged=judged, k1=k1, b=b).agg(F.avg("`recall@5`").alias("recall"), F.avg("mrr").alias("mrr")).withColumn("config", F.lit(i))
+        _scores(s, d, index=index, k1=k1, b=b).agg(F.avg("`recall@5`").alias("recall"), F.avg("mrr").alias("mrr")).withColumn("config", F.lit(i))
         for i, (k1, b) in enumerate(GRID)
     ]
     best = Window.orderBy(F.round("recall", 9).desc(), "config")  # a row per configuration

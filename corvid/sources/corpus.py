@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -58,11 +58,17 @@ def read_jsonl(spark: SparkSession, path: str, id_field="id", text_field="text")
     object or lacks the text raises an error with its number; without an id a
     line is named by its number in the file. What else it holds is metadata.
 
-    Lines are numbered in one pass over whole files in order, so one file is
-    one task; split large collections into several files."""
+    A file is read in as many tasks as its size asks for: lines are numbered
+    from the counts of the splits before their own, a row per split."""
     if "://" not in path and not os.path.exists(path):
         raise FileNotFoundError(path)
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "line"), F.col("_metadata.file_name").alias("file"))
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at")
+    )
+    splits = lines.groupBy("file", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "split", (F.col("first") - F.coalesce(before, F.lit(0))).alias("first"))
+    whole = lines.join(splits, ["file", "split"]).select("line", F.regexp_extract("file", "[^/]*$", 0).alias("file"), (F.col("at") - F.col("first")).alias("at"))
     rows = whole.where(T.strip("line") != "").withColumn("map", F.from_json("line", "map<string,string>", {"mode": "PERMISSIVE"}))
     where = F.concat(F.col("file"), F.lit(":"), (F.col("at") + 1).cast("string"))
     text = F.try_element_at("map", F.lit(text_field))
@@ -72,7 +78,7 @@ def read_jsonl(spark: SparkSession, path: str, id_field="id", text_field="text")
     return rows.select(
         F.when(falsy, F.concat(F.lit("doc-"), (F.col("at") + 1).cast("string"))).otherwise(given).alias("doc_id"),
         F.when(bad.isNotNull(), F.raise_error(bad).cast("string")).otherwise(text).alias("text"),
-        F.map_filter("map", lambda k, v: ~k.isin(id_field, text_field)).alias("metadata"),
+        T.flatten_metadata(F.map_filter("map", lambda k, v: ~k.isin(id_field, text_field))).alias("metadata"),
     )
 
 

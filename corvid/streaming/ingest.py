@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.chunking import Chunker
 from ..operators.dense import upsert
 from ..operators.hashing import HashingEmbedder
+from ..sources import files
 
 
 def merge_batch(batch: DataFrame, path: str, chunker: Chunker, embedder: HashingEmbedder) -> None:
@@ -24,28 +23,18 @@ def merge_batch(batch: DataFrame, path: str, chunker: Chunker, embedder: Hashing
     old = current(spark, path)
     if old is not None:
         rows = upsert(old.join(batch.select("doc_id").distinct(), "doc_id", "left_anti"), rows.select(old.columns))
-    version = f"{path}/v{int(_pointer(path) or -1) + 1}"
-    rows.write.mode("overwrite").parquet(version)
-    with open(f"{path}/CURRENT.tmp", "w", encoding="utf-8") as f:
-        f.write(version.rpartition("/v")[2])
-    os.replace(f"{path}/CURRENT.tmp", f"{path}/CURRENT")
-
-
-def _pointer(path: str) -> str | None:
-    try:
-        with open(f"{path}/CURRENT", encoding="utf-8") as f:
-            return f.read()
-    except FileNotFoundError:
-        return None
+    at = int(files.read_text(spark, f"{path}/CURRENT") or -1) + 1
+    rows.write.mode("overwrite").parquet(f"{path}/v{at}")
+    files.write_text(spark, f"{path}/CURRENT", str(at))
 
 
 def current(spark: SparkSession, path: str) -> DataFrame | None:
-    at = _pointer(path)
+    at = files.read_text(spark, f"{path}/CURRENT")
     return None if at is None else spark.read.parquet(f"{path}/v{at}")
 
 
 def start_ingest(docs: DataFrame, path: str, checkpoint: str, chunker: Chunker, embedder: HashingEmbedder) -> StreamingQuery:
     """docs: a streaming DataFrame (doc_id, text, optionally metadata)."""
-    os.makedirs(path, exist_ok=True)
+    files.make_dir(docs.sparkSession, path)
     writer = docs.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     return writer.foreachBatch(lambda b, _: merge_batch(b.where(F.col("doc_id").isNotNull()), path, chunker, embedder)).start()

@@ -139,9 +139,14 @@ def test_evaluate_sweep_and_reports(spark, folder, stack, tmp_path):
     r = evaluate(stack, q)
     assert r.metrics["recall@10"] == 1.0 and r.n_queries == 3 and r.metrics["recall@1"] <= r.metrics["recall@3"] <= r.metrics["recall@5"]
     assert "recall" in R.eval_text(r, [1, 3]) and r.confidence_interval("mrr")[1] <= 1
+    assert 0 < r.latency_ms["p50"] <= r.latency_ms["p95"] <= r.latency_ms["max"] and "p95" in R.eval_text(r, [1, 3])
+    assert sorted(x["latency_ms"] for x in r.per_query)[-1] == r.latency_ms["max"]
+    assert set(evaluate(stack, q, timed=0).latency_ms) == {"mean"}
+    assert latencies([1.0, 2.0, 3.0, 4.0]) == {"mean": 2.5, "p50": 2.5, "p95": pytest.approx(3.85), "max": 4.0}
     docs = S.load_documents(spark, str(folder / "docs"))
     configs = [PipelineConfig(retriever="bm25"), PipelineConfig(chunker="none"), PipelineConfig(retriever="bm25", chunker="fixed")]
     s = run_sweep(configs, docs, q, ks=[1, 5])
+    assert "p95 ms" in R.sweep_text(s) and "ndcg" in R.sweep_text(s)
     assert s.ranked()[-1]["error"].startswith("KeyError") and s.best is not None and 0 <= s.spread <= 1
     R.sweep_html(s, str(tmp_path / "s.html"))
     r.label = "<b>x</b>"
@@ -150,6 +155,120 @@ def test_evaluate_sweep_and_reports(spark, folder, stack, tmp_path):
     assert R.table(["a"], []) == "(no rows)"
 
 
+def test_sweep_shares_tables(spark, folder, monkeypatch):
+    """Chunks are split once for each chunker, and nothing stays in memory."""
+    docs, q = S.load_documents(spark, str(folder / "docs")), S.load_queries(spark, str(folder / "q.jsonl"))
+    split = []
+    plain = Sentence.split
+    monkeypatch.setattr(Sentence, "split", lambda self, d: split.append(1) or plain(self, d))
+    args = {"embedder_args": {"dim": 32}}
+    configs = [PipelineConfig(retriever="bm25"), PipelineConfig(retriever="hybrid", **args), PipelineConfig(retriever="dense", **args), PipelineConfig(retriever="bm25", bm25_args={"b": 0.0})]
+    spark.catalog.clearCache()
+    shared = run_sweep(configs, docs, q, ks=[1, 5], timed=0)
+    assert len(split) == 1 and spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+    alone = [evaluate(RetrievalPipeline(c).index(docs), q, [1, 5], timed=0).metrics for c in configs]
+    assert [r["metrics"] for r in shared.rows] == alone
+
+
+def test_saved_over_its_own_source(spark, stack, tmp_path):
+    at = str(tmp_path / "ix")
+    want = [r.chunk_id for r in stack.search("days", 3).collect()]
+    stack.save(at)
+    for _ in range(3):
+        p = RetrievalPipeline.load(spark, at)
+        p.save(at)
+    assert [r.chunk_id for r in RetrievalPipeline.load(spark, at).search("days", 3).collect()] == want
+    assert sorted(x.name for x in (tmp_path / "ix").iterdir() if x.is_dir()) == ["v2", "v3"]
+
+
+def test_stores(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame([(i, [float(a), float(b)]) for i, a, b in x], "chunk_id string, vec array<float>")
+    asked = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, vec array<float>")
+    for make in (VectorStore, lambda: ParquetStore(str(tmp_path / "store"), spark)):
+        s = make()
+        assert len(s) == 0
+        s.add(rows(("a", 1, 0), ("b", 0, 1)))
+        s.add(rows(("b", 1, 1), ("b", 1, 2), ("c", -1, 0)))
+        s.persist()
+        assert len(s) == 3 and [r.vec for r in s.vectors_for(rows(("b", 0, 0))).collect()] == [[1.0, 2.0]]
+        assert [r.chunk_id for r in s.search(asked, 2).orderBy("rank").collect()] == ["a", "b"]
+        assert [r.chunk_id for r in s.search(asked, 2, rows(("c", 0, 0))).collect()] == ["c"]
+        assert [r.chunk_id for r in s.get(spark.createDataFrame([(0, "c"), (1, "x"), (2, "a")], "position int, chunk_id string")).collect()] == ["c", "a"]
+        if isinstance(s, ParquetStore):
+            assert len(ParquetStore(s.path, spark)) == 3
+        s.reset()
+        assert len(s) == 0
+    with pytest.raises(ImportError):
+        build_store("qdrant")
+    with pytest.raises(KeyError):
+        build_store("none")
+    assert available_stores() == ["chroma", "memory", "parquet", "qdrant"]
+
+
+def test_what_users_add(spark, folder, stack):
+    class Counting(VectorStore):
+        name, asked = "counting", 0
+
+        def search(self, *a):
+            Counting.asked += 1
+            return super().search(*a)
+
+    class Shortest(Retriever):
+        def retrieve(self, stack, queries, k, among):
+            rows = stack.chunks if among is None else stack.chunks.join(among, "chunk_id", "left_semi")
+            best = rows.select("chunk_id", (-F.length("text")).cast("double").alias("score")).orderBy(F.desc("score")).limit(k)
+            best = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score")))).withColumn("source", F.lit("short"))
+            return queries.select("query_id").crossJoin(best)
+
+    register_store(Counting)
+    register_retriever("shortest", Shortest)
+    register_reranker("last first", lambda stack, pool, k: pool.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rank")))).where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank", F.lit("turned").alias("source")))
+    docs, q = S.load_documents(spark, str(folder / "docs")), S.load_queries(spark, str(folder / "q.jsonl"))
+    try:
+        p = RetrievalPipeline(PipelineConfig(retriever="dense", store="counting", embedder_args={"dim": 16})).index(docs)
+        assert p.retrieve(q, 1).count() == 3 and Counting.asked == 1 and len(p.store) == p.chunks.count()
+        p = RetrievalPipeline(PipelineConfig(retriever="shortest", rerank="last first", rerank_args={})).index(docs)
+        got = p.retrieve(q, 2).collect()
+        assert len(got) == 6 and {r.source for r in got} == {"turned"}
+        p.release()
+        with pytest.raises(RuntimeError):
+            p.retrieve(q, 1)
+        seen = []
+        inner = HashingEmbedder(HashingOptions(dim=16, use_idf=False))
+        monkey = Prefixed(inner, "passage: ", "query: ")
+        assert monkey.fingerprint != inner.fingerprint
+        one = spark.createDataFrame([("x", "a")], "query_id string, text string")
+        assert monkey.encode_queries(one).first().vec == inner.encode(one.withColumn("text", F.lit("query: a")), "query_id").first().vec
+        assert not seen
+    finally:
+        del STORES["counting"], MORE["retriever"]["shortest"], MORE["rerank"]["last first"]
+
+
+def test_corrupt_cache_files_are_absent(spark, folder, tmp_path):
+    docs, at = S.load_documents(spark, str(folder / "docs")), tmp_path / "cache"
+    c = PipelineConfig(embedder_cache=str(at), embedder_args={"dim": 32}, retriever="dense")
+    want = [r.chunk_id for r in RetrievalPipeline(c).index(docs).search("days", 3).collect()]
+    for f in at.glob("*.parquet"):
+        f.write_bytes(b"no parquet")
+        (at / f".{f.name}.crc").unlink(missing_ok=True)
+    spark.catalog.clearCache()
+    assert [r.chunk_id for r in RetrievalPipeline(c).index(docs).search("days", 3).collect()] == want
+
+
+def test_json_lines_are_numbered_across_splits(spark, tmp_path):
+    lines = [json.dumps({"text": f"line {k} " + "x" * (k % 50), "tags": ["a", "b"], "n": 5, "none": None}) if k % 7 else "" for k in range(1, 400)]
+    (tmp_path / "d.jsonl").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1000)
+    try:
+        docs = S.read_jsonl(spark, str(tmp_path / "d.jsonl"))
+        assert docs.rdd.getNumPartitions() > 1
+        got = docs.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {(r.doc_id, r.text.split()[1]) for r in got} == {(f"doc-{k}", str(k)) for k in range(1, 400) if k % 7}
+    assert got[0].metadata == {"tags": "a, b", "n": "5"}
+
+
 def test_command_line(spark, folder, tmp_path, capsys):
     docs, q, ix = str(folder / "docs"), str(folder / "q.jsonl"), str(tmp_path / "ix")
     assert cli.main(["index", "--corpus", docs, "--out", ix, "--retriever", "bm25"]) == 0
