@@ -1,34 +1,42 @@
-"""Interpolated modified Kneser-Ney n-gram model, counted in Spark.
+"""Interpolated modified Kneser-Ney n-gram model, counted and looked up in Spark.
 
 1. Words of the training texts are counted (distinct hashes of a task's texts
    first, then Spark's aggregate) and stored as sorted hash arrays; a word's
    number is its place in them.
-2. n-grams are counted as word numbers. A task merges its own and sends each
-   shard one packed array. A shard is a hash of the word before the last, or,
-   if that word has `hot` tokens or more, of the last two, so that no context
-   ends up in one task whole. All n-grams that end in the same two words meet in
-   a shard, so it counts there too how many words precede each shorter n-gram,
-   and writes, for each order, sorted 64-bit keys with counts on the shared
-   folder. 36 bits of a key are a hash of the context, 28 of the word, so that
-   what follows a context lies side by side and running sums give its totals.
+2. A task gathers the n-grams of a group of texts, those to score and those to
+   learn from alike, as word numbers. It writes which of the group's distinct
+   n-grams each token has to the shared folder and sends each shard one packed
+   array of n-grams with their training counts. A shard is a hash of the word
+   before the last; if that word has `hot` tokens or more, one of some shards from
+   there on, by a hash of the last two, and of more the more tokens it has: so no
+   word makes a shard much larger than others. All n-grams that end in the same
+   two words meet in a shard, so it counts there too how many words precede each
+   shorter n-gram. It keeps the packed arrays on the shared folder and passes on
+   its counts of counts, from which the discounts come.
 3. Contexts spread over shards have their totals added up by a second, small
    shuffle, and words the number of words that precede them by a third.
-4. Workers map these arrays into memory and score texts slice by slice.
+4. A task for each shard reads its arrays again, works out the probability of
+   each n-gram and sends every group its own; there the tokens' are added up.
+   So no text looks anything up in the model: work and reading grow with the
+   n-grams alone, however many shards there are and whether they fit in memory.
 
 Texts begin with order - 1 start symbols. The highest order discounts counts,
 the lower ones numbers of preceding words; discounts come from the counts of
 counts of each order. The lowest is interpolated with a uniform one over all
-training words and one unseen, so that probabilities sum to one.
+training words and one unseen, so that probabilities sum to one. log10 of a
+probability travels in 40 bits, rounded to a multiple of 2^-32.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +50,11 @@ END = mix(np.array([0xE0D], np.uint64))[0]
 UNK, START, STOP, WORDS_FROM = 0, 1, 2, 3
 ORDERS = (2, 3, 4)
 LEAST_PER_FILE = 4096  # words in a file of step 3
+LEAST_SPREAD = U(8)  # shards of a word with `hot` tokens
 FLUSH = 1_000_000  # distinct n-grams that a task gathers before it sends them
-WORD_BITS = U(28)
+PLACES, WIDE = 32, 5  # binary places of log10 of a probability, bytes it travels in
 TOTALS = ("total", "one", "two", "more")
+GROUP = ("part", "number", "mark")  # a group's task, its number there and a hash of what it holds
 
 
 def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +141,7 @@ class Grams:
 
     ends: np.ndarray
     rest: np.ndarray
-    hot: np.ndarray  # whether the word before the last is
+    hot: np.ndarray  # 0, or k + 1 if the word before the last is spread over LEAST_SPREAD << k shards
 
     def take(self, at: np.ndarray) -> Grams:
         return Grams(self.ends[at], self.rest[at], self.hot[at])
@@ -146,11 +156,10 @@ class Grams:
     def contexts(self, order: int) -> np.ndarray:
         return mix(mix(self.rest + U(order << 56)) + (self.ends >> U(32)) * U(0xC6A4A7935BD1E995))
 
-    def keys(self, contexts: np.ndarray) -> np.ndarray:
-        return (contexts >> WORD_BITS << WORD_BITS) | (mix(self.ends << U(32)) >> U(36))
-
     def shard(self, shards: int) -> np.ndarray:
-        return (mix(np.where(self.hot, self.ends, self.ends >> U(32)) + U(0x5BD1E995)) % U(shards)).astype(np.int64)
+        step = mix(self.ends + U(0x5BD1E995)) & ((LEAST_SPREAD << np.maximum(self.hot, 1).astype(np.uint64) - U(1)) - U(1))
+        first = mix((self.ends >> U(32)) + U(0x5BD1E995)) % U(shards)
+        return ((first + np.where(self.hot > 0, step, U(0))) % U(shards)).astype(np.int64)
 
 
 def ngrams(hashes: np.ndarray, ptr: np.ndarray, vocab: Vocabulary, order: int, hot: int) -> tuple[Grams, np.ndarray]:
@@ -165,7 +174,7 @@ def ngrams(hashes: np.ndarray, ptr: np.ndarray, vocab: Vocabulary, order: int, h
         return out
 
     before = back(number, U(START))
-    ends, heavy = before << U(32) | number, back(n, vocab.n_texts) >= hot
+    ends, heavy = before << U(32) | number, np.searchsorted(hot << np.arange(24), back(n, vocab.n_texts), "right").astype(np.uint8)
     rest = np.zeros(len(number), np.uint64)
     for k in range(order - 2):
         before = back(before, U(START))
@@ -173,20 +182,30 @@ def ngrams(hashes: np.ndarray, ptr: np.ndarray, vocab: Vocabulary, order: int, h
     return Grams(ends, rest, heavy), n
 
 
-def merged(g: Grams, counts: np.ndarray) -> tuple[Grams, np.ndarray]:
-    """Distinct n-grams with their counts added up."""
-    if not len(counts):
-        return g, counts
+def distinct(g: Grams, counts: np.ndarray) -> tuple[Grams, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams with their counts added up, their identities, ascending, and which of them each one given is."""
     h = g.identity()
     order = np.argsort(h)
     h = h[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    return g.take(order[first]), np.add.reduceat(counts[order], first)
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    first, back = np.flatnonzero(new), np.empty(len(h), np.uint32)
+    back[order] = np.cumsum(new) - 1
+    return g.take(order[first]), _sums(counts[order], first), h[first], back
+
+
+def merged(g: Grams, counts: np.ndarray) -> tuple[Grams, np.ndarray]:
+    return distinct(g, counts)[:2]
+
+
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of runs that begin at the places given."""
+    return np.add.reduceat(values, first) if len(first) else values[:0]
 
 
 def pack(g: Grams, counts: np.ndarray, order: int) -> bytes:
     """n-grams, by their last two words: differences, words and counts as planes of bytes, compressed."""
-    by = np.argsort(g.ends)
+    by = np.argsort(g.ends, kind="stable")  # keeps the order of those that come sorted
     ends = g.ends[by]
     ends[1:] -= ends[:-1].copy()
     planes = [ends.view(np.uint8).reshape(-1, 8).T.ravel(), counts[by].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.ravel(), g.hot[by].view(np.uint8)]
@@ -203,82 +222,122 @@ def unpack(blob: bytes, order: int) -> tuple[Grams, np.ndarray]:
     counts = np.ascontiguousarray(planes[8 * n : 12 * n].reshape(4, n).T).view(np.uint32).ravel().astype(np.int64)
     rest = np.zeros((n, 8), np.uint8)
     rest[:, :wide] = planes[13 * n :].reshape(wide, n).T
-    return Grams(ends, rest.view(np.uint64).ravel(), planes[12 * n : 13 * n].astype(bool)), counts
+    return Grams(ends, rest.view(np.uint64).ravel(), planes[12 * n : 13 * n].copy()), counts
 
 
 class Tally:
-    """Distinct n-grams and counts of many arrays, merged now and then."""
+    """n-grams and counts of many arrays of distinct ones, merged now and then."""
 
     def __init__(self):
         self.parts: list[tuple[Grams, np.ndarray]] = []
         self.held = 0
 
     def add(self, g: Grams, counts: np.ndarray) -> None:
-        self.parts.append(merged(g, counts))
-        self.held += len(self.parts[-1][1])
+        self.parts.append((g, counts))
+        self.held += len(counts)
 
     def merge(self) -> tuple[Grams, np.ndarray]:
-        if len(self.parts) != 1:
-            columns = [np.concatenate(x) for x in zip(*((g.ends, g.rest, g.hot, c) for g, c in self.parts))]
-            self.parts = []
-            if not columns:
-                return Grams(*(np.zeros(0, t) for t in (np.uint64, np.uint64, bool))), np.zeros(0, np.int64)
-            self.parts = [merged(Grams(*columns[:3]), columns[3])]
-            self.held = len(self.parts[0][1])
+        """By identity."""
+        if not self.parts:
+            return Grams(*(np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint8))), np.zeros(0, np.int64)
+        self.parts = [merged(*joined(self.parts))]
+        self.held = len(self.parts[0][1])
         return self.parts[0]
 
 
-def _count_ngrams(rows: Iterator[pa.RecordBatch], vocab: Vocabulary, order: int, shards: int, hot: int) -> Iterator[pa.RecordBatch]:
-    tally = Tally()
-
-    def flush() -> pa.RecordBatch:
-        g, counts = tally.merge()
-        tally.__init__()
-        shard = g.shard(shards)
-        by = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[by], np.arange(shards + 1))
+def joined(parts: list[tuple[Grams, np.ndarray]]) -> tuple[Grams, np.ndarray]:
+    """One after the other; empties the list."""
+    *columns, counts = [np.concatenate(x) for x in zip(*((g.ends, g.rest, g.hot, c) for g, c in parts))]
+    parts.clear()
+    return Grams(*columns), counts
+
+
+def _squeeze(x: np.ndarray) -> np.ndarray:
+    """Planes of bytes, compressed."""
+    return np.frombuffer(zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.ravel()), np.uint8)
+
+
+def _text_path(path: str, part: int, number: int, mark: int) -> str:
+    return f"{path}/texts-{part:06d}-{number:06d}-{mark & (2**64 - 1):016x}"
+
+
+class Group:
+    """Texts, the distinct n-grams in them, and which one each token has."""
+
+    def __init__(self, most: int):
+        self.tally, self.seen, self.texts, self.n_tokens, self.most = Tally(), [], [], 0, most
+
+    def add(self, g: Grams, counts: np.ndarray, texts: list[np.ndarray]) -> None:
+        g, counts, h, back = distinct(g, counts)
+        self.tally.add(g, counts)
+        self.seen.append((h, back))
+        self.texts.append(texts)
+        self.n_tokens += len(back)
+
+    def full(self) -> bool:
+        if self.tally.held > 2 * self.most:
+            self.tally.merge()
+            return self.tally.held > self.most or self.n_tokens > 8 * self.most
+        return self.n_tokens > 8 * self.most
+
+    def send(self, path: str, part: int, number: int, order: int, shards: int) -> pa.RecordBatch:
+        """Writes the texts; gives each shard its n-grams, by their last two words."""
+        g, counts = self.tally.merge()
+        h, by = g.identity(), np.argsort(g.ends, kind="stable")
+        by = by[np.argsort(g.shard(shards)[by], kind="stable")]
+        place = np.empty(len(by), np.uint32)
+        place[by] = np.arange(len(by), dtype=np.uint32)
+        at = np.concatenate([place[np.searchsorted(h, own)][back] for own, back in self.seen])
+        texts = [np.concatenate(c) for c in zip(*self.texts)]
+        mark = hashlib.blake2b(at, digest_size=8)
+        for c in texts[:-1]:  # the last are sums, which another processor may round otherwise
+            mark.update(c)
+        mark = int.from_bytes(mark.digest(), "little", signed=True)
+        sizes = np.array([len(texts[0]), len(at), len(by)], np.int64)
+        hashstore._write(_text_path(path, part, number, mark) + ".arrow", {"sizes": sizes, "at": _squeeze(at), "texts": np.frombuffer(_blob(*texts), np.uint8)})
+        g, counts = g.take(by), counts[by]
+        cuts = np.searchsorted(g.shard(shards), np.arange(shards + 1))
         some = np.flatnonzero(np.diff(cuts))
-        blobs = [pack(g.take(at := by[cuts[s] : cuts[s + 1]]), counts[at], order) for s in some]
-        return pa.record_batch({"shard": pa.array(some, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+        blobs = [pack(g.take(slice(cuts[s], cuts[s + 1])), counts[cuts[s] : cuts[s + 1]], order) for s in some]
+        own = [pa.array(np.full(len(some), x), t) for x, t in ((part, pa.int32()), (number, pa.int32()), (mark, pa.int64()))]
+        return pa.record_batch({"shard": pa.array(some, pa.int32())} | dict(zip(GROUP, own)) | {"blob": pa.array(blobs, pa.binary())})
 
+
+def _gather(rows: Iterator[pa.RecordBatch], vocab: Vocabulary, path: str, order: int, shards: int, hot: int, most: int) -> Iterator[pa.RecordBatch]:
+    """From rows of an id, whether it is held out, and a text; a group has `most` distinct n-grams or a little more."""
+    floor = np.log10(vocab.n_tokens + vocab.n_words + (vocab.n_texts > 0) + 1)
+    part, number, group = TaskContext.get().partitionId(), 0, Group(most)
     for batch in batches(rows):
-        buf, offs = buffer_of(batch.column(0))
-        for _, _, b, o in slices(buf, offs):
-            g, _ = ngrams(*tokens(b, o), vocab, order, hot)
-            tally.add(g, np.ones(len(g.ends), np.int64))
-            if tally.held > 2 * FLUSH:
-                tally.merge()
-                if tally.held > FLUSH:
-                    yield flush()
-    if tally.held:
-        yield flush()
+        ids, held = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+        none, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+        buf, offs = buffer_of(batch.column(2))
+        for a, z, b, o in slices(buf, offs, 2 * SLICE):
+            hashes, ptr = tokens(b, o)
+            g, n = ngrams(hashes, ptr, vocab, order, hot)
+            sizes = np.diff(ptr).astype(np.int64)
+            known = np.add.reduceat((n > 0).astype(np.int64), ptr[:-1])
+            base = np.add.reduceat(np.log10(n + 1) - floor, ptr[:-1])
+            group.add(g, np.repeat(~held[a:z], sizes).astype(np.int64), [ids[a:z].view(np.uint64), none[a:z].astype(np.uint64), sizes, known, base.view(np.uint64)])
+            if group.full():
+                yield group.send(path, part, number, order, shards)
+                number, group = number + 1, Group(most)
+    if group.texts:
+        yield group.send(path, part, number, order, shards)
 
 
 # ---- shards
 
 
-def _level(g: Grams, counts: np.ndarray, k: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray] | None]:
-    """Order k's arrays of a shard, and the totals of contexts that are spread over shards."""
-    contexts = g.contexts(k)
-    keys = g.keys(contexts)
-    by = np.argsort(keys)
-    keys, counts = keys[by], counts[by]
-    multi = np.flatnonzero(counts > 1)
-    more = counts[multi]
-    sums = np.concatenate([[0], np.cumsum(more - 1)])
-    out = {
-        f"key{k}": keys, f"at{k}": multi.astype(np.int32), f"sum{k}": sums.astype(np.uint32) if sums[-1] < 2**32 else sums,
-        f"two{k}": np.concatenate([[0], np.cumsum(more == 2)]).astype(np.int32),
-    }
-    spread = by[g.hot[by]]
-    if not len(spread):
-        return out, None
-    c, n = contexts[spread], counts[g.hot[by]]
-    by = np.argsort(c)
-    c, n = c[by], n[by]
-    first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-    sums = [np.add.reduceat(x.astype(np.int64), first) for x in (n, n == 1, n == 2, n > 2)]
-    return out, {"key": c[first]} | dict(zip(TOTALS, sums))
+def _totals(contexts: np.ndarray, counts: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """By context, ascending: the sum of counts, and how many are 1, 2 and more; and which context each one given is."""
+    keys, owner = np.unique(contexts, return_inverse=True)
+    columns = counts, counts == 1, counts == 2, counts > 2
+    return {"key": keys} | {k: np.bincount(owner, c, len(keys)).astype(np.int64) for k, c in zip(TOTALS, columns)}, owner
+
+
+def shortened(g: Grams, counts: np.ndarray, order: int) -> tuple[Grams, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of the order below with how many of those given that training texts hold end in each, as distinct() does."""
+    return distinct(g.shorter(order), (counts > 0).astype(np.int64))
 
 
 def _blob(*columns: np.ndarray) -> bytes:
@@ -298,32 +357,39 @@ def _spread(counts: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(counts, COUNTED), minlength=COUNTED + 1)[1:].tolist()
 
 
-def _merge_shard(table: pa.Table, path: str, order: int, per_file: int, carry_bits: int) -> pa.Table:
-    """Writes a shard's arrays. Rows: kind 0, totals of spread contexts by
+def _kept(table: pa.Table, path: str) -> None:
+    """Writes the packed arrays that a shard got, with their groups."""
+    blobs = [b.as_py() for b in table["blob"]]
+    groups = {c: table[c].to_numpy() for c in GROUP}
+    hashstore._write(path, groups | {"size": np.array([len(b) for b in blobs], np.int64), "bytes": np.frombuffer(b"".join(blobs), np.uint8)})
+
+
+def _merge_shard(table: pa.Table, path: str, order: int, per_file: int, carry_bits: int, most: int) -> pa.Table:
+    """Keeps a shard's arrays. Rows: kind 0, totals of spread contexts by
     their parts; kind 1, how many words precede a word, by files of step 3; kind
     2, counts of counts of order k."""
     shard, tally = table["shard"][0].as_py(), Tally()
+    _kept(table, f"{path}/{shard:06d}.arrow")
     for blob in table["blob"]:
-        tally.add(*unpack(blob.as_py(), order))
-        if tally.held > 4 * FLUSH:
+        g, counts = unpack(blob.as_py(), order)
+        if len(some := np.flatnonzero(counts)):
+            tally.add(g.take(some), counts[some])
+        if tally.held > 4 * most:
             tally.merge()
-    g, counts = tally.merge()
-    del tally, table
-    arrays, rows = {}, []
+    rows, (g, counts) = [], tally.merge()
     for k in range(order, 1, -1):
         if k < order:
-            g, counts = merged(g.shorter(k), np.ones(len(g.ends), np.int64))
-        level, carried = _level(g, counts, k)
-        arrays |= level
+            g, counts = shortened(g, counts, k)[:2]
         rows.append({"kind": 2, "part": -1, "blob": None, "k": k} | {f"c{i + 1}": n for i, n in enumerate(_spread(counts))})
-        if carried:
+        if len(spread := np.flatnonzero(g.hot)):
+            carried, _ = _totals(g.take(spread).contexts(k), counts[spread])
             part = (carried["key"] >> U(64 - carry_bits)).astype(np.int64) if carry_bits else np.zeros(len(carried["key"]), np.int64)
             cuts = np.searchsorted(part, np.arange((1 << carry_bits) + 1))
             rows += [{"kind": 0, "part": int(p), "blob": _blob(*(c[cuts[p] : cuts[p + 1]] for c in carried.values()))} for p in np.flatnonzero(np.diff(cuts))]
-    hashstore._write(f"{path}/{shard:06d}.arrow", arrays)
     words, n = np.unique(g.ends & U(0xFFFFFFFF), return_counts=True)
-    cuts = np.searchsorted(words, np.arange(0, (int(words[-1]) // per_file + 2) * per_file, per_file).astype(np.uint64))
-    rows += [{"kind": 1, "part": f, "blob": _blob(words[a:b], n[a:b])} for f, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
+    if len(words):
+        cuts = np.searchsorted(words, np.arange(0, (int(words[-1]) // per_file + 2) * per_file, per_file).astype(np.uint64))
+        rows += [{"kind": 1, "part": f, "blob": _blob(words[a:b], n[a:b])} for f, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
     names = [c.split()[0] for c in PIECES.split(", ")]
     kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int32(), *[pa.int64()] * COUNTED]
     return pa.Table.from_pylist(rows, pa.schema(list(zip(names, kinds))))
@@ -358,11 +424,11 @@ def discounts(c1: int, c2: int, c3: int, c4: int) -> np.ndarray:
 
 
 class NgramModel:
-    """The arrays of a fitted model; opens them where it is used."""
+    """A fitted model's files; opens them where it is used."""
 
-    def __init__(self, path: str, order: int, shards: int, per_file: int, carry_bits: int, hot: int, vocab: Vocabulary, cuts: dict[int, np.ndarray], types: int, low_mass: float):
-        self.path, self.order, self.shards, self.per_file, self.hot, self.vocab = path, order, shards, per_file, hot, vocab
-        self.cuts, self.types, self.low_mass = cuts, types, low_mass
+    def __init__(self, path: str, order: int, shards: int, per_file: int, carry_bits: int, vocab: Vocabulary, cuts: dict[int, np.ndarray], types: int, low_mass: float, most: int):
+        self.path, self.order, self.shards, self.per_file, self.vocab = path, order, shards, per_file, vocab
+        self.cuts, self.types, self.low_mass, self.most = cuts, types, low_mass, most
         self.files, self.totals = hashstore.Files(path), HashStore(path, carry_bits, "totals-")
 
     def _words(self, words: np.ndarray) -> np.ndarray:
@@ -375,76 +441,88 @@ class NgramModel:
                 out[at] = rows["before"][words[at] - f * self.per_file]
         return out
 
-    def _level(self, g: Grams, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _level(self, g: Grams, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Of distinct n-grams of order k: the discounted share, and the share left to the order below."""
         cut = self.cuts[k]
-        contexts = g.contexts(k)
-        keys, shard = g.keys(contexts), g.shard(self.shards)
-        count, total, left = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys))
-        by = np.lexsort((keys, shard))
-        cuts = np.searchsorted(shard[by], np.arange(self.shards + 1))
-        for s in np.flatnonzero(np.diff(cuts)):
-            at = by[cuts[s] : cuts[s + 1]]
-            if not (rows := self.files.get(f"{s:06d}")):
-                continue
-            have, multi, sums, twos = (rows[f"{name}{k}"] for name in ("key", "at", "sum", "two"))
-            q = keys[at]
-            place = np.minimum(np.searchsorted(have, q), len(have) - 1)
-            m = np.minimum(np.searchsorted(multi, place.astype(np.int32)), max(len(multi) - 1, 0))
-            extra = np.where(multi[m] == place, sums[m + 1] - sums[m], 0) if len(multi) else 0
-            count[at] = np.where(have[place] == q, 1 + extra, 0)
-            c = q >> WORD_BITS  # ascending: each context's n-grams lie side by side
-            first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-            a = np.searchsorted(have, c[first] << WORD_BITS)
-            z = np.searchsorted(have, (c[first] << WORD_BITS) | U((1 << int(WORD_BITS)) - 1), "right")
-            ma, mz = np.searchsorted(multi, a.astype(np.int32)), np.searchsorted(multi, z.astype(np.int32))
-            two = (twos[mz] - twos[ma]).astype(np.int64)
-            size = np.diff(np.append(first, len(c)))
-            total[at] = np.repeat(z - a + sums[mz] - sums[ma], size)
-            left[at] = np.repeat(cut[1] * (z - a - (mz - ma)) + cut[2] * two + cut[3] * (mz - ma - two), size)
-        if len(hot := np.flatnonzero(g.hot)):
-            v = self.totals.get(contexts[hot], **dict.fromkeys(TOTALS, np.int64(0)))
-            total[hot] = v["total"]
-            left[hot] = cut[1] * v["one"] + cut[2] * v["two"] + cut[3] * v["more"]
-        known = np.maximum(total, 1)
-        return np.maximum(count - cut[np.minimum(count, 3)], 0) / known, np.where(total > 0, left / known, 1.0)
-
-    def log10(self, g: Grams) -> np.ndarray:
-        """log10 P(word | context) of n-grams, repeats and all."""
-        _, one, back = np.unique(g.identity(), return_index=True, return_inverse=True)
-        g = g.take(one)
-        words, of = np.unique((g.ends & U(0xFFFFFFFF)).astype(np.int64), return_inverse=True)
-        before, kinds = self._words(words), self.vocab.n_words + 2  # words, one unseen and the end
-        p = np.maximum(before - self.cuts[1][np.minimum(before, 3)], 0) / max(self.types, 1) + self.low_mass / kinds
-        p = p[of]
-        for k in range(2, self.order + 1):
-            short = g.shorter(k)
-            if k < self.order:
-                _, some, to = np.unique(short.identity(), return_index=True, return_inverse=True)
-                own, left = (x[to] for x in self._level(short.take(some), k))
-            else:
-                own, left = self._level(short, k)
-            p = own + left * p
-        return np.log10(p)[back]
-
-
-def fit(training: DataFrame, order: int = 3, shard_tokens: int = 2_000_000, hot: int | None = None) -> NgramModel:
-    """A model of the texts in a table with one column. A shard holds about
-    shard_tokens n-grams; words with hot tokens (as many, if not given) are
-    spread over shards."""
+        sums, owner = _totals(g.contexts(k), counts)
+        spread = np.zeros(len(sums["key"]), bool)
+        spread[owner[g.hot > 0]] = True
+        if len(hot := np.flatnonzero(spread)):
+            v = self.totals.get(sums["key"][hot], **dict.fromkeys(TOTALS, np.int64(0)))
+            for name in TOTALS:
+                sums[name][hot] = v[name]
+        known = np.maximum(sums["total"], 1)
+        left = np.where(sums["total"] > 0, (cut[1] * sums["one"] + cut[2] * sums["two"] + cut[3] * sums["more"]) / known, 1.0)
+        return np.maximum(counts - cut[np.minimum(counts, 3)], 0) / known[owner], left[owner]
+
+    def log10(self, g: Grams, counts: np.ndarray) -> np.ndarray:
+        """log10 P(word | context) of a shard's distinct n-grams, of which training texts hold `counts`."""
+        return np.log10(self._share(g, counts, self.order))
+
+    def _share(self, g: Grams, counts: np.ndarray, k: int) -> np.ndarray:
+        if k == 1:
+            words, of = np.unique((g.ends & U(0xFFFFFFFF)).astype(np.int64), return_inverse=True)
+            before, kinds = self._words(words), self.vocab.n_words + 2  # words, one unseen and the end
+            return (np.maximum(before - self.cuts[1][np.minimum(before, 3)], 0) / max(self.types, 1) + self.low_mass / kinds)[of]
+        if k == 2:
+            below = self._share(g, counts, 1)
+        else:
+            short, n, _, to = shortened(g, counts, k - 1)
+            below = self._share(short, n, k - 1)[to]
+        own, left = self._level(g, counts, k)
+        return own + left * below
+
+    def answers(self, shard: int) -> Iterator[pa.RecordBatch]:
+        """For each group that sent the shard n-grams, log10 of their probabilities, in the group's order."""
+        if not (kept := hashstore._read(f"{self.path}/{shard:06d}.arrow")):
+            return
+        cuts = np.concatenate([[0], np.cumsum(kept["size"])])
+        tally, runs, sizes, held = Tally(), [], [], 0  # a run: identities, which of them each n-gram has, the groups so far
+        parts: list[tuple[Grams, np.ndarray]] = []
+        for j, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])):
+            parts.append(unpack(kept["bytes"][a:z].tobytes(), self.order))
+            sizes.append(len(parts[-1][1]))
+            held += sizes[-1]
+            if held > 4 * self.most or z == cuts[-1]:
+                g, counts, h, back = distinct(*joined(parts))
+                tally.add(g, counts)
+                runs.append((h, back, j + 1))
+                held = 0
+        if len(runs) > 1:
+            g, counts = tally.merge()
+        del tally
+        every, p = g.identity(), np.rint(-self.log10(g, counts) * 2.0**PLACES).astype(np.uint64)
+        del g, counts
+        first = 0
+        for h, back, last in runs:
+            data = np.ascontiguousarray(p[np.searchsorted(every, h)][back].view(np.uint8).reshape(-1, 8)[:, :WIDE])
+            offs = np.concatenate([[0], np.cumsum(sizes[first:last])]) * WIDE
+            column = pa.Array.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer(offs), pa.py_buffer(data)]).cast(pa.binary())
+            yield pa.record_batch({"shard": pa.array(np.full(last - first, shard), pa.int32())} | {c: pa.array(kept[c][first:last]) for c in GROUP} | {"blob": column})
+            first = last
+
+
+PACKED = "shard int, part int, number int, mark long, blob binary"
+
+
+def fit(rows: DataFrame, order: int = 3, shard_tokens: int = 2_000_000, hot: int | None = None) -> NgramModel:
+    """A model of the texts that aren't held out, in a table of ids, whether
+    they are held out, and texts; its folder has all that scores the others too.
+    A shard holds about shard_tokens n-grams; words with hot tokens (a quarter of
+    it, if not given) are spread over shards."""
     if order not in ORDERS:
         raise ValueError(f"the order must be one of {ORDERS}")
-    spark = training.sparkSession
-    vocab = build_vocabulary(training)
+    spark = rows.sparkSession
+    vocab = build_vocabulary(rows.where("not held_out").select("text"))
     free_shuffles(spark)
-    path, hot = fresh_path(spark, "ngrams"), hot or shard_tokens
+    path, hot, most = fresh_path(spark, "ngrams"), hot or max(1, shard_tokens // 4), FLUSH
     shards = max(1, -(-vocab.n_tokens // shard_tokens))
-    carry_bits = max(0, (shards - 1).bit_length())
+    carry_bits = max(0, (shards - 1).bit_length() - 2)  # fewer parts than shards, as each shard sends each part a row
     # as many files as shards: what words are told by the shards stays bounded per file
     per_file = max(LEAST_PER_FILE, -(-(vocab.n_words + WORDS_FROM) // shards))
-    packed = training.mapInArrow(lambda it: _count_ngrams(it, vocab, order, shards, hot), "shard int, blob binary")
+    packed = rows.mapInArrow(lambda it: _gather(it, vocab, path, order, shards, hot, most), PACKED)
     by_shard = packed.repartition(shards, "shard").groupBy("shard")
-    pieces = materialize(by_shard.applyInArrow(lambda t: _merge_shard(t, path, order, per_file, carry_bits), PIECES), "shards")
+    pieces = materialize(by_shard.applyInArrow(lambda t: _merge_shard(t, path, order, per_file, carry_bits, most), PIECES), "shards")
     free_shuffles(spark)
     sums = [F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"c{i}") for i in range(1, COUNTED + 1)]
     cuts = {r.k: discounts(r.c1, r.c2, r.c3, r.c4) for r in pieces.where("kind = 2").groupBy("k").agg(*sums).collect()}  # a row per order
@@ -456,29 +534,40 @@ def fit(training: DataFrame, order: int = 3, shard_tokens: int = 2_000_000, hot:
     discard(pieces)
     cuts = {k: cuts.get(k, discounts(0, 0, 0, 0)) for k in range(2, order + 1)} | {1: discounts(low.c1, low.c2, low.c3, low.c4)}
     mass = float(cuts[1][1:] @ np.array([low.c1, low.c2, low.c3 + low.c4 + low.c5])) / low.types if low.types else 1.0
-    return NgramModel(path, order, shards, per_file, carry_bits, hot, vocab, cuts, low.types, mass)
+    free_shuffles(spark)  # the packed arrays: the first call comes too early for them
+    return NgramModel(path, order, shards, per_file, carry_bits, vocab, cuts, low.types, mass, most)
 
 
-def _score(rows: Iterator[pa.RecordBatch], model: NgramModel) -> Iterator[pa.RecordBatch]:
-    vocab = model.vocab
-    floor = np.log10(vocab.n_tokens + vocab.n_words + (vocab.n_texts > 0) + 1)
+def _answer(rows: Iterator[pa.RecordBatch], model: NgramModel) -> Iterator[pa.RecordBatch]:
     for batch in batches(rows):
-        buf, offs = buffer_of(batch.column(1))
-        for a, z, b, o in slices(buf, offs, 2 * SLICE):
-            hashes, ptr = tokens(b, o)
-            g, n = ngrams(hashes, ptr, vocab, model.order, model.hot)
-            known = np.add.reduceat((n > 0).astype(np.int64), ptr[:-1])
-            base = np.add.reduceat(np.log10(n + 1) - floor, ptr[:-1])
-            score = np.add.reduceat(model.log10(g), ptr[:-1])
-            yield pa.record_batch(
-                {
-                    "id": batch.column(0).slice(a, z - a),
-                    "n_tokens": pa.array(np.diff(ptr).astype(np.int64)),
-                    "n_known": pa.array(known),
-                    "base_score": pa.array(base),
-                    "score": pa.array(score),
-                }
-            )
+        for shard in batch.column(0).to_pylist():
+            yield from model.answers(shard)
+
+
+def _add_up(table: pa.Table, path: str) -> pa.Table:
+    """A group's texts with their scores."""
+    part, number, mark = (table[c][0].as_py() for c in GROUP)
+    kept = hashstore._read(_text_path(path, part, number, mark) + ".arrow")
+    n_texts, n_tokens, n_grams = kept["sizes"].tolist()
+    blobs = [table["blob"][int(j)].as_py() for j in np.argsort(table["shard"].to_numpy())]
+    p = np.zeros((sum(map(len, blobs)) // WIDE, 8), np.uint8)
+    p[:, :WIDE] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, WIDE)
+    if len(p) != n_grams:  # part of the shuffle was done again, over rows in another order
+        raise RuntimeError(f"a group of texts has {n_grams} n-grams and was told of {len(p)}: the table's rows must come in the same order each time")
+    p = p.view(np.uint64).ravel().astype(np.float64) / 2.0**PLACES
+    at = np.frombuffer(zstandard.ZstdDecompressor().decompress(kept["at"].tobytes()), np.uint8)
+    at = np.ascontiguousarray(at.reshape(4, n_tokens).T).view(np.uint32).ravel()
+    ids, none, sizes, known, base = _columns(kept["texts"].tobytes(), 5)
+    sizes = sizes.astype(np.int64)
+    return pa.table(
+        {
+            "id": pa.array(ids.view(np.int64), mask=none > 0),
+            "n_tokens": pa.array(sizes),
+            "n_known": pa.array(known.astype(np.int64)),
+            "base_score": pa.array(base.view(np.float64)),
+            "score": pa.array(-np.add.reduceat(p[at], np.cumsum(sizes) - sizes)),
+        }
+    )
 
 
 def score_texts(
@@ -505,10 +594,13 @@ def score_texts(
     change no result.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     held_out = F.coalesce(id_remainder("id", folds) == held, F.lit(False))
-    model = fit(rows.where(~held_out).select("text"), order, shard_tokens, hot)
-    scored = rows.mapInArrow(lambda it: _score(it, model), "id long, n_tokens long, n_known long, base_score double, score double")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).select("id", held_out.alias("held_out"), "text")
+    model = fit(rows, order, shard_tokens, hot)
+    answers = docs.sparkSession.range(0, model.shards, 1, model.shards).mapInArrow(lambda it: _answer(it, model), PACKED)
+    scored = answers.repartition(model.shards, *GROUP).groupBy(*GROUP).applyInArrow(
+        lambda t: _add_up(t, model.path), "id long, n_tokens long, n_known long, base_score double, score double"
+    )
     return scored.select(
         F.col("id").alias(id_col), held_out.alias("held_out"), "n_tokens", "n_known",
         F.lit(model.vocab.n_tokens).cast("long").alias("train_tokens"), "base_score", "score",

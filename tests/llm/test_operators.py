@@ -752,6 +752,41 @@ def test_hot_words_spread_over_shards():
         assert (g.ends == ends).all() and (c == np.arange(n)).all() and (g.rest == grams(True).shorter(order).rest).all() and g.hot.all()
 
 
+def test_scores_come_from_one_pass_over_shards(spark, monkeypatch):
+    """Scoring looked up every slice of texts in every shard: slices times shards, and pages read again and again."""
+    monkeypatch.setattr(kneser_ney, "FLUSH", 60)  # many groups of texts, and many runs in a shard
+    rows = ugly(29, 80)
+    got = kneser_ney.score_texts(docs_of(spark, rows).repartition(3, "doc_id"), shard_tokens=700, hot=30)
+    as_brute_lm(got.collect(), rows, 3)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    shards = -(-got.first().train_tokens // 700)
+    assert shards > 2 and f"Range (0, {shards}, step=1" in plan and "text" not in plan
+
+
+def test_contexts_whose_hashes_are_alike_stay_apart(spark):
+    """n-grams were found by 36 bits of their context, which large tables bring together."""
+    words = sorted((f"w{j}" for j in range(2000)), key=lambda w: textops.hash_words([w], lower=True)[0])
+    one, two = (x.ravel().astype(np.uint64) for x in np.meshgrid(*[np.arange(len(words)) + kneser_ney.WORDS_FROM] * 2))
+    c = kneser_ney.Grams(two << np.uint64(32), one, np.zeros(len(one), bool)).contexts(3) >> np.uint64(28)
+    by = np.argsort(c)
+    same = by[np.flatnonzero(c[by][1:] == c[by][:-1])[0] + np.arange(2)]
+    (a, b), (d, e) = ((words[int(one[j]) - kneser_ney.WORDS_FROM], words[int(two[j]) - kneser_ney.WORDS_FROM]) for j in same)
+    rows = [(None, " ".join(words)), *[(None, f"{a} {b} {words[5]}")] * 3, *[(None, f"{d} {e} {words[j]}") for j in (6, 7, 7)]]
+    as_brute_lm(kneser_ney.score_texts(docs_of(spark, rows)).collect(), rows, 3)
+
+
+def test_groups_that_come_otherwise_are_refused(tmp_path):
+    """A part of the shuffle that is done again over rows in another order is no answer."""
+    g = kneser_ney.Grams(np.arange(5, dtype=np.uint64), np.zeros(5, np.uint64), np.zeros(5, bool))
+    group = kneser_ney.Group(100)
+    group.add(g, np.ones(5, np.int64), [np.array([x], np.uint64) for x in (7, 0, 5, 5, 0)])
+    row = group.send(str(tmp_path), 0, 0, 3, 1).to_pylist()[0]
+    told = lambda n: kneser_ney._add_up(pa.Table.from_pylist([row | {"blob": bytes([0, 0, 0, 0, 1] * n)}]), str(tmp_path))
+    assert told(5).to_pylist() == [{"id": 7, "n_tokens": 5, "n_known": 5, "base_score": 0.0, "score": -5.0}]
+    with pytest.raises(RuntimeError):
+        told(4)
+
+
 def test_open_files_are_bounded(tmp_path):
     from corvid.llm import hashstore
 
