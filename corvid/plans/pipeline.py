@@ -160,8 +160,7 @@ class RetrievalPipeline:
         return embedder, self._through_cache(embedder, c.embedder_cache) if c.embedder_cache else self._own(embedder.encode(self.chunks))
 
     def _inverted(self, index: BM25Index) -> BM25Index:
-        index.postings, index.term_stats, index.stats = (self._own(t) for t in (index.postings, index.term_stats, index.stats))
-        return index
+        return BM25Index(*(self._own(t) for t in (index.postings, index.term_stats, index.stats)), index.options)
 
     def _through_cache(self, embedder, path: str) -> DataFrame:
         """Files of the cache that can't be read count as absent: their texts are encoded again."""

@@ -7,11 +7,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corvid import queries as engine
 from corvid.functions import metrics as M
 from corvid.functions import text as T
 from corvid.functions.filters import compile_filter
+from corvid.functions.terms import tokens
+from corvid.operators import bm25_scan, fusion
 from corvid.operators import chunking as C
-from corvid.operators import fusion
 from corvid.operators.bm25 import BM25Index, BM25Options
 from corvid.operators.dense import dense_search, get, upsert
 from corvid.operators.hashing import HashingEmbedder, HashingOptions, encode_cached, fnv1a, hash_features
@@ -181,6 +183,61 @@ def test_bm25_equals_its_formula(spark, chunks):
     assert part == {k: v for k, v in got.items() if k in ("auth", "bills")}
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def random_texts(seed, n):
+    rng = random.Random(seed)
+    words = "the of bus boxes box policies policy passing passed pass well-known it's glass a'b -x- ring İs Key É1 err_4029".split()
+    return [" ".join(rng.choice(words) for _ in range(rng.randrange(25))) for _ in range(n)] + [None, "", "the of"]
+
+
+def test_bm25_scan_equals_postings(spark, monkeypatch):
+    """Texts scored where they lie give what the join of postings gives, with
+    queries in several blocks, a filter, other settings and ties."""
+    texts = random_texts(5, 90) + ["box glass"] * 9
+    chunks = spark.createDataFrame([(k, t, k % 3) for k, t in enumerate(texts)], "chunk_id long, text string, third int").repartition(5)
+    q = asked(spark, *[t or "" for t in random_texts(6, 7)], "box box glass").cache()
+    plain = BM25Options(0.9, 0.4, remove_stopwords=False, stem=False)
+    for pairs, cells, options, k, where in ((1 << 18, 1 << 20, BM25Options(), 500, None), (25, 40, plain, 4, None), (25, 40, BM25Options(), 3, {"third": 1})):
+        monkeypatch.setattr(bm25_scan, "PAIRS", pairs)
+        monkeypatch.setattr(bm25_scan, "CELLS", cells)
+        ix = BM25Index.build(chunks, options)
+        stored = BM25Index(ix.postings, ix.term_stats, ix.stats, options)
+        got, want = ({(r.query_id, r["rank"], r.chunk_id): r.score for r in x.retrieve(chunks, q, k, where).collect()} for x in (ix, stored))
+        assert got == pytest.approx(want, abs=1e-9) and got
+    ask = BM25Index.build(chunks).ask(q, ["third"])
+    ids, raw = zip(*q.collect())
+    terms = [set(x) for x in column(spark, T.terms, raw)]
+    held = [set(x or ()) for x in column(spark, T.terms, texts)]
+    df = lambda t: sum(t in h for h in held)
+    rare = [{t for t in x if math.log1p((len(texts) - df(t) + 0.5) / (df(t) + 0.5)) >= 1} for x in terms]
+    want = {(i, k, len(r & h)) for i, r in zip(ids, rare) for k, h in enumerate(held) if len(r & h) >= 2}
+    assert want == set(map(tuple, ask.shared(1, 2).collect()))
+    ask.release()
+
+
+def test_sweep_shares_rows_and_shuffles_no_pairs(spark, monkeypatch):
+    """Four settings of the scores: the texts are read for one table of rows, and
+    nothing is joined on terms or summed up by query and text."""
+    made = []
+    monkeypatch.setattr(bm25_scan.Asked, "__init__", lambda self, *a, f=bm25_scan.Asked.__init__, **k: made.append(self) or f(self, *a, **k))
+    shown = plan(engine.sweep_leaderboard(spark, "/root/testdata/sf0.001"))
+    assert len(made) == 1 and "term#" not in shown and "keys=[query_id#" in shown
+    assert not any(x in line for line in shown.splitlines() if "keys=[" in line for x in ("chunk_id#", "term#"))
+
+
+def test_terms_of_batches_equal_the_pattern():
+    import re
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ab1'-- \nÉKİ_Zß") for _ in range(rng.randrange(30))) for _ in range(3000)] + ["", None, "'", "-a-"]
+    found, n = tokens(texts)
+    assert found.to_pylist() == [w for t in texts for w in re.findall(T.TERMS, (t or "").lower())]
+    assert n.tolist() == [len(re.findall(T.TERMS, (t or "").lower())) for t in texts] and tokens([])[0].to_pylist() == []
+
+
 def test_dense_search(spark):
     rng = np.random.default_rng(2)
     m, q = rng.normal(size=(150, 8)), rng.normal(size=(7, 8))
