@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import text as T
+from ..functions.terms import tokens
+from .batches import bounded_batches, by_bytes, give_back
 
 _TERM = re.compile(T.TERMS)
 _BASIS, _PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
@@ -94,14 +96,9 @@ def _counts(texts: list[str], o: HashingOptions) -> tuple[np.ndarray, np.ndarray
 
     Each distinct word's own hash and character grams, and each distinct pair of
     neighbours, are hashed once; texts then gather them by word number."""
-    number: dict[str, int] = {}
-    flat: list[int] = []
-    size = []
-    for t in texts:
-        found = _TERM.findall((t or "").lower())
-        flat += [number.setdefault(w, len(number)) for w in found]
-        size.append(len(found))
-    words, ids = list(number), np.array(flat, np.int64)
+    found, size = tokens(texts)
+    kinds = found.dictionary_encode()
+    words, ids = kinds.dictionary.to_pylist(), kinds.indices.to_numpy().astype(np.int64)
     doc = np.repeat(np.arange(len(texts)), size)
     own = fnv1a(words)
     hashes, owner = [], []
@@ -143,18 +140,20 @@ def _counts(texts: list[str], o: HashingOptions) -> tuple[np.ndarray, np.ndarray
 
 def _features(rows: Iterator[pa.RecordBatch], o: HashingOptions) -> Iterator[pa.RecordBatch]:
     for batch in rows:
-        for part in (batch.slice(a, 1024) for a in range(0, batch.num_rows, 1024)):
+        for part in by_bytes(batch, 1):
             doc, bucket, net = _counts(part.column(1).to_pylist(), o)
             yield pa.record_batch({"chunk_id": part.column(0).take(pa.array(doc)), "bucket": pa.array(bucket.astype(np.int32)), "net": pa.array(net)})
+    give_back()
 
 
 def _sparse(rows: Iterator[pa.RecordBatch], o: HashingOptions) -> Iterator[pa.RecordBatch]:
     for batch in rows:
-        for part in (batch.slice(a, 1024) for a in range(0, batch.num_rows, 1024)):
+        for part in by_bytes(batch, 1):
             doc, bucket, net = _counts(part.column(1).to_pylist(), o)
             at = pa.array(np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32))
             lists = (pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (bucket, net))
             yield pa.record_batch(dict(zip(("chunk_id", "key", "bucket", "net"), (part.column(0), part.column(2), *lists))))
+    give_back()
 
 
 def _vec_batch(name: str, ids: pa.Array, v: np.ndarray) -> pa.RecordBatch:
@@ -168,11 +167,13 @@ def _weighted(rows: Iterator[pa.RecordBatch], e: HashingEmbedder) -> Iterator[pa
             doc = np.repeat(np.arange(part.num_rows), part.column(1).value_lengths().to_numpy(zero_copy_only=False))
             bucket, net = (part.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2))
             yield _vec_batch("chunk_id", part.column(0), e.weigh(part.num_rows, doc, bucket, net))
+    give_back()
 
 
 def hash_features(chunks: DataFrame, options: HashingOptions = HashingOptions()) -> DataFrame:
     """(chunk_id, bucket, net) for every bucket a chunk touches, also where signs cancel."""
     kind = chunks.schema["chunk_id"].dataType.simpleString()
+    bounded_batches(chunks.sparkSession)
     return chunks.select("chunk_id", "text").mapInArrow(lambda it: _features(it, options), f"chunk_id {kind}, bucket int, net long")
 
 
@@ -210,6 +211,7 @@ class HashingEmbedder:
         the vectors (chunk_id, vec), and the table of features, persisted, from
         which both are worked out: unpersist it when the vectors are stored."""
         o, kind = self.options, chunks.schema["chunk_id"].dataType.simpleString()
+        bounded_batches(chunks.sparkSession)
         keyed = chunks.select("chunk_id", "text", F.xxhash64("chunk_id", "text").alias("key"))
         rows = keyed.mapInArrow(lambda it: _sparse(it, o), f"chunk_id {kind}, key long, bucket array<int>, net array<int>").persist()
         size = rows.agg(F.count("*").alias("n"), F.bit_xor("key").alias("x")).first()
@@ -240,13 +242,14 @@ class HashingEmbedder:
 
     def encode(self, rows: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
         """(id, vec) with unit vectors; a text without features has a zero vector."""
+        bounded_batches(rows.sparkSession)
         me, kind = self, rows.schema[id_col].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for a in range(0, batch.num_rows, 1024):
-                    part = batch.slice(a, 1024)
+                for part in by_bytes(batch, 1):
                     yield _vec_batch(id_col, part.column(0), me.vectors(part.column(1).to_pylist()))
+            give_back()
 
         return rows.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, vec array<float>")
 

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -339,6 +340,17 @@ def test_mmr(spark):
         fusion.mmr(pool, 5, 1.5)
 
 
+def test_long_texts_are_taken_apart_by_bytes(monkeypatch):
+    """Features: a worker holds a slice of texts, not thousands of them."""
+    from corvid.operators import batches
+    from corvid.operators import hashing as H
+
+    taken, counts = [], H._counts
+    monkeypatch.setattr(H, "_counts", lambda texts, o: taken.append(sum(map(len, texts))) or counts(texts, o))
+    batch = pa.record_batch({"chunk_id": pa.array(range(900)), "text": pa.array(["some words " * 200] * 900), "key": pa.array(range(900))})
+    assert sum(b.num_rows for b in H._sparse(iter([batch]), HashingOptions())) == 900 and max(taken) <= batches.SLICE
+
+
 def test_rescore(spark):
     pool = spark.createDataFrame([("q", "ask", c, t, 0.1) for c, t in (("a", "xx"), ("b", "xxxx"), ("c", "x"))], "query_id string, query string, chunk_id string, text string, score double")
     got = fusion.rescore(pool, 2, lambda pairs: [len(t) for _, t in pairs]).orderBy("rank").collect()
