@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import text as T
+from .batches import bounded_batches, give_back
 
 _WORDS = re.compile(T.WORDS.removeprefix("(?U)"))
 _SENTENCE = re.compile(T.SENTENCE_END.removeprefix("(?U)"))
@@ -107,6 +108,7 @@ class Chunker:
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for s in batches:
                 yield pd.Series([split(t or "") for t in s], dtype=object)
+            give_back()
 
         return run(text)
 
@@ -117,6 +119,7 @@ class Chunker:
     def split(self, docs: DataFrame) -> DataFrame:
         """Chunks: chunk_id, doc_id, position, text, metadata (the document's and
         the chunker's name). A document without pieces has none."""
+        bounded_batches(docs.sparkSession)
         meta = F.col("metadata") if "metadata" in docs.columns else F.lit(None).cast("map<string,string>")
         empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
         kept = F.map_filter(F.coalesce(meta, empty), lambda k, v: k != "chunker")

@@ -340,8 +340,10 @@ def test_mmr(spark):
         fusion.mmr(pool, 5, 1.5)
 
 
-def test_long_texts_are_taken_apart_by_bytes(monkeypatch):
-    """Features: a worker holds a slice of texts, not thousands of them."""
+def test_long_texts_are_taken_apart_by_bytes(spark, monkeypatch):
+    """Features and chunks: a worker holds a slice of texts, not thousands of them."""
+    from pyspark.sql.functions import pandas_udf
+
     from corvid.operators import batches
     from corvid.operators import hashing as H
 
@@ -349,6 +351,11 @@ def test_long_texts_are_taken_apart_by_bytes(monkeypatch):
     monkeypatch.setattr(H, "_counts", lambda texts, o: taken.append(sum(map(len, texts))) or counts(texts, o))
     batch = pa.record_batch({"chunk_id": pa.array(range(900)), "text": pa.array(["some words " * 200] * 900), "key": pa.array(range(900))})
     assert sum(b.num_rows for b in H._sparse(iter([batch]), HashingOptions())) == 900 and max(taken) <= batches.SLICE
+    spark.conf.unset(batches._BATCH)
+    docs = spark.range(300, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("Some words. "), 9000).alias("text"))
+    C.Sentence().split(docs)
+    held = pandas_udf(lambda s: s.str.len() * 0.0 + len(s), "double")
+    assert docs.select(held("text").alias("n")).agg(F.max("n")).first()[0] <= 80
 
 
 def test_rescore(spark):
