@@ -45,6 +45,11 @@ def by_bytes(batch: pa.RecordBatch, text: int, most: int = SLICE) -> Iterator[pa
         yield batch.slice(a, b - a)
 
 
+def where_true(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As np.nonzero of a matrix in C order, several times faster where few are true."""
+    return np.divmod(np.flatnonzero(m), max(1, m.shape[1]))
+
+
 def give_back() -> None:
     """Returns freed memory to the system: workers outlive their task."""
     pa.default_memory_pool().release_unused()

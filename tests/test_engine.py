@@ -259,6 +259,28 @@ def test_dense_search(spark):
         dense_search(vectors, spark.createDataFrame([(1, [1.0])], "query_id long, vec array<float>"), 1).collect()
 
 
+def test_dense_search_in_blocks(spark, monkeypatch):
+    """Ids that are text, equal vectors, queries in several blocks; a task hands
+    on k rows per query, however many come nearer bit by bit or are equal."""
+    from corvid.operators import dense as D
+
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(300, 6)).astype(np.float32).astype(float)
+    m[50:90] = m[7]
+    q = m[:40]
+    order = np.argsort(m @ m[0])  # ever nearer to the first query
+    batches = [pa.record_batch({"chunk_id": pa.array([f"v{k:03}" for k in part]), "vec": pa.array(m[part].tolist())}) for part in np.array_split(order, 9)]
+    out = pa.Table.from_batches(D._best(iter(batches), pa.array(range(40)), D.normalized(q), 5, pa.string()))
+    assert out.num_rows == 40 * 5
+    monkeypatch.setattr(D, "SCAN_BYTES", 9 * (20 * 6 + 16 * 5))
+    vectors = spark.createDataFrame([(f"v{k:03}", v.tolist()) for k, v in enumerate(m)], "chunk_id string, vec array<double>").repartition(4)
+    queries = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(q)], "query_id long, vec array<double>")
+    assert [len(ids) for ids, _ in D.query_blocks(queries, k=5)] == [9, 9, 9, 9, 4]
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = {(i, r + 1, f"v{j:03}") for i in range(40) for r, j in enumerate(sorted(range(300), key=lambda j: (-round(unit[i] @ unit[j], 9), j))[:5])}  # noqa: B023
+    assert {(r.query_id, r["rank"], r.chunk_id) for r in dense_search(vectors, queries, 5).collect()} == want
+
+
 def test_upsert_and_get(spark):
     schema = "chunk_id string, v int"
     store = spark.createDataFrame([("a", 1), ("b", 2)], schema)
