@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .batches import bounded_batches, give_back
+from .dense import _matrix, normalized
 from .ranking import top_k
 
 
@@ -78,28 +81,40 @@ def mmr(candidates: DataFrame, k: int, trade: float = 0.7) -> DataFrame:
     if not 0 <= trade <= 1:
         raise ValueError(f"the trade-off must be from 0 to 1, not {trade}")
     q, c = (candidates.schema[n].dataType.simpleString() for n in ("query_id", "chunk_id"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank", kind="stable").reset_index(drop=True)
-        if len(pdf) <= 1:
-            return pd.DataFrame({"query_id": pdf.query_id, "chunk_id": pdf.chunk_id, "score": pdf.score, "rank": range(1, len(pdf) + 1)}).head(k)
-        m = np.array(pdf.vec.tolist(), dtype=np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        target = np.array(pdf.qvec.iloc[0], dtype=np.float64)
-        rel = m @ (target / max(np.linalg.norm(target), 1e-12))
-        alike = m @ m.T
-        near, free, picks = np.full(len(m), -np.inf), np.ones(len(m), bool), []
-        while len(picks) < min(k, len(m)):
-            value = rel if not picks else trade * rel - (1 - trade) * near
-            best = int(np.argmax(np.where(free, np.round(value, 9), -np.inf)))
-            picks.append(best)
-            free[best] = False
-            near = np.maximum(near, alike[best])
-        out = pdf.loc[picks, ["query_id", "chunk_id"]]
-        return out.assign(score=rel[picks], rank=range(1, len(picks) + 1))
-
-    schema = f"query_id {q}, chunk_id {c}, score double, rank int"
-    return candidates.groupBy("query_id").applyInPandas(run, schema).withColumn("source", F.lit("mmr"))
+    bounded_batches(candidates.sparkSession)
+    rows = F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score", "vec"))).alias("rows")
+    pools = candidates.groupBy("query_id").agg(rows, F.first("qvec").alias("qvec"))
+    return pools.mapInArrow(lambda it: _diverse(it, k, trade), f"query_id {q}, chunk_id {c}, score double, rank int").withColumn("source", F.lit("mmr"))
+
+
+def _diverse(rows: Iterator[pa.RecordBatch], k: int, trade: float) -> Iterator[pa.RecordBatch]:
+    """mmr of many queries at once: those with as many candidates share the steps."""
+    for batch in rows:
+        size = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+        for n in np.unique(size).tolist():
+            own = pa.array(np.flatnonzero(size == n))
+            ids, pool = batch.column(0).take(own), batch.column(1).take(own).flatten()
+            if n <= 1:
+                picks, score = np.zeros((len(ids), min(n, k)), np.int64), pool.field("score").to_numpy(zero_copy_only=False)[:, None][:, : min(n, k)]
+            else:
+                m = normalized(_matrix(pool.field("vec"))).reshape(len(ids), n, -1)
+                rel = np.einsum("gnd,gd->gn", m, normalized(_matrix(batch.column(2).take(own))))
+                alike = m @ m.transpose(0, 2, 1)
+                each = np.arange(len(ids))
+                near, free, picks = np.full(rel.shape, -np.inf), np.ones(rel.shape, bool), np.zeros((len(ids), min(k, n)), np.int64)
+                for step in range(min(k, n)):
+                    value = trade * rel - (1 - trade) * near if step else rel
+                    picks[:, step] = best = np.argmax(np.where(free, np.round(value, 9), -np.inf), axis=1)
+                    free[each, best] = False
+                    near = np.maximum(near, alike[each, best])
+                score = np.take_along_axis(rel, picks, 1)
+            flat = pa.array((picks + np.arange(len(ids))[:, None] * n).ravel())
+            steps = np.tile(np.arange(1, picks.shape[1] + 1, dtype=np.int32), len(ids))
+            yield pa.record_batch({
+                "query_id": ids.take(pa.array(np.repeat(np.arange(len(ids)), picks.shape[1]))), "chunk_id": pool.field("chunk_id").take(flat),
+                "score": pa.array(score.ravel().astype(np.float64)), "rank": pa.array(steps),
+            })
+    give_back()
 
 
 def rescore(candidates: DataFrame, k: int, scorer, batch: int = 32) -> DataFrame:

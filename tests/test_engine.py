@@ -362,6 +362,24 @@ def test_mmr(spark):
         fusion.mmr(pool, 5, 1.5)
 
 
+def test_mmr_of_uneven_pools_without_a_call_per_query(spark):
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for q in range(12):
+        n = q % 4 + 1
+        m, t = rng.normal(size=(n, 5)), rng.normal(size=5)
+        rows += [(f"q{q}", f"c{k}", k + 1, 9.0, m[k].tolist(), t.tolist()) for k in range(n)]
+        u = m / np.linalg.norm(m, axis=1, keepdims=True)
+        rel, picks = u @ (t / np.linalg.norm(t)), []
+        while len(picks) < min(3, n):
+            picks.append(max((k for k in range(n) if k not in picks), key=lambda k: 0.5 * rel[k] - 0.5 * max((u[k] @ u[j] for j in picks), default=0)))  # noqa: B023
+        want |= {(f"q{q}", r + 1, f"c{k}"): rel[k] if n > 1 else 9.0 for r, k in enumerate(picks)}
+    pool = spark.createDataFrame(rows, "query_id string, chunk_id string, rank int, score double, vec array<float>, qvec array<float>")
+    out = fusion.mmr(pool, 3, 0.5)
+    assert {(r.query_id, r["rank"], r.chunk_id): r.score for r in out.collect()} == pytest.approx(want, abs=1e-6)
+    assert "InPandas" not in plan(out)
+
+
 def test_long_texts_are_taken_apart_by_bytes(spark, monkeypatch):
     """Features and chunks: a worker holds a slice of texts, not thousands of them."""
     from pyspark.sql.functions import pandas_udf
